@@ -6,6 +6,7 @@ per round.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +42,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             return leaves.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component_id")).distinct())
         seen = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Merge the classes of a[i] and b[i] in place; labels[i] is the smallest index of i's class."""
+    while True:
+        la, lb = labels[a], labels[b]
+        open_ = la != lb
+        if not open_.any():
+            return
+        a, b, la, lb = a[open_], b[open_], la[open_], lb[open_]
+        low = np.minimum(la, lb)
+        np.minimum.at(labels, la, low)
+        np.minimum.at(labels, lb, low)
+        while True:
+            up = labels[labels]
+            if (up == labels).all():
+                break
+            labels[:] = up
