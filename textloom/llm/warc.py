@@ -16,9 +16,12 @@ empty table gives no rows; rows without page_id are responses; line breaks in a
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 from collections.abc import Iterator
 from itertools import groupby
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,43 +87,42 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     return rows.select(head.alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
-    """Write the records of pages (page_id, url, html) as .txt archives under path."""
+def write_archives(pages: DataFrame, path: str, least: int = 0, compression: str = "gzip") -> None:
+    """Write the records of pages (page_id, url, html) as archives under path, each compressed as a whole (or "none")."""
     largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 1
     per_file = max(1, min(FILE_RECORDS, FILE_BYTES // largest))
-    records(pages, least).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
-
-
-def parse(blob: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, payload) of each record of an archive."""
-    at = 0
-    while at < len(blob):
-        stop = blob.index(END.encode(), at)
-        version, *lines = blob[at:stop].decode().split("\r\n")
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        head = dict(x.split(": ", 1) for x in lines)
-        start = stop + len(END)
-        n = int(head["Content-Length"])
-        if blob[start + n : start + n + len(END)] != END.encode():
-            raise ValueError(f"the record at byte {at} doesn't end as its length says")
-        yield head, blob[start : start + n]
-        at = start + n + len(END)
+    records(pages, least).write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
+
+
+def parse(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, payload) of each record of an archive, one record in memory at a time."""
+    while version := stream.readline():
+        if not version.startswith(b"WARC/"):
+            raise ValueError(f"no record begins with {version[:40]!r}")
+        head = {}
+        while (line := stream.readline()) != b"\r\n":
+            if not line.endswith(b"\r\n"):
+                raise ValueError("the archive ends in a record's headers")
+            name, value = line[:-2].decode().split(": ", 1)
+            head[name] = value
+        payload = stream.read(int(head["Content-Length"]))
+        if stream.read(len(END)) != END.encode():
+            raise ValueError(f"{head['WARC-Record-ID']} doesn't end as its length says")
+        yield head, payload
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records under path, with payload lengths and digests. A response's are those of its payload as read."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         page = lambda x: int(x[len("<urn:page:") : -1]) if x and x != "<urn:page:>" else None
         for frame in frames:
             for name, blob in zip(frame["path"], frame["content"], strict=True):
                 rows = []
-                for head, payload in parse(blob):
+                for head, payload in parse(gzip.open(io.BytesIO(blob)) if name.endswith(".gz") else io.BytesIO(blob)):
                     n, digest = int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if head["WARC-Type"] == "response":
-                        found = (len(payload), base32_digest(payload))
-                        if found != (n, digest):
-                            raise ValueError(f"{head['WARC-Record-ID']}: payload and headers differ")
+                    if head["WARC-Type"] == "response" and (len(payload), base32_digest(payload)) != (n, digest):
+                        raise ValueError(f"{head['WARC-Record-ID']}: payload and headers differ")
                     rows.append((page(head["WARC-Record-ID"]), head["WARC-Target-URI"], head["WARC-Date"], head["WARC-Type"], page(head.get("WARC-Refers-To")), n, digest, name))
                 out = pd.DataFrame(rows, columns=[x.split()[0] for x in FIELDS.split(", ")])
                 yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
@@ -192,4 +194,4 @@ def archive(pages: DataFrame, path: str | None = None, least: int = 0) -> DataFr
     spark = pages.sparkSession
     path = path or shared_path(spark, "warc")
     write_archives(pages, path, least)
-    return merge_index(read_archives(spark, path))
+    return merge_index(stage(read_archives(spark, path), "entries"))
