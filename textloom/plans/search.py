@@ -21,6 +21,8 @@ from textloom.operators.tokens import Segmenter, tokenize
 from textloom.staging import stage
 
 RECALL, HOP_RECALL = 200, 40
+#: Questions that may ask for the site's address in a batch; candidates of a question that deduplication looks at first.
+EVIDENCE_QUESTIONS, DEPTH = 100, 1000
 
 
 def index_meta(chunks: DataFrame) -> DataFrame:
@@ -95,11 +97,28 @@ class Retriever:
         """Chunks with the site's address, for questions that ask for the university's."""
         site = self.rules.site
         asked = questions.where(is_exact_url_query(F.col("q")) & F.col("q").contains(site.university) & ~F.col("q").contains(site.school) & ~F.col("q").contains("研究生招生"))
-        hits = self.chunks.where(F.col("haystack").contains(site.site_url)).select("idx")
-        # few questions by design; each keeps all chunks that show the address
-        rows = self._boosted(asked.join(hits, F.lit(True)))
+        few = asked.select("qid", "q").limit(EVIDENCE_QUESTIONS + 1).collect()
+        if len(few) > EVIDENCE_QUESTIONS:
+            raise ValueError(f"at most {EVIDENCE_QUESTIONS} questions of a batch may ask for the site's address")
+        if not few:  # the usual case: no scan
+            return self._boosted(questions.limit(0).withColumn("idx", F.lit(0).cast("bigint"))).withColumn("score", F.lit(0.0))
+        stated = F.array(*(F.struct(F.lit(r["qid"]).cast("bigint").alias("qid"), F.lit(r["q"]).alias("q")) for r in few))
+        rows = self._boosted(self.chunks.where(F.col("haystack").contains(site.site_url)).select("idx", F.explode(stated).alias("x")).select("idx", "x.qid", "x.q"))
         return rows.withColumn("score", multihop.EVIDENCE + F.col("boost"))
 
+    def _first_distinct(self, ranked: DataFrame, top_k: int) -> DataFrame:
+        """The first top_k candidates of each question that deduplication keeps. It looks at DEPTH candidates, and at more
+        only while a question that has more is short of results."""
+        last, depth = ranked.groupBy("qid").agg(F.max("ord").alias("last")), DEPTH
+        while True:
+            some = ranked.where(F.col("ord") <= depth).withColumn("_url", F.col("url")).withColumn("url", F.col("canonical_url"))
+            kept = dedup_candidates(some, canonical=False).withColumn("url", F.col("_url")).drop("_url")
+            best = stage(cut(kept, top_k, F.col("ord")), "best")
+            short = best.groupBy("qid").count().where(F.col("count") < top_k).join(last.where(F.col("last") > depth), "qid", "left_semi")
+            if not short.limit(1).count():
+                return best
+            depth *= 8
+
     def search(self, questions: DataFrame, top_k: int = 8, hybrid: bool | None = None) -> DataFrame:
         """(qid, rank, score, idx, chunk_id, title, url, text) of the best chunks of each question (qid long, q), with the
         texts of their neighbours."""
@@ -119,9 +138,7 @@ class Retriever:
             pool = self._boosted(found.join(questions, "qid")).withColumns({"source": F.lit(0), "seq": F.col("rank").cast("bigint")})
         ranked = cut(pool.select(*keep), 1 << 30, F.col("source"), F.col("seq")).withColumnRenamed("rank", "ord")
         ranked = stage(ranked, "ranked")
-        kept = dedup_candidates(ranked.withColumn("_url", F.col("url")).withColumn("url", F.col("canonical_url")), canonical=False)
-        kept = kept.withColumn("url", F.col("_url")).drop("_url")
-        best = cut(kept, top_k, F.col("ord"))
+        best = self._first_distinct(ranked, top_k)
         if self.context_window > 0:
             # the same chunk may come from two sources, so its place is part of its key
             keyed = best.withColumnsRenamed({"qid": "_qid"}).withColumn("qid", F.struct("_qid", "rank"))
