@@ -1,9 +1,7 @@
-"""Shared helpers: staged tables, table access and bounded batches."""
+"""Shared helpers: table access and bounded batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -11,43 +9,16 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.staging import shared_path, stage
+
+__all__ = ["shared_path", "stage", "table", "text_or_empty", "text_slices", "unused"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` below `sf_dir`, read by Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one if unset (tests)."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir", None)
-    if not base:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_dir.isDefined():
-            base = set_dir.get()
-        else:
-            base = "file://" + tempfile.mkdtemp(prefix="textloom-shared-")
-            spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the application ends."""
-    path = f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and reread it: lineage is cut and no executor's loss matters."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -66,3 +37,14 @@ def text_slices(batches: Iterable[pa.RecordBatch], text_column: str, max_bytes:
             used += n
         if len(sizes) > start:
             yield batch.slice(start)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that df doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -209,24 +209,31 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Qu
         np.savez(out, **fit(texts, np.array(marks)).arrays)
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["model"])
 
-    blob = some.coalesce(1).mapInArrow(run, "model binary").first()[0]
-    with np.load(io.BytesIO(blob)) as found:
+    got = some.coalesce(1).mapInArrow(run, "model binary").first()
+    if got is None:  # no partition at all
+        return fit([], np.empty(0))
+    with np.load(io.BytesIO(got[0])) as found:
         return Quality({k: found[k] for k in found.files})
 
 
-def score_column(df: DataFrame, model: Quality, threshold: float = THRESHOLD) -> DataFrame:
-    """df with score (double) and predicted (int)."""
+def score(model: Quality, text: str = "text") -> Column:
+    """The score of a text column."""
 
     @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             own = texts.tolist()
             yield pd.Series(np.concatenate([model.scores(own[i : i + 500]) for i in range(0, len(own), 500)] or [np.empty(0)]))
 
-    return df.withColumn("score", score(text_or_empty())).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return run(text_or_empty(text))
+
+
+def accepted(documents: DataFrame, model: Quality, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents of at least the threshold's score."""
+    return documents.where(score(model) >= threshold)
 
 
 def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    scored = score_column(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(documents, labels))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    scored = documents.select(F.col("doc_id").cast("long").alias("doc_id"), score(train(documents, labels)).alias("score"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import stage, text_or_empty
+from textloom.llm.common import stage, text_or_empty, unused
 
 # The patterns of the base findings, and the least code points of the group that is measured.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -55,8 +55,12 @@ def spelled(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", kind(x), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long"))
+
+
 def candidates(df: DataFrame) -> DataFrame:
-    """(doc_id, same, base, weak) of every row of df; same tells texts of a doc_id apart."""
+    """(doc_id, key, same, base, weak) of every row of df. key is doc_id, or -1 for none; same tells texts of a key apart."""
     none = F.array().cast(f"array<{SPAN}>")
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     text = F.col("text")
@@ -64,26 +68,26 @@ def candidates(df: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "text", *(v.alias(k) for k, v in found.items()))
     anchored = F.size("access") > 0
     weak = [F.when(anchored, spans_of(text, k, p, 0, 1)).otherwise(none) for k, p in WEAK.items()]
-    return rows.select("doc_id", F.xxhash64("text").alias("same"), F.array_sort(F.concat(*BASE)).alias("base"), F.concat(*weak).alias("weak"))
+    return rows.select("doc_id", key().alias("key"), F.xxhash64("text").alias("same"), F.array_sort(F.concat(*BASE)).alias("base"), F.concat(*weak).alias("weak"))
 
 
 def linked(found: DataFrame) -> DataFrame:
-    """(doc_id, same, weak): the weak spans that overlap the scope of an access identifier."""
+    """(key, same, weak): the weak spans that overlap the scope of an access identifier."""
     rows = found.where("size(weak) > 0")
     over = lambda s, e: F.explode(F.sequence(F.floor(s / CELL), F.floor((e - 1) / CELL)))
-    scopes = rows.select("doc_id", "same", F.explode(F.filter("base", lambda x: x["k"] == KINDS.index("access"))).alias("x"))
-    scopes = scopes.select("doc_id", "same", F.greatest(F.col("x.s") - SCOPE, F.lit(0)).alias("lo"), (F.col("x.e") + SCOPE).alias("hi")).distinct()
+    scopes = rows.select("key", "same", F.explode(F.filter("base", lambda x: x["k"] == KINDS.index("access"))).alias("x"))
+    scopes = scopes.select("key", "same", F.greatest(F.col("x.s") - SCOPE, F.lit(0)).alias("lo"), (F.col("x.e") + SCOPE).alias("hi")).distinct()
     scopes = scopes.withColumn("cell", over(F.col("lo"), F.col("hi")))
-    parts = rows.select("doc_id", "same", F.explode("weak").alias("x")).distinct().withColumn("cell", over(F.col("x.s"), F.col("x.e")))
-    met = parts.join(scopes, ["doc_id", "same", "cell"]).where((F.col("x.s") < F.col("hi")) & (F.col("lo") < F.col("x.e")))
-    return met.groupBy("doc_id", "same").agg(F.collect_set("x").alias("weak"))
+    parts = rows.select("key", "same", F.explode("weak").alias("x")).distinct().withColumn("cell", over(F.col("x.s"), F.col("x.e")))
+    met = parts.join(scopes, ["key", "same", "cell"]).where((F.col("x.s") < F.col("hi")) & (F.col("lo") < F.col("x.e")))
+    return met.groupBy("key", "same").agg(F.collect_set("x").alias("weak"))
 
 
 def scan(df: DataFrame) -> DataFrame:
-    """(doc_id, same, base, spans) of every row of df (doc_id, text): base findings, and all findings, by start and kind."""
+    """(doc_id, key, same, base, spans) of every row of df (doc_id, text): base findings, and all findings, by start and kind."""
     found = stage(candidates(df), "secrets")
-    out = found.drop("weak").join(linked(found), ["doc_id", "same"], "left")
-    return out.select("doc_id", "same", "base", F.array_sort(F.concat("base", F.coalesce("weak", F.array().cast(f"array<{SPAN}>")))).alias("spans"))
+    out = found.drop("weak").join(linked(found), ["key", "same"], "left")
+    return out.select("doc_id", "key", "same", "base", F.array_sort(F.concat("base", F.coalesce("weak", F.array().cast(f"array<{SPAN}>")))).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -94,7 +98,8 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redact(df: DataFrame, mark: str = "[secret]") -> DataFrame:
     """df with every finding in its text replaced by a mark, and n_chars, if it has it, counted again."""
-    found = scan(df).where("size(spans) > 0").select(F.col("doc_id").alias("_doc_id"), F.col("same").alias("_same"), F.col("spans").alias("_spans")).distinct()
+    own, same, spans = unused(df, "_key", "_same", "_spans")
+    found = scan(df).where("size(spans) > 0").select(F.col("key").alias(own), F.col("same").alias(same), F.col("spans").alias(spans)).distinct()
     text = text_or_empty()
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -103,9 +108,10 @@ def redact(df: DataFrame, mark: str = "[secret]") -> DataFrame:
         more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(apart, more).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = df.join(found, (F.col("doc_id").cast("long") == F.col("_doc_id")) & (F.xxhash64(text) == F.col("_same")), "left")
-    out = out.withColumn("text", F.when(F.col("_spans").isNotNull(), clean).otherwise(F.col("text")))
+    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    hit = F.col(spans).isNotNull()
+    changed = {"text": F.when(hit, clean).otherwise(F.col("text"))}
     if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(df.schema["n_chars"].dataType))
-    return out.select(*df.columns)
+        changed["n_chars"] = F.when(hit, F.length(clean)).otherwise(F.col("n_chars")).cast(df.schema["n_chars"].dataType)
+    out = df.join(found, (key() == F.col(own)) & (F.xxhash64(text) == F.col(same)), "left")
+    return out.select(*(changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in df.columns))

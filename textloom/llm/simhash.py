@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import stage, text_or_empty, text_slices
+from textloom.llm.common import stage, text_or_empty, text_slices, unused
 from textloom.llm.components import connected_components, unite
 
 BITS = 64
@@ -171,7 +171,15 @@ def near_duplicates(df: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def one_of_each(df: DataFrame, radius: int = 2) -> DataFrame:
-    """The rows of df whose doc_id is the smallest of its component; of repeated doc_ids, one row."""
-    found = stage(near_duplicates(df, radius).where("doc_id = component_id").groupBy("doc_id").count(), "kept")
-    kept = df.join(found.select("doc_id"), "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if found.where("count > 1").limit(1).count() else kept
+    """The rows of df whose doc_id is the smallest of its component; of repeated doc_ids, one row.
+
+    A row without doc_id stays: nothing can stand for it by name.
+    """
+    found = near_duplicates(df, radius).where("doc_id is not null").groupBy("doc_id")
+    found = stage(found.agg(F.max(F.expr("doc_id = component_id")).alias("keep"), F.count("*").alias("n")), "kept")
+    same = F.col("doc_id").cast("long") == F.col(unused(df, "_gone")[0])
+    gone = found.where("not keep").select(F.col("doc_id").alias(unused(df, "_gone")[0]))
+    kept = df.join(gone, same, "left_anti")
+    if not found.where("keep and n > 1").limit(1).count():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
