@@ -11,8 +11,7 @@ from textloom.llm.common import stage, table
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject. It is trained on the labelled documents that came in."""
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score_column(docs, model).where("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
