@@ -49,11 +49,9 @@ class RankMerger:
         self.final = np.array([vocab[letters[b] + suffix] for b in range(256)], dtype=np.int64)
         self.width = np.int64(max(vocab.values()) + 1)
         pairs = [(vocab[a], vocab[b], vocab[a + b]) for a, b in (m.split(" ") if isinstance(m, str) else m for m in merges)]
-        made: dict[int, int] = {}
-        for rank, (a, b, ab) in enumerate(pairs):
-            if made.get(a, -1) >= rank or made.get(b, -1) >= rank or ab in made:
-                raise ValueError("a merge comes before the merges of its parts")
-            made[ab] = rank
+        made = {ab: rank for rank, (*_, ab) in enumerate(pairs)}  # the last merge that makes a symbol
+        if any(max(made.get(a, -1), made.get(b, -1)) >= rank for rank, (a, b, _) in enumerate(pairs)):
+            raise ValueError("a merge comes before the merges of its parts")
         keys = np.array([a * int(self.width) + b for a, b, _ in pairs], dtype=np.int64)
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], order.astype(np.int64)
