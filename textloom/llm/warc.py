@@ -19,6 +19,7 @@ import base64
 import gzip
 import hashlib
 import io
+import math
 from collections.abc import Iterator
 from itertools import groupby
 from typing import BinaryIO
@@ -32,6 +33,8 @@ from textloom.llm.common import shared_path, stage
 END = "\r\n\r\n"
 #: Records of an archive file, at most, and its bytes of payload, at most.
 FILE_RECORDS, FILE_BYTES = 4096, 128 << 20
+#: Index entries that a merging task takes, about.
+MERGE_ROWS = 200_000
 FIELDS = "page_id long, url string, captured string, record_type string, refers_to long, payload_bytes long, payload_digest string, archive string"
 
 
@@ -168,9 +171,11 @@ class LoserTree:
 
 def merge_index(entries: DataFrame) -> DataFrame:
     """Archive entries in global order of URL key, capture time and page: partition by partition, and in each by a merge of
-    its runs. Adds urlkey. A URL's history is cut only at a border of the ordering key."""
+    its runs. Adds urlkey. Partitions are ranges of the whole key, so a URL with very many captures has several."""
+    spark = entries.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(entries.count() / MERGE_ROWS))
     rows = entries.withColumn("urlkey", F.concat(F.array_join(F.reverse(F.split(F.lower(F.regexp_extract("url", "^(?:[^/?#]*?://)?([^/?#]*)", 1)), "\\.")), ","), F.lit(")"), F.regexp_replace("url", "^(?:[^/?#]*?://)?[^/?#]*", "")))
-    ranged = rows.repartitionByRange("urlkey", "captured", "page_id").sortWithinPartitions("archive", "urlkey", "captured", "page_id")
+    ranged = rows.repartitionByRange(parts, "urlkey", "captured", "page_id").sortWithinPartitions("archive", "urlkey", "captured", "page_id")
     names = ranged.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
