@@ -76,7 +76,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_top_k": op10_exact_top_k,
 }
 
+def _secrets_sql() -> str:
+    """The scan in DuckDB, whose patterns have no look-around: runs of the weak secrets' letters are measured instead."""
+    quoted = lambda x: "'" + x.replace("'", "''").replace(r"\x20", " ") + "'"
+    kinds = [(k, *x) for k, x in secret_scan.BASE.items()] + [("secret", "[A-Za-z0-9+/]+", 0, 40), ("endpoint", secret_scan.WEAK["endpoint"], 0, 1)]
+    found, spans = [], []
+    for k, (name, pattern, group, least) in enumerate(kinds):
+        p = quoted(secret_scan.TRIED.get(name, pattern))
+        found.append(f"string_split_regex(t, {p}) AS b{k}, regexp_extract_all(t, {p}, 0) AS f{k}, regexp_extract_all(t, {p}, {group}) AS g{k}")
+        at = f"(list_sum(list_transform(b{k}[:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(f{k}[:i], lambda x: length(x))), 0))::INT"
+        fits = f"length(g{k}[i + 1]) = 40 AND NOT starts_with(b{k}[i + 2], '=')" if name == "secret" else f"length(g{k}[i + 1]) >= {least}"
+        spans.append(f"list_transform(list_filter(range(len(f{k})), lambda i: {fits}), lambda i: {{'s': {at}, 'k': {k}, 'e': ({at} + length(f{k}[i + 1]))::INT}}) AS s{k}")
+    names = "[" + ", ".join(quoted(x) for x in secret_scan.KINDS) + "]"
+    spelled = lambda x: f"coalesce(array_to_string(list_transform({x}, lambda z: {names}[z.k + 1] || ':' || z.s || ':' || z.e), ','), '')"
+    near = f"list_filter(list_concat(s3, s4), lambda w: len(list_filter(s1, lambda a: w.s < a.e + {secret_scan.SCOPE} AND a.s - {secret_scan.SCOPE} < w.e)) > 0)"
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS (SELECT doc_id, {", ".join(found[:3])} FROM docs), based AS (SELECT doc_id, {", ".join(spans[:3])} FROM found),
+parts AS (SELECT doc_id, {", ".join(found[3:])} FROM docs WHERE regexp_matches(t, '{secret_scan.GUARD["access"]}')),
+weak AS (SELECT doc_id, {", ".join(spans[3:])} FROM parts),
+linked AS (SELECT doc_id, s0, s1, s2, list_sort(list_concat(s0, s1, s2)) AS base, CASE WHEN weak.doc_id IS NULL THEN [] ELSE {near} END AS more FROM based LEFT JOIN weak USING (doc_id))
+SELECT doc_id, len(s0) AS n_assign, len(s1) AS n_access, len(s2) AS n_hex, sha256({spelled("base")}) AS base_sha256, {spelled("list_sort(list_concat(base, more))")} AS spans FROM linked
+"""
+
+
+def _archives_sql() -> str:
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    digits = " || ".join(f"substring('{letters}', (((('0x' || substring(sha, {i + 1}, 5))::INT >> {s}) & 31) + 1)::INT, 1)" for i in range(0, 40, 5) for s in (15, 10, 5, 0))
+    return f"""
+WITH rows AS (SELECT page_id, coalesce(url, '') AS url, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS sha FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY sha) AS first FROM rows)
+SELECT page_id, n AS payload_bytes, {digits} AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to,
+  array_to_string(list_reverse(string_split(lower(regexp_extract(url, '^(?:[^/?#]*?://)?([^/?#]*)', 1)), '.')), ',') || ')' || regexp_replace(url, '^(?:[^/?#]*?://)?[^/?#]*', '') AS urlkey,
+  strftime(make_timestamp((1577836800 + page_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured FROM firsts
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_secret_scan": _secrets_sql(),
+    "op9_warc": _archives_sql(),
     "op7_embedding_near_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
