@@ -13,7 +13,8 @@ from textloom.functions.columns import first_full, text
 from textloom.functions.text import collapse_whitespace, html_text, slashes
 from textloom.schemas import RAW_DOCUMENT, TEST_ITEM, names
 
-TEXT_SUFFIXES = [".html", ".htm", ".psp", ".php", ".asp", ".aspx", ".jsp"]
+# Suffixes of files that hold HTML.
+TEXT_SUFFIXES = [".htm", ".html", ".asp", ".php", ".jsp", ".psp"]
 
 
 def exists(spark: SparkSession, path: str) -> bool:
