@@ -232,6 +232,15 @@ def test_build_from_crawl_to_clean_tables(spark, tmp_path):
         build(spark, BuildConfig(folder, folder + "/"))
 
 
+def test_command_line(spark, tmp_path):
+    from textloom.__main__ import main
+
+    (tmp_path / "c.jsonl").write_text(json.dumps({"url": "u", "title": "t", "content": "some text"}) + "\n", encoding="utf-8")
+    main(["merge", "--folder", str(tmp_path / "in"), "--crawl", str(tmp_path / "c.jsonl")])
+    main(["build", "--input-dir", str(tmp_path / "in"), "--output-dir", str(tmp_path / "out")])
+    assert spark.read.json(str(tmp_path / "out/chunks_cleaned.jsonl")).first()["text"] == "t\nu\n\nsome text"
+
+
 def test_files_give_texts_by_suffix(spark, tmp_path):
     (tmp_path / "texts").mkdir()
     (tmp_path / "texts/1.txt").write_bytes(b"plain \xff text")
