@@ -178,7 +178,8 @@ def one_of_each(df: DataFrame, radius: int = 2) -> DataFrame:
     found = near_duplicates(df, radius).where("doc_id is not null").groupBy("doc_id")
     found = stage(found.agg(F.max(F.expr("doc_id = component_id")).alias("keep"), F.count("*").alias("n")), "kept")
     same = F.col("doc_id").cast("long") == F.col(unused(df, "_gone")[0])
-    gone = found.where("not keep").select(F.col("doc_id").alias(unused(df, "_gone")[0]))
+    # by a shuffle at every size: what goes grows with the corpus, so it must not depend on a broadcast
+    gone = found.where("not keep").select(F.col("doc_id").alias(unused(df, "_gone")[0])).hint("shuffle_hash")
     kept = df.join(gone, same, "left_anti")
     if not found.where("keep and n > 1").limit(1).count():
         return kept
