@@ -59,15 +59,21 @@ def key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long"))
 
 
+def base_findings(text: Column) -> dict[str, Column]:
+    """The spans of each base pattern in a text. The pattern is tried only where its guard matches."""
+    return {k: F.when(text.rlike(GUARD[k]), spans_of(text, k, TRIED[k], group, least)).otherwise(no_spans()) for k, (_, group, least) in BASE.items()}
+
+
+def no_spans() -> Column:
+    return F.array().cast(f"array<{SPAN}>")
+
+
 def candidates(df: DataFrame) -> DataFrame:
     """(doc_id, key, same, base, weak) of every row of df. key is doc_id, or -1 for none; same tells texts of a key apart."""
-    none = F.array().cast(f"array<{SPAN}>")
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    text = F.col("text")
-    found = {k: F.when(text.rlike(GUARD[k]), spans_of(text, k, TRIED[k], group, least)).otherwise(none) for k, (_, group, least) in BASE.items()}
-    rows = rows.select("doc_id", "text", *(v.alias(k) for k, v in found.items()))
+    rows = rows.select("doc_id", "text", *(v.alias(k) for k, v in base_findings(F.col("text")).items()))
     anchored = F.size("access") > 0
-    weak = [F.when(anchored, spans_of(text, k, p, 0, 1)).otherwise(none) for k, p in WEAK.items()]
+    weak = [F.when(anchored, spans_of(F.col("text"), k, p, 0, 1)).otherwise(no_spans()) for k, p in WEAK.items()]
     return rows.select("doc_id", key().alias("key"), F.xxhash64("text").alias("same"), F.array_sort(F.concat(*BASE)).alias("base"), F.concat(*weak).alias("weak"))
 
 
@@ -87,7 +93,7 @@ def scan(df: DataFrame) -> DataFrame:
     """(doc_id, key, same, base, spans) of every row of df (doc_id, text): base findings, and all findings, by start and kind."""
     found = stage(candidates(df), "secrets")
     out = found.drop("weak").join(linked(found), ["key", "same"], "left")
-    return out.select("doc_id", "key", "same", "base", F.array_sort(F.concat("base", F.coalesce("weak", F.array().cast(f"array<{SPAN}>")))).alias("spans"))
+    return out.select("doc_id", "key", "same", "base", F.array_sort(F.concat("base", F.coalesce("weak", no_spans()))).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -96,11 +102,8 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *map(count, BASE), F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
 
 
-def redact(df: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """df with every finding in its text replaced by a mark, and n_chars, if it has it, counted again."""
-    own, same, spans = unused(df, "_key", "_same", "_spans")
-    found = scan(df).where("size(spans) > 0").select(F.col("key").alias(own), F.col("same").alias(same), F.col("spans").alias(spans)).distinct()
-    text = text_or_empty()
+def masked(text: Column, spans: Column, mark: str) -> Column:
+    """A text with its spans, sorted by start, replaced by a mark; overlapping ones by one."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -108,10 +111,28 @@ def redact(df: DataFrame, mark: str = "[secret]") -> DataFrame:
         more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(apart, more).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    hit = F.col(spans).isNotNull()
-    changed = {"text": F.when(hit, clean).otherwise(F.col("text"))}
-    if "n_chars" in df.columns:
-        changed["n_chars"] = F.when(hit, F.length(clean)).otherwise(F.col("n_chars")).cast(df.schema["n_chars"].dataType)
-    out = df.join(found, (key() == F.col(own)) & (F.xxhash64(text) == F.col(same)), "left")
-    return out.select(*(changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in df.columns))
+    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def redact(df: DataFrame, mark: str = "[secret]") -> DataFrame:
+    """df with every finding in its text replaced by a mark, and n_chars, if it has it, counted again.
+
+    Only texts that may hold an access identifier can have linked findings. They alone are joined to what linking found;
+    the others are redacted where they are read.
+    """
+    own, same, spans, clean = unused(df, "_key", "_same", "_spans", "_clean")
+    text = text_or_empty()
+    anchored = text.rlike(GUARD["access"])
+
+    def done(rows: DataFrame, found: Column) -> DataFrame:
+        out = rows.withColumn(clean, F.when(F.col("text").isNotNull(), masked(text, found, mark)))
+        changed = {"text": F.col(clean)}
+        if "n_chars" in df.columns:
+            changed["n_chars"] = F.when(F.col(clean) == F.col("text"), F.col("n_chars")).otherwise(F.coalesce(F.length(clean), F.col("n_chars"))).cast(df.schema["n_chars"].dataType)
+        return out.select(*(changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in df.columns))
+
+    plain = done(df.where(~anchored), F.array_sort(F.concat(*base_findings(text).values())))
+    rest = df.where(anchored)
+    found = scan(rest).where("size(spans) > 0").select(F.col("key").alias(own), F.col("same").alias(same), F.col("spans").alias(spans)).distinct()
+    joined = rest.join(found, (key() == F.col(own)) & (F.xxhash64(text) == F.col(same)), "left")
+    return plain.unionByName(done(joined, F.coalesce(spans, no_spans())))
