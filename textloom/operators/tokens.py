@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textloom.functions.columns import WS, col, strip, text
+from textloom.functions.columns import WS, col, let, strip, text
 from textloom.functions.text import nfkc
 
 # What a token is, and words that are none.
@@ -46,13 +46,28 @@ def cjk_ngrams(x: Column | str, low: int = 2, high: int = 4) -> Column:
 
 
 def tokenize(x: Column | str, segmenter: Segmenter | None = None, stopwords: list[str] | None = None, compatible: bool = True) -> Column:
-    """Tokens of a text, of two characters at least. compatible: fold compatibility forms first, by a Python function."""
+    """Tokens of a text, of two characters at least. compatible: fold compatibility forms first, by a Python function.
+
+    A pattern is tried only in texts that have what it needs; runs of ASCII are held against the stopwords only if some of
+    those are such runs.
+    """
     low = F.lower(nfkc(text(x)) if compatible else text(x))
-    titles = F.filter(F.transform(all_of(low, TITLE, 1), strip), lambda t: t != "")
-    words = F.transform(segmenter(low), strip) if segmenter else F.array().cast("array<string>")
-    found = F.concat(all_of(low, URL), all_of(low, EMAIL), titles, all_of(low, ASCII_RUN), words, cjk_ngrams(low))
-    stop = F.array(*map(F.lit, STOPWORDS + (stopwords or [])))
-    return F.filter(found, lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    words = segmenter(low) if segmenter else F.array().cast("array<string>")
+    stop = STOPWORDS + (stopwords or [])
+    plain_stop = [w for w in stop if w.isascii()]
+    wanted = lambda ts: F.filter(ts, lambda t: (F.length(t) > 1) & ~t.isin(stop))
+    if_ = lambda need, ts: F.when(need, ts).otherwise(F.array().cast("array<string>"))
+
+    def found(v: Column, w: Column) -> Column:
+        runs = all_of(v, ASCII_RUN[:-1] + "+")  # of two characters at least
+        urls, emails = if_(v.contains("http"), all_of(v, URL)), if_(v.contains("@"), all_of(v, EMAIL))
+        titles = if_(v.contains("《"), F.transform(all_of(v, TITLE, 1), strip))
+        grams = if_(v.rlike("[一-鿿]"), cjk_ngrams(v))
+        if plain_stop:
+            urls, emails, runs = (F.filter(ts, lambda t: ~t.isin(plain_stop)) for ts in (urls, emails, runs))
+        return F.concat(urls, emails, wanted(titles), runs, wanted(F.transform(w, strip)), wanted(grams))
+
+    return let(F.struct(low.alias("v"), words.alias("w")), lambda s: found(s["v"], s["w"]))
 
 
 def blank_split(x: Column | str) -> Column:

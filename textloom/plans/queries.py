@@ -35,6 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df on all cores if it comes in fewer partitions, as one small file does; a large table stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 # Inline rows, the same text for both engines.
 QUESTIONS = "VALUES (0, 'the and of the tion'), (50, 'der die und in'), (100, 'les des que la tion'), (150, 'zzzz')"
 CJK = (
@@ -68,8 +74,12 @@ def rows(spark: SparkSession, values: str, *names: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM ({values}) AS t({', '.join(names)})")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", tokens.tokenize("text", compatible=False).alias("tokens"))
+    return documents(spark, sf_dir).select("doc_id", tokens.tokenize("text", compatible=False).alias("tokens"))
 
 
 def questions(spark: SparkSession) -> DataFrame:
@@ -77,7 +87,7 @@ def questions(spark: SparkSession) -> DataFrame:
 
 
 def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return docs.select("doc_id", F.posexplode(chunk.window_chunks("text")).alias("chunk_index", "text"))
 
 
@@ -113,19 +123,19 @@ def filter_nonempty_tokens(spark, d):
 
 @query(f"SELECT doc_id, length(t) AS n, md5(t) AS digest FROM (SELECT doc_id, {S.collapse('text')} AS t FROM documents)")
 def collapse_ws(spark, d):
-    t = table(spark, d, "documents").select("doc_id", T.collapse_whitespace("text").alias("t"))
+    t = documents(spark, d).select("doc_id", T.collapse_whitespace("text").alias("t"))
     return t.select("doc_id", F.length("t").cast("bigint").alias("n"), F.md5("t").alias("digest"))
 
 
 @query(f"SELECT doc_id, length(t) AS n, md5(t) AS digest FROM (SELECT doc_id, {S.clean_lines('s')} AS t FROM (SELECT doc_id, {S.strip_html('text')} AS s FROM documents))")
 def clean_lines(spark, d):
-    t = table(spark, d, "documents").select("doc_id", T.clean_text("text").alias("t"))
+    t = documents(spark, d).select("doc_id", T.clean_text("text").alias("t"))
     return t.select("doc_id", F.length("t").cast("bigint").alias("n"), F.md5("t").alias("digest"))
 
 
 @query(f"SELECT page_id, length(t) AS n, md5(t) AS digest FROM (SELECT page_id, {S.strip_html('html')} AS t FROM pages)")
 def html_strip(spark, d):
-    t = table(spark, d, "pages").select("page_id", T.strip_html("html").alias("t"))
+    t = spread(table(spark, d, "pages")).select("page_id", T.strip_html("html").alias("t"))
     return t.select("page_id", F.length("t").cast("bigint").alias("n"), F.md5("t").alias("digest"))
 
 
@@ -157,18 +167,18 @@ def id_values(spark, d):
 
 @query(f"SELECT doc_id, {S.signature('text')} AS signature FROM documents")
 def signature(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.signature("text").alias("signature"))
+    return documents(spark, d).select("doc_id", T.signature("text").alias("signature"))
 
 
 @query(f"SELECT doc_id, len(s) AS n, md5(array_to_string(s, '|')) AS digest FROM (SELECT doc_id, {S.sentences('text')} AS s FROM documents)")
 def sentence_split(spark, d):
-    s = table(spark, d, "documents").select("doc_id", chunk.sentences("text").alias("s"))
+    s = documents(spark, d).select("doc_id", chunk.sentences("text").alias("s"))
     return s.select("doc_id", F.size("s").cast("bigint").alias("n"), F.md5(F.array_join("s", "|")).alias("digest"))
 
 
 @query(f"SELECT doc_id, unnest(range(len(c))) AS chunk_index, md5(unnest(c)) AS digest FROM (SELECT doc_id, {S.chunks('t')} AS c FROM (SELECT doc_id, {S.collapse('text')} AS t FROM documents))")
 def greedy_pack(spark, d):
-    c = table(spark, d, "documents").select("doc_id", F.posexplode(chunk.chunk_text("text")).alias("i", "c"))
+    c = documents(spark, d).select("doc_id", F.posexplode(chunk.chunk_text("text")).alias("i", "c"))
     return c.select("doc_id", F.col("i").cast("bigint").alias("chunk_index"), F.md5("c").alias("digest"))
 
 
@@ -204,7 +214,7 @@ CLEANED = f"SELECT doc_id, {S.clean_lines('s')} AS t FROM (SELECT doc_id, {S.str
 
 @query(f"SELECT doc_id AS document_id, unnest(range(len(c))) AS chunk_index, length(unnest(c)) AS char_count, md5(unnest(c)) AS digest FROM (SELECT doc_id, list_transform({S.chunks('t')}, lambda z: {S.strip('z')}) AS c FROM ({CLEANED}) WHERE t <> '')")
 def preprocess_corpus(spark, d):
-    docs = table(spark, d, "documents")
+    docs = documents(spark, d)
     stored = docs.select(F.col("doc_id").alias("id"), F.lit("").alias("url"), F.lit("").alias("title"), F.lit(None).cast("string").alias("text_path"))
     none = spark.createDataFrame([], "document_id bigint, chunk_id string, chunk_index int, url string, title string, text string")
     _, parts = corpus.preprocess(stored, none, docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lit(None).cast("string").alias("path")))
@@ -411,13 +421,13 @@ def second_hop_names(spark, d):
 
 @query()
 def hybrid_search(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source", "lang", F.posexplode(chunk.chunk_text("text")).alias("i", "text"))
+    docs = documents(spark, d).select("doc_id", "source", "lang", F.posexplode(chunk.chunk_text("text")).alias("i", "text"))
     chunks = docs.select((F.col("doc_id") * 4096 + F.col("i")).alias("idx"), F.concat_ws("-", "doc_id", "i").alias("chunk_id"), F.col("source").alias("title"), F.concat(F.lit("https://www.example.edu/"), "lang", F.lit("/"), "doc_id").alias("url"), F.lit(None).cast("string").alias("category"), "text")
     return Retriever.build(chunks, vectors.hashing_encoder()).search(questions(spark), 8, True)
 
 
 @query()
 def dense_search(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source", "lang", F.posexplode(chunk.chunk_text("text")).alias("i", "text"))
+    docs = documents(spark, d).select("doc_id", "source", "lang", F.posexplode(chunk.chunk_text("text")).alias("i", "text"))
     chunks = docs.select((F.col("doc_id") * 4096 + F.col("i")).alias("idx"), F.concat_ws("-", "doc_id", "i").alias("chunk_id"), F.col("source").alias("title"), F.concat(F.lit("https://www.example.edu/"), "lang", F.lit("/"), "doc_id").alias("url"), F.lit(None).cast("string").alias("category"), "text")
     return Retriever.build(chunks, vectors.hashing_encoder(), hybrid=False).search(questions(spark), 8)
