@@ -105,18 +105,19 @@ def preprocess(documents: DataFrame, chunks: DataFrame, texts: DataFrame | None
     raw = stage(raw, "raw-chunks")
     chunked = docs.join(raw, "id").where("body <> ''").withColumn("raw", F.coalesce("_chars", F.lit(0).cast("bigint")))
     chunked = chunked.withColumn("chunk_id", T.named("chunk_id", F.concat_ws("-", "id", "chunk_index")))
-    rows, totals = chunked, chunked.groupBy("id").agg(F.sum(F.length("body")).alias("clean"))
+    rows = chunked.withColumn("whole", F.lit(None).cast("bigint"))  # the length of a text that was cleaned as a whole
     if texts is not None:
         whole = docs.join(raw.select("id").distinct(), "id", "left_anti").join(texts.where(text("content") != ""), "id")
-        whole = whole.withColumn("cleaned", T.clean_text("content", site_lines)).where("cleaned <> ''")
-        whole = whole.withColumns({"source_path": F.coalesce("path", "source_path"), "raw": F.coalesce(F.nullif("_chars", F.lit(0)), F.length("content"))})
+        # an empty text has no chunks; to filter it here would clean every text twice, as filters move to the scan
+        whole = whole.withColumn("cleaned", T.clean_text("content", site_lines))
+        whole = whole.withColumns({"source_path": F.coalesce("path", "source_path"), "raw": F.coalesce(F.nullif("_chars", F.lit(0)), F.length("content")), "whole": F.length("cleaned").cast("bigint")})
         pieces = whole.select("*", F.posexplode(chunk_text("cleaned", max_chars, overlap)).alias("chunk_index", "piece"))
         pieces = pieces.withColumns({"body": strip("piece"), "chunk_id": F.concat_ws("-", "id", "chunk_index")})
         rows = rows.unionByName(pieces.select(*rows.columns))
-        totals = totals.unionByName(whole.select("id", F.length("cleaned").cast("bigint").alias("clean")))
     rows = stage(rows, "clean-chunks")
     facts = ["id", "url", "title", "category", "language", "source_path", "content_type", "raw"]
-    counted = rows.groupBy(*facts).agg(F.count("*").cast("int").alias("num_chunks")).join(totals, "id")
+    clean = F.coalesce(F.max("whole"), F.sum(F.length("body")))
+    counted = rows.groupBy(*facts).agg(F.count("*").cast("int").alias("num_chunks"), clean.alias("clean"))
     out = counted.select(*(F.col({"text_chars_raw": "raw", "text_chars_clean": "clean"}.get(c, c)).alias(c) for c in names(DOCUMENT)))
     cleaned = rows.withColumns({"document_id": F.col("id"), "text": T.chunk_header("title", "url", "body"), "char_count": F.length("body")})
     return out, cleaned.select(*names(CHUNK))
