@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import text_or_empty, text_slices
 
-#: Labelled documents that a model is trained on, at most, and how many of their words count each.
+#: Labelled documents that a model is trained on, at most, and how many of a document's words its training looks at. Scores
+#: are of whole texts.
 TRAIN_ROWS, TRAIN_WORDS = 6000, 4000
 DIM, NONZERO, WINDOW, HIDDEN = 96, 6, 2, 24
 #: Units with vectors of their own, at most, and what a form needs to be one. Other shapes share index vectors.
@@ -197,8 +198,9 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Qu
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)").where(~held_out())
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     some = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(known), "doc_id")
-    # doc_ids may repeat, so the bound holds again here
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows)
+    # a repeated doc_id counts once, so the bound holds here too
+    some = some.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+    some = some.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, marks = [], []
@@ -209,7 +211,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Qu
         np.savez(out, **fit(texts, np.array(marks)).arrays)
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["model"])
 
-    got = some.coalesce(1).mapInArrow(run, "model binary").first()
+    got = some.mapInArrow(run, "model binary").first()
     if got is None:  # no partition at all
         return fit([], np.empty(0))
     with np.load(io.BytesIO(got[0])) as found:
