@@ -129,6 +129,13 @@ def test_neighbours_respect_gaps_and_repeats(spark):
     assert got == {(1, 0): "a\n\nb", (1, 1): "a\n\nb", (1, 2): "b\n\na", (1, 4): "d", (2, 0): "x"}
 
 
+def test_candidates_take_their_neighbours_by_key(spark):
+    chunks = spark.createDataFrame([(0, 1, 0, "a"), (1, 1, 1, "b"), (2, 1, 1, "b2"), (3, 1, 2, "c"), (4, 2, 0, "x")], "idx long, doc_id long, chunk_index long, text string")
+    rows = spark.createDataFrame([(7, 1, 1, 1, "b"), (7, 9, None, None, "own"), (8, 4, 2, 0, "x")], "qid long, idx long, doc_id long, chunk_index long, text string")
+    got = {(r["qid"], r["idx"]): r["text"] for r in context.with_parent_window(rows, chunks).collect()}
+    assert got == {(7, 1): "a\n\nb2\n\nc", (7, 9): "own", (8, 4): "x"}
+
+
 def test_vector_search_and_matrix_equal_numpy(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 8)).astype(np.float32)

@@ -30,7 +30,9 @@ def with_parent_window(candidates: DataFrame, chunks: DataFrame, window: int = 1
     """Few candidates (qid, idx, doc_id, chunk_index, text, and more) with their neighbours' texts from chunks, found by key:
     only the wanted neighbours are read from chunks. Candidates without a key keep their text."""
     wanted = candidates.where("doc_id is not null and chunk_index is not null").select("qid", "idx", "doc_id", F.explode(F.sequence(F.col("chunk_index") - window, F.col("chunk_index") + window)).alias("chunk_index"))
-    found = wanted.join(chunks.select("doc_id", "chunk_index", F.col("text").alias("_t")), ["doc_id", "chunk_index"])
+    place = F.col("idx") if "idx" in chunks.columns else F.lit(0)
+    found = wanted.join(chunks.select("doc_id", "chunk_index", F.struct(place.alias("i"), F.col("text").alias("t")).alias("_x")), ["doc_id", "chunk_index"])
+    found = found.groupBy("qid", "idx", "chunk_index").agg(F.max("_x")["t"].alias("_t"))  # of chunks with one key, the last
     merged = found.groupBy("qid", "idx").agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "_t"))), lambda x: x["_t"])), "\n\n").alias("_merged"))
     out = candidates.join(merged, ["qid", "idx"], "left")
     whole = F.nullif(strip(text("_merged")), F.lit(""))

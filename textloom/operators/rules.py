@@ -40,6 +40,7 @@ class SiteProfile:
     robotics_people: str = ""
     admission_paths: tuple[str, ...] = ("/2825/", "/2826/", "/2827/", "c2826", "c2863", "c7340")
     admission_list: str = "2825/list.htm"
+    stopwords: tuple[str, ...] = ("示例大学",)
 
 
 # What makes a question one about time, the founding dean, an exact address.

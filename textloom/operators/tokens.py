@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions.columns import WS, col, let, strip, text
 from textloom.functions.text import nfkc
 
-# What a token is, and words that are none.
+# What a token is, and words that are none. A site's own names are stopwords that the caller adds.
 URL = rf"https?://[^\s\x1c-\x1f\x85\p{{Z}}，。；、)）>]+"
 EMAIL = r"[a-z0-9_.+-]+@[a-z0-9.-]+"
 TITLE = r"《([^》]{2,40})》"
@@ -19,7 +19,7 @@ CJK_SPAN = r"[一-鿿]+"
 STOPWORDS = [
     "的", "了", "是", "在", "和", "与", "及", "或", "也", "有", "无", "为",
     "什么", "哪些", "哪个", "多少", "几个", "是否", "有没有", "一共", "目前",
-    "当前", "最新", "最近", "信息学院", "大学",
+    "当前", "最新", "最近", "信息学院", "科技", "大学",
 ]
 
 #: A segmenter maps a column of normalised texts to one of word arrays, for instance by a pandas UDF.

@@ -51,7 +51,7 @@ class Retriever:
         embeddings = stage(vectors.encode(meta.select("idx", "text"), encoder).select("idx", "embedding"), "embeddings")
         bm25 = None
         if hybrid:
-            tokens = stage(meta.select(F.col("idx").alias("doc_id"), tokenize("text", kw.get("segmenter")).alias("tokens")), "tokens")
+            tokens = stage(meta.select(F.col("idx").alias("doc_id"), tokenize("text", kw.get("segmenter"), list(kw.get("rules", RuleSet()).site.stopwords)).alias("tokens")), "tokens")
             bm25 = BM25Index(stage(BM25Index.build(tokens).postings, "postings"), stage(BM25Index.build(tokens).lengths, "lengths"))
         return cls(meta, embeddings, encoder, bm25, **kw)
 
@@ -60,7 +60,7 @@ class Retriever:
         return vectors.search(self.embeddings, vectors.encode(asked, self.encoder, "q"), n)
 
     def _sparse(self, asked: DataFrame, n: int) -> DataFrame:
-        tokens = asked.select("qid", tokenize("q", self.segmenter).alias("tokens"))
+        tokens = asked.select("qid", tokenize("q", self.segmenter, list(self.rules.site.stopwords)).alias("tokens"))
         return self.bm25.top_n(tokens, n).withColumnRenamed("doc_id", "idx")
 
     def _boosted(self, rows: DataFrame) -> DataFrame:
