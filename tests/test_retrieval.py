@@ -68,6 +68,18 @@ def test_bm25_counts_repeated_query_terms_and_breaks_ties_by_first_term(spark):
     assert [r["doc_id"] for r in sorted(equal, key=lambda r: r["rank"])][0] == 1 and {r["qid"] for r in equal} == {0}
 
 
+def test_indexes_are_written_and_read(spark, tmp_path, retriever):
+    docs = spark.createDataFrame([(1, ["b", "a"]), (2, ["a"]), (3, [])], "doc_id long, tokens array<string>")
+    index = bm25.BM25Index.build(docs)
+    index.write(str(tmp_path / "terms"))
+    back = bm25.BM25Index.read(spark, str(tmp_path / "terms"))
+    asked = spark.createDataFrame([(0, ["a", "b"])], "qid long, tokens array<string>")
+    assert sorted(map(tuple, back.top_n(asked, 9).collect())) == sorted(map(tuple, index.top_n(asked, 9).collect()))
+    sinks.write_index(retriever.embeddings, retriever.chunks, str(tmp_path / "index"))
+    vectors_read, meta = spark.read.parquet(str(tmp_path / "index/vectors")), spark.read.parquet(str(tmp_path / "index/meta"))
+    assert vectors_read.count() == meta.count() == 7 and meta.columns == ["idx", "chunk_id", "title", "url", "category", "text"]
+
+
 def test_rank_fusion_is_symmetric_in_list_order(spark):
     rows = [(0, 0, 1.0, 5, 1), (0, 0, 1.0, 6, 2), (0, 1, 1.35, 6, 1)]
     one = {r["idx"]: r["score"] for r in fusion.rrf(spark.createDataFrame(rows, "qid long, list int, weight double, idx long, rank int")).collect()}
