@@ -1,0 +1,80 @@
+"""The pipeline's near-duplicate stage against brute force."""
+
+import random
+
+import corpus_pipeline
+import numpy as np
+import pytest
+
+from textloom.llm import shingle_join
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def near(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b) > 0
+
+
+def staying(rows):
+    """(doc_id, text) pairs that stay, of pairs with distinct (doc_id, text)."""
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if group[i] != group[j] and near(sets[i], sets[j]):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return {(min(rows[j][0] for j in range(len(rows)) if group[j] == g)) for g in set(group)}
+
+
+def edited(rng, base, edits):
+    out = list(base)
+    for at in rng.sample(range(len(out)), edits):
+        out[at] = f"x{rng.random()}"
+    return out
+
+
+def documents():
+    rng, texts = random.Random(11), [None, "", " \n", "one", "ONE", "two words"]
+    for _ in range(30):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(40, 300))]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 4, 8):
+            texts.append(" ".join(edited(rng, base, edits)))
+    base = [f"v{i}" for i in range(200)]
+    texts += [" ".join(edited(rng, base, 2)) for _ in range(60)]  # one large group of near copies
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("part", [2048, 7])
+def test_one_of_each_group_of_edited_copies_stays(spark, monkeypatch, part):
+    monkeypatch.setattr(shingle_join, "PART_TEXTS", part)
+    rows = documents()
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    kept = corpus_pipeline.one_of_near_duplicates(spark, df, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(staying(rows))
+    assert len(staying(rows)) < len(rows) - 100
+
+
+def test_similarity_is_exact_at_the_bound():
+    a = np.arange(9, dtype=np.uint64)
+    assert shingle_join.similar([a, np.r_[a[:8], np.uint64(20)]]).tolist() == [0, 0]  # 8 of 10
+    assert shingle_join.similar([a[:7], np.r_[a[:6], np.uint64(20)]]).tolist() == [0, 1]  # 6 of 8
+
+
+def test_shared_bands_find_pairs_at_the_bound():
+    rng = np.random.default_rng(3)
+    missed = 0
+    for _ in range(300):
+        own = np.unique(rng.integers(0, 1 << 63, 100, dtype=np.uint64))
+        a, b = shingle_join.bands([own[:90], own[10:]])  # 80 of 100
+        missed += not (a == b).any()
+    assert missed <= 1
+
+
+def test_empty_table(spark):
+    assert shingle_join.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
