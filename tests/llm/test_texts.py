@@ -146,3 +146,18 @@ def test_queries_cover_their_tables(spark, name):
         assert {r[0] for r in out.select("query_id").collect()} == {i for i in ids if i % 50 == 0}
     else:
         assert {r[0] for r in out.select(key).collect()} == ids
+
+
+def test_training_learns_from_the_end_of_a_long_document(spark):
+    early, late = "plain words again " * 1400, "marked ending here " * 600
+    rows = [(i, early + (late if i % 2 else "")) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.train(docs, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int"))
+    assert "w:ending" in model.units
+    low, high = model.scores([early, early + late])
+    assert low < 0.5 < high
+    texts = quality.Spool()
+    for _, t in rows:
+        texts.add(t)
+    again = quality.word_vectors([t for _, t in rows])
+    assert all((again[k] == v).all() for k, v in quality.word_vectors(texts).items())

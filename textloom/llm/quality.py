@@ -4,8 +4,8 @@ A word stands for a unit: its form if it is frequent in the sample, else its sha
 Each unit has a sparse ternary index vector derived from a hash; a unit's word vector is its index vector and the sum of
 those of its neighbours in the sample, scaled to length 1. A document is the mean of its words' vectors and three figures on
 its length and repetition. The network has one hidden layer; its logits are divided by a temperature fitted on labelled
-rows that it wasn't trained on. Training takes one task and at most TRAIN_ROWS labelled documents, chosen by a hash; scoring
-is one pass over all whole texts without shuffle.
+rows that it wasn't trained on. Training takes one task and the whole texts of at most TRAIN_ROWS labelled documents, chosen
+by a hash and reread from a temporary file; scoring is one pass over all whole texts without shuffle.
 
 Cases: a null or empty text is scored as a document without words; labels that are null or neither 0 nor 1 are ignored, and
 of labels that repeat a doc_id the smallest counts; without any labels every score is 1; repeated rows each get a row; extra
@@ -18,6 +18,7 @@ import functools
 import hashlib
 import io
 import re
+import tempfile
 from collections import Counter
 from collections.abc import Iterator
 from operator import eq
@@ -30,9 +31,8 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import text_or_empty, text_slices
 
-#: Labelled documents that a model is trained on, at most, and how many of a document's words its training looks at. Scores
-#: are of whole texts.
-TRAIN_ROWS, TRAIN_WORDS = 6000, 4000
+#: Labelled documents that a model is trained on, at most; words whose neighbours are counted at once.
+TRAIN_ROWS, SLICE = 6000, 1 << 16
 DIM, NONZERO, WINDOW, HIDDEN = 96, 6, 2, 24
 #: Units with vectors of their own, at most, and what a form needs to be one. Other shapes share index vectors.
 UNITS, LEAST, OTHERS = 6000, 20, 256
@@ -128,30 +128,54 @@ class Quality:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def word_vectors(texts: list[str]) -> dict[str, np.ndarray]:
+class Spool:
+    """Texts in a temporary file that goes with the object: any number of passes, one text in memory at a time."""
+
+    def __init__(self):
+        self.file, self.sizes = tempfile.TemporaryFile(), []
+
+    def add(self, text: str) -> None:
+        self.sizes.append(self.file.write(text.encode("utf-8", "surrogatepass")))
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def __iter__(self) -> Iterator[str]:
+        self.file.seek(0)
+        for n in self.sizes:
+            yield self.file.read(n).decode("utf-8", "surrogatepass")
+
+
+def word_vectors(texts: list[str] | Spool) -> dict[str, np.ndarray]:
     """Units of the sample and their random-indexing vectors."""
-    docs = [t.split()[:TRAIN_WORDS] for t in texts]
-    forms = Counter(w.lower() for d in docs for w in d)
+    forms: Counter[str] = Counter()
+    for t in texts:
+        forms.update(w.lower() for w in t.split())
     frequent = {w for w, n in forms.items() if n >= LEAST}
+    del forms
     shapes = functools.lru_cache(maxsize=CACHE_WORDS)(shape)
-    spelled = [["w:" + w.lower() if w.lower() in frequent else "s:" + shapes(w) for w in d] for d in docs]
-    counts = Counter(u for d in spelled for u in d)
+    spell = lambda t: ["w:" + w.lower() if w.lower() in frequent else "s:" + shapes(w) for w in t.split()]
+    counts: Counter[str] = Counter()
+    for t in texts:
+        counts.update(spell(t))
     kept = sorted(u for u, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:UNITS])
     row = {u: i for i, u in enumerate(kept)}
     index = np.stack([index_vector(u) for u in kept] + [index_vector(f"other:{i}") for i in range(OTHERS)])
     context = np.zeros_like(index)
-    for d in spelled:
-        ids = np.array([row.get(u, -1) for u in d])
+    for t in texts:
+        ids = np.array([row.get(u, -1) for u in spell(t)])
         for gap in range(1, WINDOW + 1):
-            a, b = ids[:-gap], ids[gap:]
-            ok = (a >= 0) & (b >= 0)
-            np.add.at(context, a[ok], index[b[ok]])
-            np.add.at(context, b[ok], index[a[ok]])
+            for at in range(0, len(ids) - gap, SLICE):
+                b = ids[at + gap : at + gap + SLICE]
+                a = ids[at : at + len(b)]
+                ok = (a >= 0) & (b >= 0)
+                np.add.at(context, a[ok], index[b[ok]])
+                np.add.at(context, b[ok], index[a[ok]])
     context /= np.maximum(np.sqrt((context * context).sum(1, keepdims=True)), 1e-6)
     return {"units": np.array(kept, dtype=np.str_), "vectors": (index / np.sqrt(NONZERO) + context).astype(np.float32)}
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 60, seed: int = 7) -> Quality:
+def fit(texts: list[str] | Spool, labels: np.ndarray, epochs: int = 60, seed: int = 7) -> Quality:
     """Train a model. Every fifth row only fits the temperature."""
     arrays = word_vectors(texts)
     wide = DIM + 3
@@ -203,9 +227,10 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Qu
     some = some.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, marks = [], []
+        texts, marks = Spool(), []
         for part in text_slices(batches, "text"):
-            texts += [" ".join(t.split()[:TRAIN_WORDS]) for t in part.column(1).to_pylist()]
+            for t in part.column(1).to_pylist():
+                texts.add(t)
             marks += part.column(2).to_pylist()
         out = io.BytesIO()
         np.savez(out, **fit(texts, np.array(marks)).arrays)
