@@ -161,3 +161,13 @@ def test_training_learns_from_the_end_of_a_long_document(spark):
         texts.add(t)
     again = quality.word_vectors([t for _, t in rows])
     assert all((again[k] == v).all() for k, v in quality.word_vectors(texts).items())
+
+
+def test_every_character_of_a_long_word_counts():
+    rng, marks = random.Random(5), np.arange(200) % 2
+    texts = ["".join(rng.choice("语言文字") for _ in range(300)) + ("!?;:" * 20 if m else "") for m in marks]
+    scores = quality.fit(texts, marks).scores(texts)
+    assert scores[marks == 0].max() < 0.5 < scores[marks == 1].min()
+    a, b = "a1b2c3d4e5", "a1b2c3d4?!"
+    assert quality.shape(a) != quality.shape(b)
+    assert "".join(quality.words_of("x" * 150 + " y")) == "x" * 150 + "y"

@@ -1,11 +1,12 @@
 """A quality classifier: random-indexing word vectors, pooled per document, and a two-layer network.
 
-A word stands for a unit: its form if it is frequent in the sample, else its shape (runs of letter cases, digits and marks).
-Each unit has a sparse ternary index vector derived from a hash; a unit's word vector is its index vector and the sum of
-those of its neighbours in the sample, scaled to length 1. A document is the mean of its words' vectors and three figures on
-its length and repetition. The network has one hidden layer; its logits are divided by a temperature fitted on labelled
-rows that it wasn't trained on. Training takes one task and the whole texts of at most TRAIN_ROWS labelled documents, chosen
-by a hash and reread from a temporary file; scoring is one pass over all whole texts without shuffle.
+A word, or a piece of one over 64 characters, stands for a unit: its form if it is frequent in the sample, else its shape
+(runs of letter cases, digits and marks). Each unit has a sparse ternary index vector derived from a hash; a unit's word
+vector is its index vector and the sum of those of its neighbours in the sample, scaled to length 1. A document is the mean of
+its words' vectors and three figures on its length and repetition. The network has one hidden layer; its logits are divided by
+a temperature fitted on labelled rows that it wasn't trained on. Training takes one task and the whole texts of at most
+TRAIN_ROWS labelled documents, chosen by a hash and reread from a temporary file; scoring is one pass over all whole texts
+without shuffle.
 
 Cases: a null or empty text is scored as a document without words; labels that are null or neither 0 nor 1 are ignored, and
 of labels that repeat a doc_id the smallest counts; without any labels every score is 1; repeated rows each get a row; extra
@@ -37,6 +38,8 @@ DIM, NONZERO, WINDOW, HIDDEN = 96, 6, 2, 24
 #: Units with vectors of their own, at most, and what a form needs to be one. Other shapes share index vectors.
 UNITS, LEAST, OTHERS = 6000, 20, 256
 CACHE_WORDS = 200_000
+#: Characters of a word; longer ones are several words.
+LONGEST = 64
 THRESHOLD = 0.3
 
 
@@ -53,16 +56,24 @@ def index_vector(unit: str, dim: int = DIM) -> np.ndarray:
     return out
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text. Of one over LONGEST, as in scripts without spaces, each piece is a word."""
+    words = text.split()
+    if max(map(len, words), default=0) > LONGEST:
+        return [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
+    return words
+
+
 def shape(word: str) -> str:
     """Runs of letters as A (upper case), Aa (capitalised), a or mixed m; of digits as 0; of a mark as it, once or twice."""
     out = []
-    for m in RUNS.finditer(word[:64]):
+    for m in RUNS.finditer(word):
         run = m[0]
         if m[1]:
             out.append("A" if run.isupper() and len(run) > 1 else "a" if run.islower() else "Aa" if run[1:].islower() or len(run) == 1 else "m")
         else:
             out.append("0" if run.isdigit() else run[:2])
-    return "".join(out[:8])
+    return "".join(out)
 
 
 def figures(words: list[str], kinds: int) -> list[float]:
@@ -105,7 +116,7 @@ class Quality:
         return np.fromiter(map(self.cache.__getitem__, words), dtype=np.int64, count=len(words))
 
     def inputs(self, text: str) -> np.ndarray:
-        words = text.split()
+        words = words_of(text)
         counts = Counter(words)
         out = np.zeros(DIM + 3, dtype=np.float32)
         if words:
@@ -150,11 +161,11 @@ def word_vectors(texts: list[str] | Spool) -> dict[str, np.ndarray]:
     """Units of the sample and their random-indexing vectors."""
     forms: Counter[str] = Counter()
     for t in texts:
-        forms.update(w.lower() for w in t.split())
+        forms.update(w.lower() for w in words_of(t))
     frequent = {w for w, n in forms.items() if n >= LEAST}
     del forms
     shapes = functools.lru_cache(maxsize=CACHE_WORDS)(shape)
-    spell = lambda t: ["w:" + w.lower() if w.lower() in frequent else "s:" + shapes(w) for w in t.split()]
+    spell = lambda t: ["w:" + w.lower() if w.lower() in frequent else "s:" + shapes(w) for w in words_of(t)]
     counts: Counter[str] = Counter()
     for t in texts:
         counts.update(spell(t))
