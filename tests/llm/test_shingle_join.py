@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from textloom.llm import shingle_join
+from textloom.llm import shingle_join, simhash
 
 
 def shingles(text):
@@ -78,3 +78,13 @@ def test_shared_bands_find_pairs_at_the_bound():
 
 def test_empty_table(spark):
     assert shingle_join.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("one_of_each", [simhash.one_of_each, shingle_join.one_of_each])
+def test_a_repeated_doc_id_does_not_lose_a_distinct_text(spark, one_of_each):
+    rows = [(1, "a b c d e f", 1), (2, "A b c d e f", 1), (2, "quite another text stands here", 1), (3, "third", 2), (3, "third", 1), (4, "fourth", 1), (4, "FOURTH", 1), (None, "a b c d e f", 1)]
+    kept = [tuple(r) for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)).collect()]
+    again = [tuple(r) for r in one_of_each(spark.createDataFrame(rows[::-1], "doc_id long, text string, n int").repartition(5)).collect()]
+    assert sorted(kept, key=str) == sorted(again, key=str)
+    assert {r[:2] for r in kept} >= {(1, rows[0][1]), (2, rows[2][1]), (None, rows[0][1])}
+    assert [r[0] for r in sorted(kept, key=str)] == [1, 2, 3, 4, None]

@@ -171,16 +171,20 @@ def near_duplicates(df: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def one_of_each(df: DataFrame, radius: int = 2) -> DataFrame:
-    """The rows of df whose doc_id is the smallest of its component; of repeated doc_ids, one row.
+    """Of each group, the row of the smallest doc_id; of several texts of that doc_id, one by a fixed hash.
 
-    A row without doc_id stays: nothing can stand for it by name.
+    Rows of one doc_id whose texts are in different groups are judged apart. A row without doc_id stays and stands for no other.
     """
-    found = near_duplicates(df, radius).where("doc_id is not null").groupBy("doc_id")
-    found = stage(found.agg(F.max(F.expr("doc_id = component_id")).alias("keep"), F.count("*").alias("n")), "kept")
-    same = F.col("doc_id").cast("long") == F.col(unused(df, "_gone")[0])
-    # by a shuffle at every size: what goes grows with the corpus, so it must not depend on a broadcast
-    gone = found.where("not keep").select(F.col("doc_id").alias(unused(df, "_gone")[0])).hint("shuffle_hash")
-    kept = df.join(gone, same, "left_anti")
-    if not found.where("keep and n > 1").limit(1).count():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    ident, digest, row = unused(df, "_ident", "_digest", "_row")
+    named = df.withColumn(ident, F.col("doc_id").cast("long")).withColumn(digest, F.xxhash64(text_or_empty()))
+    # a text's digest takes the place of its id, so that the groups are of texts
+    groups = near_duplicates(named.where(F.col(ident).isNotNull()).select(F.col(digest).alias("doc_id"), "text"), radius)
+    groups = groups.select(F.col("doc_id").alias(digest), "component_id").distinct()
+    own = stage(named.where(F.col(ident).isNotNull()).groupBy(ident, digest).agg(F.count("*").alias("n")).join(groups, digest), "kept")
+    stays = own.groupBy("component_id").agg(F.min(F.struct(ident, digest)).alias("first")).select("first.*")
+    # by a shuffle at every size: the table grows with the corpus, so it must not depend on a broadcast
+    kept = named.join(stays.hint("shuffle_hash"), [ident, digest], "left_semi")
+    if own.where("n > 1").limit(1).count():
+        whole = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+        kept = kept.groupBy(ident, digest).agg(F.min_by(whole, F.sha2(F.to_json(whole), 256)).alias(row)).select(F.col(row + ".*"))
+    return kept.select(*df.columns).unionByName(named.where(F.col(ident).isNull()).select(*df.columns))
