@@ -42,3 +42,11 @@ def test_entry_gives_the_flagship_rows(spark):
 
 def test_sql_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_chunks_of_long_documents_have_numbers_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(core.chunk, "chunk_text", lambda c: core.F.split(c, " "))
+    docs = spark.createDataFrame([(0, "w " * 5000 + "w", "s", "en"), (1, "x y", "s", "en")], "doc_id long, text string, source string, lang string")
+    got = [r["chunk_id"] for r in core.document_chunks(docs).orderBy("idx").collect()]
+    assert got == [f"0-{i}" for i in range(5001)] + ["1-0", "1-1"]
+    assert core.document_chunks(docs).select("idx").distinct().count() == 5003

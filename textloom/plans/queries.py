@@ -419,15 +419,20 @@ def second_hop_names(spark, d):
     return scored.select("qid", "names", F.round("score", 6).alias("score"))
 
 
+def document_chunks(docs):
+    """The chunks of documents, numbered in their order over all documents."""
+    docs = docs.select("doc_id", "source", "lang", F.posexplode(chunk.chunk_text("text")).alias("i", "text"))
+    docs = corpus.numbered(docs, ["doc_id", "i"], "idx", -1)
+    return docs.select("idx", F.concat_ws("-", "doc_id", "i").alias("chunk_id"), F.col("source").alias("title"), F.concat(F.lit("https://www.example.edu/"), "lang", F.lit("/"), "doc_id").alias("url"), F.lit(None).cast("string").alias("category"), "text")
+
+
 @query()
 def hybrid_search(spark, d):
-    docs = documents(spark, d).select("doc_id", "source", "lang", F.posexplode(chunk.chunk_text("text")).alias("i", "text"))
-    chunks = docs.select((F.col("doc_id") * 4096 + F.col("i")).alias("idx"), F.concat_ws("-", "doc_id", "i").alias("chunk_id"), F.col("source").alias("title"), F.concat(F.lit("https://www.example.edu/"), "lang", F.lit("/"), "doc_id").alias("url"), F.lit(None).cast("string").alias("category"), "text")
+    chunks = document_chunks(documents(spark, d))
     return Retriever.build(chunks, vectors.hashing_encoder()).search(questions(spark), 8, True)
 
 
 @query()
 def dense_search(spark, d):
-    docs = documents(spark, d).select("doc_id", "source", "lang", F.posexplode(chunk.chunk_text("text")).alias("i", "text"))
-    chunks = docs.select((F.col("doc_id") * 4096 + F.col("i")).alias("idx"), F.concat_ws("-", "doc_id", "i").alias("chunk_id"), F.col("source").alias("title"), F.concat(F.lit("https://www.example.edu/"), "lang", F.lit("/"), "doc_id").alias("url"), F.lit(None).cast("string").alias("category"), "text")
+    chunks = document_chunks(documents(spark, d))
     return Retriever.build(chunks, vectors.hashing_encoder(), hybrid=False).search(questions(spark), 8)
