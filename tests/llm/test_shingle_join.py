@@ -88,3 +88,11 @@ def test_a_repeated_doc_id_does_not_lose_a_distinct_text(spark, one_of_each):
     assert sorted(kept, key=str) == sorted(again, key=str)
     assert {r[:2] for r in kept} >= {(1, rows[0][1]), (2, rows[2][1]), (None, rows[0][1])}
     assert [r[0] for r in sorted(kept, key=str)] == [1, 2, 3, 4, None]
+
+
+@pytest.mark.parametrize("one_of_each", [simhash.one_of_each, shingle_join.one_of_each])
+def test_distinct_texts_of_many_repeated_doc_ids_stay(spark, one_of_each):
+    own = [(i, f"text {i} of its own {i * i} {i * 7}") for i in range(2, 14)]
+    pairs = [p for t in own for p in ((t, (t[0], "a b c d e f")) if t[0] % 2 else ((t[0], "a b c d e f"), t))]
+    kept = one_of_each(spark.createDataFrame([(1, "a b c d e f"), *pairs], "doc_id long, text string").coalesce(1))
+    assert sorted(map(tuple, kept.collect())) == [(1, "a b c d e f"), *own]
