@@ -63,10 +63,38 @@ def test_links_equal_brute_force(spark, seed):
     for i, t in enumerate(texts):
         base = base_spans(t)
         weak = [(m.start(), 3, m.end()) for m in re.finditer(secret_scan.WEAK["secret"], t)] + [(m.start(), 4, m.end()) for m in re.finditer(r"https?://[^\s\"'<>]+", t)]
-        near = [w for w in weak if any(w[0] < e + 256 and s - 256 < w[2] for s, k, e in base if k == 1)]
+        meets = lambda w, a: w[0] < a[2] + 256 and a[0] - 256 < w[2]
+        secrets = [w for w in weak + base if w[1] in (0, 3)]
+        keys = [a for a in base if a[1] == 1]
+        near = [w for w in weak if any(meets(w, a) and (w[1] == 3 or any(meets(z, a) for z in secrets)) for a in keys)]
         assert got[i] == spell(sorted(base + near))
 
 
+def test_an_endpoint_needs_a_secret_beside_the_identifier(spark):
+    texts = [f"{KEY} https://s3.example.com/x", f"{KEY} https://s3.example.com/x token=abcdefgh", f"{KEY} https://s3.example.com/x{' ' * 400}{WEAK}"]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.digest(secret_scan.scan(table(spark, rows_of(texts)))).collect()}
+    assert got == {0: "access:0:20", 1: "access:0:20,endpoint:21:45,assign:46:60", 2: "access:0:20"}
+
+
+def test_many_findings_in_one_text(spark):
+    """Folds go over chunks and cuts over blocks; positions must hold across their borders, overlaps and wide characters."""
+    rng = random.Random(4)
+    parts = ["word", "😀x", "token=abcdef123", KEY, "token=" + "ab12" * 9, "x" * 3000]
+    texts = [" ".join(rng.choice(parts) if rng.random() < 0.5 else f"{rng.getrandbits(118):030x}" for _ in range(n)) for n in (511, 512, 513, 5000)]
+    df = table(spark, rows_of(texts)).repartition(2)
+    spans = {r["doc_id"]: r for r in secret_scan.digest(secret_scan.scan(df)).collect()}
+    got = {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()}
+    for i, t in enumerate(texts):
+        base = base_spans(t)
+        assert spans[i]["spans"] == spell(base)
+        out, at = [], 0
+        for s, _, e in base:
+            if s >= at:
+                out += [t[at:s], "[secret]"]
+            at = max(at, e)
+        assert got[i] == "".join(out) + t[at:]
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     rows = rows_of(TEXTS) + [(None, "token=abcdefgh!", 15, "b", 1)]
     df = table(spark, rows)

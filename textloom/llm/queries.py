@@ -89,7 +89,8 @@ def _secrets_sql() -> str:
         spans.append(f"list_transform(list_filter(range(len(f{k})), lambda i: {fits}), lambda i: {{'s': {at}, 'k': {k}, 'e': ({at} + length(f{k}[i + 1]))::INT}}) AS s{k}")
     names = "[" + ", ".join(quoted(x) for x in secret_scan.KINDS) + "]"
     spelled = lambda x: f"coalesce(array_to_string(list_transform({x}, lambda z: {names}[z.k + 1] || ':' || z.s || ':' || z.e), ','), '')"
-    near = f"list_filter(list_concat(s3, s4), lambda w: len(list_filter(s1, lambda a: w.s < a.e + {secret_scan.SCOPE} AND a.s - {secret_scan.SCOPE} < w.e)) > 0)"
+    meets = lambda x: f"{x}.s < a.e + {secret_scan.SCOPE} AND a.s - {secret_scan.SCOPE} < {x}.e"
+    near = f"list_concat(list_filter(s3, lambda w: len(list_filter(s1, lambda a: {meets('w')})) > 0), list_filter(s4, lambda w: len(list_filter(s1, lambda a: {meets('w')} AND len(list_filter(list_concat(s0, s3), lambda z: {meets('z')})) > 0)) > 0))"
     return f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 found AS (SELECT doc_id, {", ".join(found[:3])} FROM docs), based AS (SELECT doc_id, {", ".join(spans[:3])} FROM found),

@@ -1,12 +1,18 @@
 """Secret scans with multipart credential linking.
 
-Base findings are the matches of three patterns. Weak candidates (unlabelled secret-like strings and endpoints) mean little
-alone: they are reported only when an access identifier lies in their scope, which an interval join over cells of text
-decides. Only DataFrame and SQL functions are used. Spans are in code points, the end exclusive. The pieces between matches
-come from split() and the matches from regexp_extract_all(), which find the same ones, so that lengths add up to positions.
+Base findings are the matches of three patterns. Weak candidates mean little alone, so they are reported only where their
+complements co-occur, which an interval join over cells of text decides: an unlabelled secret-like string with an access
+identifier whose scope it overlaps, as the two make a credential; an endpoint with an access identifier whose scope it
+overlaps and which has a secret (labelled or not) in its scope too, as an endpoint completes a credential only.
+
+Only DataFrame and SQL functions are used. Spans are in code points, the end exclusive. The pieces between matches come from
+split() and the matches from regexp_extract_all(), which find the same ones, so that lengths add up to positions. Folds over
+matches append to chunks and redaction cuts blocks, so that the time of a text grows with its length and its findings, not
+with their square.
 
 Cases: a null or empty text has no spans; documents that repeat a doc_id are scanned each, and those with the same text too
-share what is linked; extra columns are ignored (redact keeps them); an empty table gives no rows.
+share what is linked; overlapping findings of several kinds are all reported and redacted as one; a text may hold any number
+of findings; extra columns are ignored (redact keeps them); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,23 +37,47 @@ KINDS = [*BASE, *WEAK]
 #: How far the scope of an access identifier reaches on either side, in code points; the width of a cell.
 SCOPE, CELL = 256, 512
 SPAN = "struct<s:int,k:int,e:int>"
+#: Items of a fold's chunk; code points of a block that redaction cuts pieces from.
+CHUNK, PIECE = 512, 2048
+
+
+def bind(value: Column, f) -> Column:
+    """f(value), where value is computed once however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def fold(items: Column, step, kind: str) -> Column:
+    """Left fold over an array: step(at, x) gives the next at (int, from 0) and an array of none or one `kind` to put out.
+
+    Gives a struct of the last `at` and `out`, all that was put out. Items go in chunks, as appending to an array copies it.
+    """
+    empty = lambda of: F.array().cast(f"array<{of}>")
+    nested = bind(items, lambda a: F.transform(F.sequence(F.lit(0), F.floor(F.size(a) / CHUNK).cast("int")), lambda i: F.slice(a, i * CHUNK + 1, CHUNK)))
+
+    def one(acc: Column, x: Column) -> Column:
+        at, more = step(acc["at"], x)
+        return F.struct(at.alias("at"), F.concat(acc["out"], more).alias("out"))
+
+    def chunk(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(acc["at"].alias("at"), empty(kind).alias("out")), one)
+        return bind(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), empty(f"array<{kind}>").alias("out"))
+    return bind(F.aggregate(nested, start, chunk), lambda d: F.struct(d["at"].alias("at"), F.flatten(d["out"]).alias("out")))
 
 
 def spans_of(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     """The spans of a pattern's matches whose group has at least `least` code points."""
     between, found, measured = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     lengths = F.zip_with(F.zip_with(F.transform(between, F.length), F.transform(found, F.length), lambda a, b: F.struct(a.alias("skip"), b.alias("n"))), F.transform(measured, F.length), lambda x, m: F.struct(x["skip"].alias("skip"), x["n"].alias("n"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
     k = KINDS.index(kind)
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["skip"]
-        e = s + x["n"]
-        span = F.struct(s.alias("s"), F.lit(k).alias("k"), e.alias("e")).cast(SPAN)
-        return F.struct(e.alias("at"), F.when(x["m"] >= least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        span = F.array(F.struct((at + x["skip"]).alias("s"), F.lit(k).alias("k"), (at + x["skip"] + x["n"]).alias("e"))).cast(f"array<{SPAN}>")
+        return at + x["skip"] + x["n"], F.when(x["m"] >= least, span).otherwise(no_spans())
 
     # the piece after the last match has no match beside it
-    return F.aggregate(F.filter(lengths, lambda x: x["n"].isNotNull()), start, step)["out"]
+    return fold(F.filter(lengths, lambda x: x["n"].isNotNull()), step, SPAN)["out"]
 
 
 def spelled(spans: Column) -> Column:
@@ -78,15 +108,22 @@ def candidates(df: DataFrame) -> DataFrame:
 
 
 def linked(found: DataFrame) -> DataFrame:
-    """(key, same, weak): the weak spans that overlap the scope of an access identifier."""
+    """(key, same, weak): the weak spans whose complements co-occur in the scope of an access identifier."""
+    kind = {k: KINDS.index(k) for k in KINDS}
     rows = found.where("size(weak) > 0")
     over = lambda s, e: F.explode(F.sequence(F.floor(s / CELL), F.floor((e - 1) / CELL)))
-    scopes = rows.select("key", "same", F.explode(F.filter("base", lambda x: x["k"] == KINDS.index("access"))).alias("x"))
+    scopes = rows.select("key", "same", F.explode(F.filter("base", lambda x: x["k"] == kind["access"])).alias("x"))
     scopes = scopes.select("key", "same", F.greatest(F.col("x.s") - SCOPE, F.lit(0)).alias("lo"), (F.col("x.e") + SCOPE).alias("hi")).distinct()
     scopes = scopes.withColumn("cell", over(F.col("lo"), F.col("hi")))
-    parts = rows.select("key", "same", F.explode("weak").alias("x")).distinct().withColumn("cell", over(F.col("x.s"), F.col("x.e")))
+    # labelled secrets complement endpoints, but are findings already
+    parts = rows.select("key", "same", F.explode(F.concat("weak", F.filter("base", lambda x: x["k"] == kind["assign"]))).alias("x"))
+    parts = parts.distinct().withColumn("cell", over(F.col("x.s"), F.col("x.e")))
     met = parts.join(scopes, ["key", "same", "cell"]).where((F.col("x.s") < F.col("hi")) & (F.col("lo") < F.col("x.e")))
-    return met.groupBy("key", "same").agg(F.collect_set("x").alias("weak"))
+    # a scope spans a few cells, so what is collected here is bounded by its width
+    own = met.groupBy("key", "same", "lo", "hi").agg(F.collect_set("x").alias("xs"))
+    paired = F.exists("xs", lambda x: x["k"] != kind["endpoint"])
+    own = own.select("key", "same", F.filter("xs", lambda x: (x["k"] == kind["secret"]) | ((x["k"] == kind["endpoint"]) & paired)).alias("xs")).where("size(xs) > 0")
+    return own.groupBy("key", "same").agg(F.array_distinct(F.flatten(F.collect_list("xs"))).alias("weak"))
 
 
 def scan(df: DataFrame) -> DataFrame:
@@ -104,14 +141,23 @@ def digest(found: DataFrame) -> DataFrame:
 
 def masked(text: Column, spans: Column, mark: str) -> Column:
     """A text with its spans, sorted by start, replaced by a mark; overlapping ones by one."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        apart = x["s"] >= acc["at"]
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(apart, more).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    gap = "struct<s:int,e:int>"
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        kept = F.array(F.struct(at.alias("s"), x["s"].alias("e"))).cast(f"array<{gap}>")
+        return F.greatest(at, x["e"]), F.when(x["s"] >= at, kept).otherwise(F.array().cast(f"array<{gap}>"))
+
+    def piece(blocks: Column, g: Column) -> Column:
+        """The code points from g.s to g.e. Blocks are of PIECE code points, so no cut walks through the whole text."""
+        first, last = F.floor(g["s"] / PIECE).cast("int"), F.floor((g["e"] - 1) / PIECE).cast("int")
+        within = F.substring(F.get(blocks, first), g["s"] % PIECE + 1, g["e"] - g["s"])
+        across = F.concat(F.substring(F.get(blocks, first), g["s"] % PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substring(F.get(blocks, last), F.lit(1), (g["e"] - 1) % PIECE + 1))
+        return F.when(g["s"] >= g["e"], "").when(first == last, within).otherwise(across)
+
+    whole = bind(fold(spans, step, gap), lambda x: F.concat(x["out"], F.array(F.struct(x["at"].alias("s"), F.greatest(x["at"], F.length(text)).alias("e"))).cast(f"array<{gap}>")))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    out = bind(blocks, lambda b: F.array_join(F.transform(whole, lambda g: piece(b, g)), mark))
+    return F.when(F.size(spans) == 0, text).otherwise(out)
 
 
 def redact(df: DataFrame, mark: str = "[secret]") -> DataFrame:
