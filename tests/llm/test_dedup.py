@@ -118,46 +118,73 @@ def vectors(spark, n=700, dim=12, kind="float"):
     rows[405] = (405, [], 1)
     rows[406] = (406, rows[7][1] + [0.0], 1)  # of another length
     rows[407] = (407, [v * 1e-30 for v in rows[7][1]], 1)
-    rows += [rows[9], rows[9], (None, rows[7][1], 1)]
+    rows += [rows[9], rows[9], (None, rows[7][1], 1), (9, rows[7][1], 1), (None, rows[500][1], 1), (None, None, 1)]
     return spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, n_links int").repartition(5), rows
 
 
+def units(rows, kind="float"):
+    """Position: unit vector, of the rows that have one."""
+    out = {}
+    for at, (_, v, _) in enumerate(rows):
+        if v and None not in v and np.isfinite(v).all() and np.any(v):
+            x = np.array(np.float32(v) if kind == "float" else v, dtype=np.float64)
+            x = x / np.abs(x).max()
+            out[at] = x / np.linalg.norm(x)
+    return out
+
+
 @pytest.mark.parametrize(("block", "kind"), [(8192, "float"), (64, "float"), (64, "double")])
 def test_vector_links_equal_brute_force(spark, block, kind):
     df, rows = vectors(spark, kind=kind)
-    got = {r["vec_id"]: r for r in vector_join.near_vectors(df, block=block).collect()}
-    unit = {}
-    for i, v, _ in rows:
-        if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v):
-            x = np.array(np.float32(v) if kind == "float" else v, dtype=np.float64)
-            x = x / np.abs(x).max()
-            unit[i] = x / np.linalg.norm(x)
+    got = sorted((tuple(r) for r in vector_join.near_vectors(df, block=block).collect()), key=str)
+    unit = units(rows, kind)
     links = {i: {j for j, y in unit.items() if i != j and len(x) == len(y) and x @ y >= 0.95} for i, x in unit.items()}
-    ids = {i for i, *_ in rows if i is not None}
-    label = classes(ids, [(a, b) for a, bs in links.items() for b in bs])
-    assert {i: r["n_links"] for i, r in got.items()} == {i: len(links.get(i, ())) for i in ids}
-    assert {i: r["component_id"] for i, r in got.items()} == label
-    assert all(r["kept"] == (i == label[i]) for i, r in got.items()) and max(map(len, links.values())) > 100
+    group = classes(range(len(rows)), [(a, b) for a, bs in links.items() for b in bs])
+    least = {}
+    for at, g in group.items():
+        if rows[at][0] is not None:
+            least[g] = min(least.get(g, rows[at][0]), rows[at][0])
+    want = [(rows[at][0], len(links.get(at, ())), least.get(group[at]), rows[at][0] == least.get(group[at])) for at in range(len(rows))]
+    assert got == sorted(want, key=str)
+    assert max(map(len, links.values())) > 100
     assert vector_join.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vector_cells_prune_clusters_at_every_size(spark):
+    """Vectors in clusters are compared with few others, whatever the number of rows, and go to few blocks."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(12, 64))
+    for n, block in ((300, 8192), (3000, 100)):
+        x = vector_join.unit(centres[rng.integers(0, 12, n)] + rng.normal(size=(n, 64)) * 0.02)
+        few = int(np.ceil(np.sqrt(n)))
+        c = vector_join.Cells(vector_join.farthest_first(x[: 4 * few], few))
+        assert len(c.pivots) > 15
+        home, far, near = c.homes(x)
+        reach = np.full(len(c.pivots), -1.0)
+        np.maximum.at(reach, home, far)
+        c.place(reach, np.bincount(home, minlength=len(c.pivots)), block)
+        assert c.parts.sum() >= 1 and sorted({*c.columns.tolist()}) == list(range(len(c.pivots)))
+        sent = c.blocks_reached(near, home, np.sqrt(0.1)).sum(axis=1).mean()
+        assert sent <= len(c.starts) / 4 + 1
+        everyone = c.across(np.c_[near, near[np.arange(n), home]], home, np.arange(len(c.pivots)), np.sqrt(0.1))
+        assert everyone.sum(axis=1).mean() < len(c.pivots) / 3, n
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
     df, rows = vectors(spark)
-    rows = [r for r in rows if r[0] is not None]
-    q = {}
-    for i, v, _ in rows:
-        if v is not None and None not in v and np.isfinite(v).all():
-            q.setdefault(i, []).append([int(np.floor(256 * float(np.float32(x)))) for x in v])
-    for sizes in ((16384, 1024), (100, 3)):
-        monkeypatch.setattr(topk_search, "CANDIDATES", sizes[0])
-        monkeypatch.setattr(topk_search, "QUERIES", sizes[1])
-        got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk_search.top_k(df, F.col("vec_id") % 50 == 0).collect()}
-        want = {}
-        for a in q:
-            if a % 50 == 0:
-                scored = sorted((-sum(x * y for x, y in zip(min(q[a]), v, strict=False)), b) for b, vs in q.items() if b != a for v in vs)[:5]
-                want |= {(a, k + 1): (b, -s) for k, (s, b) in enumerate(scored)}
-        assert got == want
+    q = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v, _ in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
+    q += [(50, [0, 300]), (50, [0, 300])]
+    df = df.unionByName(spark.createDataFrame([(50, [0.0, 300 / 256], 1)] * 2, df.schema))
+    want = []
+    for at, (a, x) in enumerate(q):
+        if a % 50 == 0:
+            scored = sorted((-sum(s * t for s, t in zip(x, y, strict=False)), b) for other, (b, y) in enumerate(q) if other != at)[:5]
+            want += [(a, k + 1, b, -s) for k, (s, b) in enumerate(scored)]
+    for candidates, query_bytes in ((16384, 32 << 20), (100, 600)):
+        monkeypatch.setattr(topk_search, "CANDIDATES", candidates)
+        monkeypatch.setattr(topk_search, "QUERY_BYTES", query_bytes)
+        got = [tuple(r) for r in topk_search.top_k(df, F.col("vec_id") % 50 == 0).collect()]
+        assert sorted(got) == sorted(want)
 
 
 def test_top_k_of_few_and_equal_candidates(spark):

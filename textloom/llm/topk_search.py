@@ -2,17 +2,20 @@
 
 Rows are sparse integer vectors: a term is a component, its posting list the rows of a block where it isn't zero. For each
 term of a query row, the weighted postings are scattered into a dense score array over the block; partition selection takes
-the block's k best. Queries and candidates are dealt into blocks of bounded size, each pair of blocks is one task, and the
-blocks' bests are merged by query.
-
-Cases: vectors that are null or hold null or non-finite components take no part; components past the end of a shorter
-vector count as zero; an empty vector scores 0 with all; ties go to the smaller vec_id; a query's own candidates, which are
-all rows of its vec_id, are left out; of rows that repeat a query's vec_id, the smallest vector asks; repeated candidates
-rank each; extra columns are ignored; fewer than k candidates give fewer rows; an empty table gives none.
+the block's k best. Queries travel, candidates don't: a block of queries of bounded bytes is sent to all tasks, each of which
+reads its candidates where they lie, block by block, and keeps each query's k best. Tasks' bests are merged by query. A job
+reads the candidates once for each block of queries.
+
+Cases: vectors that are null or hold null or non-finite components take no part, nor do rows without vec_id; components past
+the end of a shorter vector count as zero; an empty vector scores 0 with all; ties go to the smaller vec_id; every row is a
+candidate and, where it asks, a query, also those that repeat a vec_id, and only the query's own row is left out, so a
+repeated query id has k rows for each of its rows; extra columns are ignored; fewer than k candidates give fewer rows; an
+empty table gives none.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -23,8 +26,8 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import stage
 
-#: Candidates and queries of a block, about.
-CANDIDATES, QUERIES = 16384, 1024
+#: Candidates that a task scores at once, and bytes of queries that travel together, at most about.
+CANDIDATES, QUERY_BYTES = 16384, 32 << 20
 
 
 def quantised(column: str = "embedding", scale: int = 256) -> Column:
@@ -34,9 +37,8 @@ def quantised(column: str = "embedding", scale: int = 256) -> Column:
     return F.when(x.isNotNull() & ~odd, F.transform(x, lambda v: F.floor(v.cast("double") * scale)))
 
 
-def sparse(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sparse(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, term, weight) of the components that aren't zero, by term."""
-    lists = column.combine_chunks()
     sizes = pa.compute.list_value_length(lists).to_numpy()
     weight = lists.flatten().to_numpy()
     row = np.repeat(np.arange(len(sizes)), sizes)
@@ -46,68 +48,93 @@ def sparse(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return row[some], term[some], weight[some]
 
 
-def block_best(query_ids: np.ndarray, queries, ids: np.ndarray, postings, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, candidate, score) indices of each query's k best candidates, by score and then id."""
-    order = np.argsort(ids, kind="stable")  # by id, so that of equal scores the first are wanted
-    place = np.empty(len(ids), dtype=np.int64)
-    place[order] = np.arange(len(ids))
-    row, term, weight = postings
-    row, ids = place[row], ids[order]
-    starts = np.searchsorted(term, np.arange(term.max() + 2 if len(term) else 1))
-    lists = [(row[a:b], weight[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
-    lists = [(slice(None), w[np.argsort(r)]) if len(r) == len(ids) else (r, w) for r, w in lists]  # a full list needs no rows
-    q_row, q_term, q_weight = queries
-    by_query = np.argsort(q_row, kind="stable")
-    q_row, q_term, q_weight = q_row[by_query], q_term[by_query], q_weight[by_query]
-    bounds = np.searchsorted(q_row, np.arange(len(query_ids) + 1))
-    out_q, out_c, out_s = [], [], []
-    least = np.iinfo(np.int64).min
-    for q in range(len(query_ids)):
-        scores = np.zeros(len(ids), dtype=np.int64)
-        for t, w in zip(q_term[bounds[q] : bounds[q + 1]].tolist(), q_weight[bounds[q] : bounds[q + 1]].tolist(), strict=True):
-            if t < len(lists):
-                rows, weights = lists[t]
-                scores[rows] += w * weights
-        own = slice(*np.searchsorted(ids, [query_ids[q], query_ids[q] + 1]))
-        scores[own] = least
-        n = min(k, len(ids) - (own.stop - own.start))
-        if n <= 0:
-            continue
-        kth = np.partition(scores, len(ids) - n)[len(ids) - n]
-        above = np.flatnonzero(scores > kth)
-        level = np.flatnonzero(scores == kth)[: n - len(above)]
-        best = np.r_[above, level]
-        out_q.append(np.full(len(best), q))
-        out_c.append(best)
-        out_s.append(scores[best])
-    join = lambda x: np.concatenate(x) if x else np.empty(0, dtype=np.int64)
-    return join(out_q), ids[join(out_c)], join(out_s)
+class Queries:
+    """Query rows and the best candidates that they have met."""
+
+    def __init__(self, rows: np.ndarray, vectors: pa.ListArray, k: int):
+        self.rows, self.k = rows, k
+        row, term, weight = sparse(vectors)
+        order = np.argsort(row, kind="stable")
+        self.terms, self.weights = term[order].tolist(), weight[order].tolist()
+        self.bounds = np.searchsorted(row[order], np.arange(len(rows) + 1))
+        self.best = [np.empty((0, 3), dtype=np.int64)] * len(rows)  # (-score, id, row), ascending
+
+    def meet(self, rows: np.ndarray, ids: np.ndarray, vectors: pa.ListArray) -> None:
+        """Score a block of candidates (row number, id, vector)."""
+        order = np.argsort(ids, kind="stable")  # by id, so that of equal scores the first are wanted
+        place = np.empty(len(ids), dtype=np.int64)
+        place[order] = np.arange(len(ids))
+        row, term, weight = sparse(vectors)
+        row, rows, ids = place[row], rows[order], ids[order]
+        starts = np.searchsorted(term, np.arange(term.max() + 2 if len(term) else 1))
+        lists = [(row[a:b], weight[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
+        lists = [(slice(None), w[np.argsort(r)]) if len(r) == len(ids) else (r, w) for r, w in lists]  # a full list needs no rows
+        by_row = np.argsort(rows)
+        at = np.searchsorted(rows[by_row], self.rows)
+        own = np.where(at < len(rows), by_row[np.minimum(at, len(rows) - 1)], 0)
+        is_own = rows[own] == self.rows
+        for q in range(len(self.rows)):
+            scores = np.zeros(len(ids), dtype=np.int64)
+            for t, w in zip(self.terms[self.bounds[q] : self.bounds[q + 1]], self.weights[self.bounds[q] : self.bounds[q + 1]], strict=True):
+                if t < len(lists):
+                    some, weights = lists[t]
+                    scores[some] += w * weights
+            if is_own[q]:
+                scores[own[q]] = np.iinfo(np.int64).min
+            n = min(self.k, len(ids) - int(is_own[q]))
+            if n <= 0:
+                continue
+            kth = np.partition(scores, len(ids) - n)[len(ids) - n]
+            above = np.flatnonzero(scores > kth)
+            found = np.r_[above, np.flatnonzero(scores == kth)[: n - len(above)]]
+            both = np.concatenate([self.best[q], np.stack([-scores[found], ids[found], rows[found]], axis=1)])
+            self.best[q] = both[np.lexsort((both[:, 2], both[:, 1], both[:, 0]))[: self.k]]
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best candidates of each row where is_query holds."""
+    spark = df.sparkSession
     asks = F.coalesce(is_query, F.lit(False))
     rows = df.select(F.col(id_column).cast("long").alias("vec_id"), quantised(vector_column, scale).alias("v"), asks.alias("asks")).where("vec_id is not null and v is not null")
-    rows = stage(rows, "quantised")
-    queries = stage(rows.where("asks").groupBy("vec_id").agg(F.min("v").alias("v")), "asks")
-    n_cand, n_query = rows.count(), queries.count()
-    cand_blocks, query_blocks = max(1, math.ceil(n_cand / CANDIDATES)), max(1, math.ceil(n_query / QUERIES))
-
-    def to_cells(part: DataFrame, blocks: int, others: int, own: str, other: str, is_q: bool) -> DataFrame:
-        out = part.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias(own))
-        return out.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).select("c", "q", F.lit(is_q).alias("is_q"), "vec_id", "v")
-
-    def score(key: tuple, frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = pa.Table.from_batches(frames)
-        asking, rest = got.filter(got.column("is_q")), got.filter(pa.compute.invert(got.column("is_q")))
-        q, c, s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-        if len(asking) and len(rest):
-            names = asking.column("vec_id").to_numpy()
-            q, c, s = block_best(names, sparse(asking.column("v")), rest.column("vec_id").to_numpy(), sparse(rest.column("v")), k)
-            q = names[q]
-        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(s)], names=["query_id", "vec_id", "score"])
-
-    cells = to_cells(rows, cand_blocks, query_blocks, "c", "q", False).unionByName(to_cells(queries, query_blocks, cand_blocks, "q", "c", True))
-    best = cells.groupBy("c", "q").applyInArrow(score, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # written and reread, so the numbers stay what they are
+    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "quantised")
+    asking = rows.where("asks").select("row", "vec_id", "v")
+    size = asking.agg(F.sum(8 * F.size("v") + 64)).first()[0] or 0
+    blocks = max(1, math.ceil(size / QUERY_BYTES))
+    found = []
+    for block in range(blocks):
+        # of bounded size, whatever the table's
+        some = asking.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == block).toArrow()
+        sent = spark.sparkContext.broadcast((some.column("row").to_numpy(), some.column("vec_id").to_numpy(), some.column("v").combine_chunks()))
+
+        def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, ids, vectors = sent.value
+            queries = Queries(names, vectors, k) if len(names) else None
+            for part in grouped(batches, CANDIDATES):
+                if queries:
+                    queries.meet(part.column("row").to_numpy(), part.column("vec_id").to_numpy(), part.column("v").combine_chunks())
+            if queries:
+                best = np.concatenate(queries.best)
+                q = np.repeat(np.arange(len(names)), list(map(len, queries.best)))
+                yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(ids[q]), pa.array(best[:, 1]), pa.array(best[:, 2]), pa.array(-best[:, 0])], names=["asks", "query_id", "vec_id", "row", "score"])
+
+        found.append(rows.select("row", "vec_id", "v").mapInArrow(score, "asks long, query_id long, vec_id long, row long, score long"))
+        if blocks > 1:
+            found[-1] = stage(found[-1], "best")
+            sent.destroy()
+    best = functools.reduce(DataFrame.unionByName, found)
+    order = Window.partitionBy("asks").orderBy(F.desc("score"), "vec_id", "row")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def grouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches as tables of at least `rows` rows, but for the last."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
