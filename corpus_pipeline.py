@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import packing, quality, secret_scan, shingle_join
+from textloom.llm import near_copies, packing, quality, secret_scan
 from textloom.llm.common import stage, table
 
 
@@ -16,7 +16,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8), the document of the smallest doc_id."""
-    return shingle_join.one_of_each(docs)
+    return near_copies.one_of_each(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", keep_quality),
-    ("shingle near-dedup", one_of_near_duplicates),
+    ("SimHash near-dedup", one_of_near_duplicates),
     ("secret scans", without_secrets),
     ("best-fit packing", packed),
 ]

@@ -40,6 +40,13 @@ def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_with_a_hub(spark, monkeypatch):
+    monkeypatch.setattr("textloom.llm.components.SALTS", 3)
+    edges = [(0, i) for i in range(1, 200)] + [(500, i) for i in range(300, 480)] + [(199, 300), (7, 7), (None, 3), (0, 1), (900, 901)]
+    got = {r["node"]: r["component_id"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in [*range(200), *range(300, 480), 500]} | {900: 900, 901: 900}
+
+
 def test_unite_merges_in_place():
     labels = np.arange(6)
     unite(labels, np.array([5, 1]), np.array([4, 5]))
@@ -97,13 +104,6 @@ def test_bk_forest_finds_all_within_the_radius(radius):
     assert found == want
 
 
-def test_one_document_of_each_group_stays(spark):
-    rows = [(1, "a b c d e", 9), (2, "A b c d e", 9), (2, "A b c d e", 9), (3, "other words stand here", 9), (3, "other words stand here", 9), (None, "a b c d e", 9), (4, None, None)]
-    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, _gone int"))
-    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, "a b c d e", 9), (3, "other words stand here", 9), (None, "a b c d e", 9), (4, None, None)], key=str)
-    assert kept.columns == ["doc_id", "text", "_gone"]
-
-
 def vectors(spark, n=700, dim=12, kind="float"):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(n, dim))

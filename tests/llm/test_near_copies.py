@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from textloom.llm import shingle_join, simhash
+from textloom.llm import near_copies, simhash
 
 
 def shingles(text):
@@ -52,7 +52,7 @@ def documents():
 
 @pytest.mark.parametrize("part", [2048, 7])
 def test_one_of_each_group_of_edited_copies_stays(spark, monkeypatch, part):
-    monkeypatch.setattr(shingle_join, "PART_TEXTS", part)
+    monkeypatch.setattr(near_copies, "PART_TEXTS", part)
     rows = documents()
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
     kept = corpus_pipeline.one_of_near_duplicates(spark, df, "").collect()
@@ -62,8 +62,8 @@ def test_one_of_each_group_of_edited_copies_stays(spark, monkeypatch, part):
 
 def test_similarity_is_exact_at_the_bound():
     a = np.arange(9, dtype=np.uint64)
-    assert shingle_join.similar([a, np.r_[a[:8], np.uint64(20)]]).tolist() == [0, 0]  # 8 of 10
-    assert shingle_join.similar([a[:7], np.r_[a[:6], np.uint64(20)]]).tolist() == [0, 1]  # 6 of 8
+    assert near_copies.similar([a, np.r_[a[:8], np.uint64(20)]]).tolist() == [0, 0]  # 8 of 10
+    assert near_copies.similar([a[:7], np.r_[a[:6], np.uint64(20)]]).tolist() == [0, 1]  # 6 of 8
 
 
 def test_shared_bands_find_pairs_at_the_bound():
@@ -71,28 +71,45 @@ def test_shared_bands_find_pairs_at_the_bound():
     missed = 0
     for _ in range(300):
         own = np.unique(rng.integers(0, 1 << 63, 100, dtype=np.uint64))
-        a, b = shingle_join.bands([own[:90], own[10:]])  # 80 of 100
+        a, b = near_copies.bands([own[:90], own[10:]])  # 80 of 100
         missed += not (a == b).any()
     assert missed <= 1
 
 
+@pytest.mark.parametrize("size", [10, 50, 1000])
+def test_the_radius_reaches_pairs_at_the_bound(size):
+    rng = np.random.default_rng(size)
+    apart = []
+    for _ in range(400):
+        own = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64)) * near_copies.STEP
+        tenth = size // 10
+        a, b = simhash.majority([own[:-tenth], own[tenth:]])  # similarity 0.8
+        apart.append(int(a ^ b).bit_count())
+    assert max(apart) <= near_copies.RADIUS and np.mean(apart) > 6
+
+
 def test_empty_table(spark):
-    assert shingle_join.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert near_copies.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("one_of_each", [simhash.one_of_each, shingle_join.one_of_each])
-def test_a_repeated_doc_id_does_not_lose_a_distinct_text(spark, one_of_each):
+def test_a_repeated_doc_id_does_not_lose_a_distinct_text(spark):
     rows = [(1, "a b c d e f", 1), (2, "A b c d e f", 1), (2, "quite another text stands here", 1), (3, "third", 2), (3, "third", 1), (4, "fourth", 1), (4, "FOURTH", 1), (None, "a b c d e f", 1)]
-    kept = [tuple(r) for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)).collect()]
-    again = [tuple(r) for r in one_of_each(spark.createDataFrame(rows[::-1], "doc_id long, text string, n int").repartition(5)).collect()]
+    kept = [tuple(r) for r in near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)).collect()]
+    again = [tuple(r) for r in near_copies.one_of_each(spark.createDataFrame(rows[::-1], "doc_id long, text string, n int").repartition(5)).collect()]
     assert sorted(kept, key=str) == sorted(again, key=str)
     assert {r[:2] for r in kept} >= {(1, rows[0][1]), (2, rows[2][1]), (None, rows[0][1])}
     assert [r[0] for r in sorted(kept, key=str)] == [1, 2, 3, 4, None]
 
 
-@pytest.mark.parametrize("one_of_each", [simhash.one_of_each, shingle_join.one_of_each])
-def test_distinct_texts_of_many_repeated_doc_ids_stay(spark, one_of_each):
+def test_distinct_texts_of_many_repeated_doc_ids_stay(spark):
     own = [(i, f"text {i} of its own {i * i} {i * 7}") for i in range(2, 14)]
     pairs = [p for t in own for p in ((t, (t[0], "a b c d e f")) if t[0] % 2 else ((t[0], "a b c d e f"), t))]
-    kept = one_of_each(spark.createDataFrame([(1, "a b c d e f"), *pairs], "doc_id long, text string").coalesce(1))
+    kept = near_copies.one_of_each(spark.createDataFrame([(1, "a b c d e f"), *pairs], "doc_id long, text string").coalesce(1))
     assert sorted(map(tuple, kept.collect())) == [(1, "a b c d e f"), *own]
+
+
+def test_clashing_columns_and_rows_without_id(spark):
+    rows = [(1, "a b c d e", 9), (2, "A b c d e", 9), (2, "A b c d e", 9), (3, "other words stand here", 9), (3, "other words stand here", 9), (None, "a b c d e", 9), (4, None, None)]
+    kept = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, _digest int"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, "a b c d e", 9), (3, "other words stand here", 9), (None, "a b c d e", 9), (4, None, None)], key=str)
+    assert kept.columns == ["doc_id", "text", "_digest"]

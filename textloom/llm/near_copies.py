@@ -1,10 +1,14 @@
-"""Near copies by the Jaccard similarity of their word shingles.
+"""SimHash near-dedup of texts at a Jaccard similarity of their word shingles.
 
-Texts are linked if the sets of their five-word shingles have a similarity of 0.8 or more; what is linked, directly or over
-others, is a group. Equal sets share a key. MinHash finds candidates: BANDS keys of ROWS minima each, and texts that share one
-of them are joined to the smallest of the bucket. Components of these candidates hold every pair that shares a bucket; inside
-them the sets themselves are compared, so no link is an estimate. A pair of similarity s shares no bucket with probability
-(1 - s ** ROWS) ** BANDS, 0.00006 at 0.8. Components beyond a bound are cut into parts, and each two parts meet in one cell.
+The operator of `simhash` with five-word shingles and a radius that reaches a similarity of 0.8, for the pipeline. At that
+similarity fingerprints of 64 bits differ in some ten bits, sometimes in twice as many, so blocks of bits can't shard them.
+Texts go to shards by MinHash keys of their shingle sets instead, BANDS keys of ROWS minima each; a shard's fingerprints form
+BK-trees that are searched within RADIUS, and the shingle sets of what they link are compared, so no link is an estimate.
+Texts that are linked, directly or over others, are a group; equal sets are one text.
+
+A pair of similarity s shares no shard with probability (1 - s ** ROWS) ** BANDS, 0.00006 at 0.8, and its fingerprints differ
+in more than RADIUS bits with one of about 0.00003 there; both fall fast above. Components of linked texts beyond a bound are
+cut into parts, and each two parts meet in one cell.
 
 Cases: null and empty texts, and those of white space alone, are copies of each other; texts of fewer words than a shingle are
 one shingle; case of ASCII letters and kinds of white space make no difference; an empty table gives no rows.
@@ -23,9 +27,9 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import stage, text_or_empty, text_slices, unused
 from textloom.llm.components import connected_components, unite
-from textloom.llm.simhash import whole_cells
+from textloom.llm.simhash import links_in_shards, majority, whole_cells
 
-WIDTH = 5
+WIDTH, RADIUS = 5, 24
 BANDS, ROWS = 32, 6
 #: Shingles and texts of a component's part, at most about.
 PART_SHINGLES, PART_TEXTS = 1 << 20, 2048
@@ -69,7 +73,8 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def keyed(df: DataFrame) -> DataFrame:
-    """(doc_id, digest of the text, key of its set, size of its set, bands) of the rows of df (doc_id, digest, text)."""
+    """(doc_id, digest of the text, key of its set, size of its set, its fingerprint, bands) of the rows of df (doc_id, digest,
+    text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
@@ -80,17 +85,16 @@ def keyed(df: DataFrame) -> DataFrame:
             if full:
                 for i, row in zip(full, bands([sets[i] for i in full]).view(np.int64), strict=True):
                     own[i] = row
-            columns = [part.column(0), part.column(1), pa.array(keys.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "key", "size", "bands"])
+            columns = [part.column(0), part.column(1), pa.array(keys.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array(majority(sets).view(np.int64)), pa.array(own, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "key", "size", "fp", "bands"])
 
-    return df.mapInArrow(run, "doc_id long, digest long, key long, size long, bands array<long>")
+    return df.mapInArrow(run, "doc_id long, digest long, key long, size long, fp long, bands array<long>")
 
 
 def candidates(own: DataFrame) -> DataFrame:
-    """(u, v): each key of a bucket with the smallest key there."""
-    rows = own.select("key", F.explode("bands").alias("band"))
-    first = rows.groupBy("band").agg(F.min("key").alias("v"), F.max("key").alias("top")).where("v <> top").select("band", "v")
-    return rows.join(first.hint("shuffle_hash"), "band").where("key <> v").select(F.col("key").alias("u"), "v")
+    """(u, v): a forest of the keys whose fingerprints are within RADIUS in a shard."""
+    sets = own.groupBy("key").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))  # functions of the key
+    return links_in_shards(sets.select(F.explode("bands").alias("shard"), "fp", F.col("key").alias("rep")), RADIUS)
 
 
 def similar(sets: list[np.ndarray]) -> np.ndarray:

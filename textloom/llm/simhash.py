@@ -1,8 +1,8 @@
 """SimHash near-duplicates by BK-trees.
 
 A fingerprint has 64 bits over hashed word shingles. Distinct fingerprints go to shards: one for each of radius + 1 blocks
-of bits and each value of that block, as two fingerprints within the radius agree in one block at least. A shard's
-fingerprints form a BK-tree, whose children are keyed by their Hamming distance to the parent; a search follows only the
+of bits and each value of that block, as two fingerprints within the radius agree in one block at least (`near_copies` shards
+by other keys, for wide radii). A shard's fingerprints form a BK-tree, whose children are keyed by their Hamming distance to the parent; a search follows only the
 edges within the radius of the distance to the node. Shards beyond a bound are cut into parts, and each part's tree is sent
 to the queries of every part, so that no task holds more than two parts. Trees of many shards are built and searched
 together in numpy. A task returns a spanning forest of its links, not all pairs.
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import stage, text_or_empty, text_slices, unused
+from textloom.llm.common import stage, text_or_empty, text_slices
 from textloom.llm.components import connected_components, unite
 
 BITS = 64
@@ -69,7 +69,7 @@ def fingerprints(df: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
 
 
 class BKForest:
-    """BK-trees over groups of distinct fingerprints: one tree a group, all built and searched together."""
+    """BK-trees over groups of fingerprints: one tree a group, all built and searched together. An equal one is a child at 0."""
 
     def __init__(self, fp: np.ndarray, group: np.ndarray):
         """group: ascending group numbers."""
@@ -101,7 +101,7 @@ class BKForest:
                 near = d <= radius
                 if near.any():
                     yield query[near], node[near]
-                lo = np.searchsorted(self.keys, node * (BITS + 1) + np.maximum(d - radius, 1), "left")
+                lo = np.searchsorted(self.keys, node * (BITS + 1) + np.maximum(d - radius, 0), "left")
                 hi = np.searchsorted(self.keys, node * (BITS + 1) + np.minimum(d + radius, BITS), "right")
                 n = hi - lo
                 query = np.repeat(query, n)
@@ -140,15 +140,12 @@ def whole_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(kept, ignore_index=True)
 
 
-def near_links(reps: DataFrame, radius: int = 2, part: int = PART) -> DataFrame:
-    """A forest (u, v) that connects the reps of fingerprints within the radius. reps: (fp, rep), fp distinct."""
-    width = BITS / (radius + 1)
-    edges = [round(i * width) for i in range(radius + 2)]
-    shards = F.array(*(F.shiftleft(F.lit(i).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.shiftleft("fp", BITS - hi), BITS - (hi - lo))) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))))
-    rows = reps.select("fp", "rep", F.explode(shards).alias("shard"))
-    large = stage(rows.groupBy("shard").count().where(F.col("count") > part).select("shard", F.ceil(F.col("count") / part).cast("int").alias("parts")), "shards")
-    rows = rows.join(large, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+def links_in_shards(rows: DataFrame, radius: int, part: int = PART) -> DataFrame:
+    """A forest (u, v) that connects the reps of a shard whose fingerprints are within the radius. rows: (shard, fp, rep)."""
+    # a shard with one row has no links; what remains is joined by a shuffle at every size, as it grows with the corpus
+    sizes = rows.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").select("shard", F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    rows = rows.join(sizes.hint("shuffle_hash"), "shard")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("shard", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"), "part", "fp", "rep")
     rows = rows.withColumn("cell", F.xxhash64("shard", "lo", "hi"))
@@ -161,6 +158,14 @@ def near_links(reps: DataFrame, radius: int = 2, part: int = PART) -> DataFrame:
     return rows.repartition("cell").sortWithinPartitions("cell").mapInPandas(run, "u long, v long")
 
 
+def near_links(reps: DataFrame, radius: int = 2, part: int = PART) -> DataFrame:
+    """A forest (u, v) that connects the reps of fingerprints within the radius. reps: (fp, rep), fp distinct."""
+    width = BITS / (radius + 1)
+    edges = [round(i * width) for i in range(radius + 2)]
+    shards = F.array(*(F.shiftleft(F.lit(i).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.shiftleft("fp", BITS - hi), BITS - (hi - lo))) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))))
+    return links_in_shards(reps.select("fp", "rep", F.explode(shards).alias("shard")), radius, part)
+
+
 def near_duplicates(df: DataFrame, radius: int = 2) -> DataFrame:
     """(doc_id, fp, component_id) of every row of df (doc_id, text)."""
     own = stage(fingerprints(df), "fingerprints")
@@ -168,23 +173,3 @@ def near_duplicates(df: DataFrame, radius: int = 2) -> DataFrame:
     labels = connected_components(near_links(reps, radius))
     known = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     return own.join(known, "fp").select("doc_id", "fp", "component_id")
-
-
-def one_of_each(df: DataFrame, radius: int = 2) -> DataFrame:
-    """Of each group, the row of the smallest doc_id; of several texts of that doc_id, one by a fixed hash.
-
-    Rows of one doc_id whose texts are in different groups are judged apart. A row without doc_id stays and stands for no other.
-    """
-    ident, digest, row = unused(df, "_ident", "_digest", "_row")
-    named = df.withColumn(ident, F.col("doc_id").cast("long")).withColumn(digest, F.xxhash64(text_or_empty()))
-    # a text's digest takes the place of its id, so that the groups are of texts
-    groups = near_duplicates(named.where(F.col(ident).isNotNull()).select(F.col(digest).alias("doc_id"), "text"), radius)
-    groups = groups.select(F.col("doc_id").alias(digest), "component_id").distinct()
-    own = stage(named.where(F.col(ident).isNotNull()).groupBy(ident, digest).agg(F.count("*").alias("n")).join(groups, digest), "kept")
-    stays = own.groupBy("component_id").agg(F.min(F.struct(ident, digest)).alias("first")).select("first.*")
-    # by a shuffle at every size: the table grows with the corpus, so it must not depend on a broadcast
-    kept = named.join(stays.hint("shuffle_hash"), [ident, digest], "left_semi")
-    if own.where("n > 1").limit(1).count():
-        whole = F.struct(*(F.col(f"`{c}`") for c in df.columns))
-        kept = kept.groupBy(ident, digest).agg(F.min_by(whole, F.sha2(F.to_json(whole), 256)).alias(row)).select(F.col(row + ".*"))
-    return kept.select(*df.columns).unionByName(named.where(F.col(ident).isNull()).select(*df.columns))
