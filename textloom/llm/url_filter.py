@@ -1,31 +1,37 @@
 """URL filters: rules first, gradient-boosted trees on lexical features for the rest.
 
-Trees are grown level by level from histograms, each an aggregation over the labelled sample; the driver sees sums by node,
-feature and bin only. The model is a sum of CASE expressions, so scoring is one projection over the pages without shuffle.
-Only DataFrame and SQL functions are used.
+Trees are grown from histograms of a bounded sample of distinct labelled urls, whose features one job computes and brings to
+the driver; there each level of a tree is a few array sums. The model is a sum of CASE expressions and a table of suffix
+statistics that is joined by broadcast, with at most a row for each sampled url, so scoring is one pass over the pages without
+shuffle. Only DataFrame and SQL functions are used on the pages.
+
+A suffix's statistic is the share of blocked urls under it, drawn to one half. In training, a url's is taken from the hosts of
+other folds, so that it says no more than it would of a host never seen; classes weigh the same. So an unknown url without
+odd features scores about one half.
 
 Cases: a null url, or one without "://", has an empty host and path, fits no rule, and is scored on what its characters are;
-of rules that fit, the longest wins; without labelled rows every url is allowed; repeated rows each get a row; extra
-columns are ignored; an empty table gives no rows.
+of rules that fit, the longest wins; of repeated labelled urls, one counts, or one for each of its labels; without labelled
+rows every url is allowed, and with labels of one kind only every url gets it; repeated rows each get a row; extra columns
+are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import stage
-
 ALLOW, BLOCK = "allow", "block"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Labelled rows that a model is trained on, at most, of the smallest hashes of url.
+#: Distinct labelled urls that a model is trained on, at most, of the smallest hashes.
 TRAIN_ROWS = 20_000
-#: Features, in the order of the trees' columns.
-FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "suffix_rate", "domain_rate")
-BINS = 16
+#: Features, in the order of the trees' columns. The last comes from statistics.
+FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "suffix_rate")
+BINS, FOLDS, SMOOTHING = 32, 5, 20
 
 
 @dataclass(frozen=True)
@@ -59,7 +65,7 @@ def matched(rules: list[Rule], host: Column, path: Column, value) -> Column:
 
 
 def lexical(df: DataFrame) -> DataFrame:
-    """Adds the features that need no statistics to df (url, host, path), and the host's suffix and domain."""
+    """Adds the features that need no statistics to df (url, host, path), and the host's suffix."""
     u = F.coalesce(F.col("url"), F.lit(""))
     n = F.length(u)
     shares = F.transform(F.array_distinct(F.split(u, "")), lambda c: (n - F.length(F.replace(u, c, F.lit("")))) / n)
@@ -76,7 +82,6 @@ def lexical(df: DataFrame) -> DataFrame:
             "entropy": F.when(n > 0, F.round(entropy, 9)).otherwise(0.0),
             "parameters": F.when(query == "", 0).otherwise(F.size(F.split(query, "[&;]"))).cast("double"),
             "suffix": F.regexp_extract("host", "([^.]*)$", 1),
-            "domain": F.regexp_extract("host", "([^.]*\\.?[^.]*)$", 1),
         }
     )
 
@@ -84,22 +89,15 @@ def lexical(df: DataFrame) -> DataFrame:
 @dataclass
 class BoostedTrees:
     """A sum of trees over named features. A tree is a dict of node number (root 1, children 2n and 2n + 1) to
-    (feature, threshold) or to a leaf value."""
+    (feature, threshold) or to a leaf value. rates: the statistic of each suffix."""
 
     base: float
-    rates: dict[str, dict[str, float]] = field(default_factory=dict)
+    rates: dict[str, float] = field(default_factory=dict)
     trees: list[dict[int, tuple[str, float] | float]] = field(default_factory=list)
 
-    def rate(self, kind: str) -> Column:
-        """The share of blocked urls, smoothed, that labelled urls of the same suffix or domain have."""
-        prior = 1 / (1 + math.exp(-self.base))
-        known = self.rates.get(kind, {})
-        if not known:
-            return F.lit(prior)
-        return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in sorted(known.items()) for x in pair)), F.col(kind)), F.lit(prior))
-
     def with_rates(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({"suffix_rate": self.rate("suffix"), "domain_rate": self.rate("domain")})
+        known = df.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(self.rates)), "map<string,double>")).alias("suffix", "suffix_rate"))
+        return df.join(F.broadcast(known), "suffix", "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(0.5)))
 
     def _value(self, tree: dict, node: int = 1) -> Column:
         own = tree[node]
@@ -117,77 +115,71 @@ class BoostedTrees:
         return 1 / (1 + F.exp(-self.margin()))
 
 
-def _node(tree: dict, node: int = 1) -> Column:
-    """The number of the open leaf that a row is in."""
-    own = tree.get(node)
-    if not isinstance(own, tuple):
-        return F.lit(node)
-    return F.when(F.col(own[0]) <= own[1], _node(tree, 2 * node)).otherwise(_node(tree, 2 * node + 1))
-
-
-def _gain(g: float, h: float, ridge: float) -> float:
-    return g * g / (h + ridge)
-
-
-def train(labelled: DataFrame, rounds: int = 8, depth: int = 3, rate: float = 0.4, ridge: float = 1.0, rows: int = TRAIN_ROWS) -> BoostedTrees:
+def suffix_rates(suffix: np.ndarray, blocked: np.ndarray, weight: np.ndarray) -> dict[str, float]:
+    """The share of blocked weight under each suffix, drawn to one half."""
+    names, at = np.unique(suffix, return_inverse=True)
+    total, bad = np.bincount(at, weight), np.bincount(at, weight * blocked)
+    return dict(zip(names.tolist(), ((bad + SMOOTHING / 2) / (total + SMOOTHING)).tolist(), strict=True))
+
+
+def best_split(g: np.ndarray, h: np.ndarray, ridge: float) -> tuple[float, int, int]:
+    """(gain, feature, border) of the best split of a node's histogram sums (feature, bin)."""
+    left_g, left_h = np.cumsum(g, axis=1)[:, :-1], np.cumsum(h, axis=1)[:, :-1]
+    all_g, all_h = g.sum(1, keepdims=True), h.sum(1, keepdims=True)
+    gain = left_g**2 / (left_h + ridge) + (all_g - left_g) ** 2 / (all_h - left_h + ridge) - all_g**2 / (all_h + ridge)
+    gain = np.where(np.minimum(left_h, all_h - left_h) < 1e-3, 0, np.round(gain, 6))
+    f, k = np.unravel_index(int(gain.argmax()), gain.shape)
+    return float(gain[f, k]), int(f), int(k)
+
+
+def grow(bins: np.ndarray, borders: list[np.ndarray], g: np.ndarray, h: np.ndarray, depth: int, rate: float, ridge: float) -> tuple[dict, np.ndarray]:
+    """A tree for rows of bin numbers (row, feature) with gradients g and weights h, and its value for each row."""
+    tree: dict = {}
+    node = np.ones(len(bins), dtype=np.int64)
+    open_ = [1]
+    for level in range(depth + 1):
+        for n in open_:
+            rows = np.flatnonzero(node == n)
+            tree[n] = round(float(rate * g[rows].sum() / (h[rows].sum() + ridge)), 9)
+            if level == depth or not len(rows):
+                continue
+            sums = [np.stack([np.bincount(bins[rows, f], x[rows], minlength=BINS) for f in range(bins.shape[1])]) for x in (g, h)]
+            gain, f, k = best_split(*sums, ridge)
+            if gain > 1e-6 and k < len(borders[f]):
+                tree[n] = (FEATURES[f], float(borders[f][k]))
+                node[rows] = 2 * n + (bins[rows, f] > k)
+        open_ = [c for n in open_ if isinstance(tree[n], tuple) for c in (2 * n, 2 * n + 1)]
+    return tree, np.array([tree[n] for n in node.tolist()])
+
+
+def train(labelled: DataFrame, rounds: int = 12, depth: int = 3, rate: float = 0.3, ridge: float = 1.0, rows: int = TRAIN_ROWS) -> BoostedTrees:
     """Trees for labelled urls (url, host, path, blocked 0 or 1)."""
-    some = labelled.where("blocked is not null").select("url", "host", "path", "blocked")
-    some = stage(lexical(some.orderBy(F.xxhash64("url"), "url", "blocked").limit(rows)), "labelled").coalesce(2)
-    n, blocked = some.agg(F.count("*"), F.sum("blocked")).first()
-    if not n:
+    some = labelled.where("blocked is not null").select("url", "host", "path", "blocked").distinct()
+    some = lexical(some.orderBy(F.xxhash64("url"), "url", "blocked").limit(rows))
+    got = some.select("blocked", "suffix", (F.crc32("host") % FOLDS).alias("fold"), *FEATURES[:-1]).collect()  # at most `rows`
+    if not got:
         return BoostedTrees(-10.0)
-    prior = (blocked + 0.5) / (n + 1)
-    model = BoostedTrees(math.log(prior / (1 - prior)))
-    for kind in ("suffix", "domain"):  # of at most `rows` urls
-        seen = some.groupBy(kind).agg(F.count("*").alias("n"), F.sum("blocked").alias("b")).collect()
-        model.rates[kind] = {r[kind]: (r["b"] + 10 * prior) / (r["n"] + 10) for r in seen}
-    some = stage(model.with_rates(some).select(*FEATURES, F.col("blocked").cast("double").alias("blocked")), "features").coalesce(2)
-    steps = [i / BINS for i in range(1, BINS)]
-    cuts = some.agg(*(F.percentile_approx(f, steps, 10_000).alias(f) for f in FEATURES)).first()
-    borders = {f: sorted(set(cuts[f])) for f in FEATURES}
+    blocked = np.array([r["blocked"] for r in got], dtype=np.float64)
+    if blocked.min() == blocked.max():
+        return BoostedTrees(10.0 if blocked[0] else -10.0)
+    suffix, fold = np.array([r["suffix"] for r in got], dtype=np.str_), np.array([r["fold"] for r in got])
+    share = blocked.mean()
+    weight = np.where(blocked == 1, 0.5 / share, 0.5 / (1 - share))
+    known = np.empty(len(got))
+    for k in range(FOLDS):
+        own = fold == k
+        of_others = suffix_rates(suffix[~own], blocked[~own], weight[~own])
+        known[own] = [of_others.get(x, 0.5) for x in suffix[own].tolist()]
+    x = np.column_stack([*(np.array([r[f] for r in got]) for f in FEATURES[:-1]), known])
+    borders = [np.unique(np.quantile(x[:, f], np.arange(1, BINS) / BINS, method="lower")) for f in range(len(FEATURES))]
+    bins = np.column_stack([np.searchsorted(b, x[:, f], "left") for f, b in enumerate(borders)])  # how many borders are below
+    model = BoostedTrees(0.0, suffix_rates(suffix, blocked, weight))
+    margin = np.zeros(len(got))
     for _ in range(rounds):
-        tree: dict = {}
-        p = F.col("p")
-        scored = some.withColumn("p", model.probability()).withColumns({"g": F.col("blocked") - p, "h": p * (1 - p)})
-        sums: dict[int, tuple[float, float]] = {}
-        for level in range(depth + 1):
-            # a bin is the number of borders below the value
-            cells = F.array(*(F.struct(F.lit(f).alias("f"), sum((F.when(F.col(f) > b, 1).otherwise(0) for b in borders[f]), F.lit(0)).alias("bin")) for f in (FEATURES if level < depth else FEATURES[:1])))
-            hist: dict[tuple[int, str], dict[int, tuple[float, float]]] = {}
-            for r in scored.select(_node(tree).alias("node"), "g", "h", F.explode(cells).alias("c")).groupBy("node", "c.f", "c.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
-                hist.setdefault((r["node"], r["f"]), {})[r["bin"]] = (r["g"], r["h"])
-            for (node, f), bins in hist.items():
-                if f == FEATURES[0]:
-                    sums[node] = (sum(g for g, _ in bins.values()), sum(h for _, h in bins.values()))
-            if level == depth:
-                break
-            best: dict[int, tuple] = {}
-            for (node, f), bins in sorted(hist.items()):
-                if isinstance(tree.get(node), float):
-                    continue
-                total_g, total_h = sums[node]
-                g = h = 0.0
-                for k, border in enumerate(borders[f]):
-                    g, h = g + bins.get(k, (0, 0))[0], h + bins.get(k, (0, 0))[1]
-                    if min(h, total_h - h) < 1e-3:
-                        continue
-                    gain = round(_gain(g, h, ridge) + _gain(total_g - g, total_h - h, ridge) - _gain(total_g, total_h, ridge), 6)
-                    if gain > best.get(node, (1e-6,))[0]:
-                        best[node] = (gain, f, float(border))
-            for node in {k for k, _ in hist}:
-                if node in best:
-                    tree[node] = best[node][1:]
-            if not best:
-                break
-        for node, (g, h) in sums.items():
-            if not isinstance(tree.get(node), tuple):
-                tree[node] = round(rate * g / (h + ridge), 9)
-        for node in [k for k, v in tree.items() if isinstance(v, tuple)]:  # a side that no labelled row took
-            for child in (2 * node, 2 * node + 1):
-                tree.setdefault(child, 0.0)
+        p = 1 / (1 + np.exp(-margin))
+        tree, value = grow(bins, borders, weight * (blocked - p), weight * p * (1 - p), depth, rate, ridge)
+        margin += value
         model.trees.append(tree)
-        if isinstance(tree[1], float):
-            break
     return model
 
 
