@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -114,13 +115,20 @@ def labelled(n=300):
     return [good() if m else bad() for m in marks], np.array(marks)
 
 
-def test_quality_is_learned_and_calibrated():
+def fit(spark, texts, marks):
+    """A model of texts under ids that aren't held out."""
+    ids = [i for i in range(2 * len(texts)) if zlib.crc32(str(i).encode()) % 5][: len(texts)]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    return quality.train(docs, spark.createDataFrame([(i, int(m)) for i, m in zip(ids, marks, strict=True)], "doc_id long, quality int"))
+
+
+def test_quality_is_learned_and_calibrated(spark):
     texts, marks = labelled()
-    model = quality.fit(texts[:200], marks[:200])
+    model = fit(spark, texts[:200], marks[:200])
     scores = model.scores(texts[200:])
     assert ((scores >= 0.3) == marks[200:]).mean() > 0.98
     assert ((scores > 0) & (scores <= 1)).all() and np.isfinite(model.scores(["", "x" * 500_000, "é" * 10])).all()
-    assert (quality.fit(texts[:200], marks[:200]).scores(texts[200:]) == scores).all()
+    assert (fit(spark, texts[:200], marks[:200]).scores(texts[200:]) == scores).all()
 
 
 def test_quality_rows(spark):
@@ -184,17 +192,36 @@ def test_training_learns_from_the_end_of_a_long_document(spark):
     assert "w:ending" in model.units
     low, high = model.scores([early, early + late])
     assert low < 0.5 < high
-    texts = quality.Spool()
-    for _, t in rows:
-        texts.add(t)
-    again = quality.word_vectors([t for _, t in rows])
-    assert all((again[k] == v).all() for k, v in quality.word_vectors(texts).items())
 
 
-def test_every_character_of_a_long_word_counts():
+def test_quality_of_real_labels(spark):
+    """Held-out rows of the larger documents: ranking, accuracy against the majority, calibration."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    own = docs.where(quality.held_out()).join(labels.select("doc_id", "quality"), "doc_id").where("quality is not null")
+    model = quality.train(docs, labels)
+    rows = own.select("quality", quality.score(model).alias("score")).collect()
+    y, p = np.array([r["quality"] for r in rows]), np.array([r["score"] for r in rows])
+    rank = np.argsort(np.argsort(p)) + 1
+    auc = (rank[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / ((y == 1).sum() * (y == 0).sum())
+    bins = np.minimum((p * 10).astype(int), 9)
+    error = sum(abs(p[bins == b].sum() - y[bins == b].sum()) for b in range(10)) / len(y)
+    print(f"held out: {len(y)} rows, AUC {auc:.5f}, accuracy {((p >= 0.5) == y).mean():.4f}, calibration error {error:.4f}")
+    assert len(y) > 500 and auc > 0.99 and ((p >= 0.3) == y).mean() > 0.98 and error < 0.02
+
+
+def test_training_does_not_depend_on_partitions(spark):
+    texts, marks = labelled(60)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(m)) for i, m in enumerate(marks)], "doc_id long, quality int")
+    a, b = quality.train(docs.repartition(1), labels).arrays, quality.train(docs.repartition(7), labels).arrays
+    assert all((a[k] == b[k]).all() for k in a)
+
+
+def test_every_character_of_a_long_word_counts(spark):
     rng, marks = random.Random(5), np.arange(200) % 2
     texts = ["".join(rng.choice("语言文字") for _ in range(300)) + ("!?;:" * 20 if m else "") for m in marks]
-    scores = quality.fit(texts, marks).scores(texts)
+    scores = fit(spark, texts, marks).scores(texts)
     assert scores[marks == 0].max() < 0.5 < scores[marks == 1].min()
     a, b = "a1b2c3d4e5", "a1b2c3d4?!"
     assert quality.shape(a) != quality.shape(b)

@@ -2,26 +2,29 @@
 
 A word, or a piece of one over 64 characters, stands for a unit: its form if it is frequent in the sample, else its shape
 (runs of letter cases, digits and marks). Each unit has a sparse ternary index vector derived from a hash; a unit's word
-vector is its index vector and the sum of those of its neighbours in the sample, scaled to length 1. A document is the mean of
-its words' vectors and three figures on its length and repetition. The network has one hidden layer; its logits are divided by
-a temperature fitted on labelled rows that it wasn't trained on. Training takes one task and the whole texts of at most
-TRAIN_ROWS labelled documents, chosen by a hash and reread from a temporary file; scoring is one pass over all whole texts
+vector is its index vector and the sum of those of its neighbours in the sample, scaled to length 1. Only the UNITS most
+frequent units have vectors of their own; others share OTHERS index vectors by hash. A document is the mean of its words'
+vectors and three figures on its length and repetition. The network has one hidden layer; its logits are divided by a
+temperature fitted on labelled rows that it wasn't trained on.
+
+Training reads the whole texts of at most TRAIN_ROWS labelled documents, chosen by a hash. Words and neighbours are counted by
+tasks over parts of them and summed (in integers, so that the parts make no difference); what comes to the driver is the units,
+their vectors and a vector for each sampled document, on which it fits the network. Scoring is one pass over all whole texts
 without shuffle.
 
 Cases: a null or empty text is scored as a document without words; labels that are null or neither 0 nor 1 are ignored, and
-of labels that repeat a doc_id the smallest counts; without any labels every score is 1; repeated rows each get a row; extra
-columns are ignored; an empty table gives no rows. Only the text is an input of a score.
+of labels that repeat a doc_id the smallest counts; without any labels every score is 1, as a filter that knows nothing should
+reject nothing; repeated rows each get a row; extra columns are ignored; an empty table gives no rows. Only the text is an
+input of a score.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-import io
 import re
-import tempfile
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from operator import eq
 
 import numpy as np
@@ -30,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import text_or_empty, text_slices
+from textloom.llm.common import stage, text_or_empty, text_slices
 
-#: Labelled documents that a model is trained on, at most; words whose neighbours are counted at once.
-TRAIN_ROWS, SLICE = 6000, 1 << 16
+#: Labelled documents that a model is trained on, at most; words whose neighbours are counted at once; parts of the sample.
+TRAIN_ROWS, SLICE, PARTS = 6000, 1 << 16, 32
 DIM, NONZERO, WINDOW, HIDDEN = 96, 6, 2, 24
 #: Units with vectors of their own, at most, and what a form needs to be one. Other shapes share index vectors.
 UNITS, LEAST, OTHERS = 6000, 20, 256
@@ -139,62 +142,64 @@ class Quality:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-class Spool:
-    """Texts in a temporary file that goes with the object: any number of passes, one text in memory at a time."""
+def word_counts(texts: Iterable[str]) -> Iterator[Counter[tuple[str, str]]]:
+    """Counts of (form, shape) of the words of texts, in parts of bounded size that add up."""
+    shapes = functools.lru_cache(maxsize=CACHE_WORDS)(shape)
+    counts: Counter[tuple[str, str]] = Counter()
+    for t in texts:
+        for w, n in Counter(words_of(t)).items():
+            counts[w.lower(), shapes(w)] += n
+        if len(counts) > CACHE_WORDS:
+            yield counts
+            counts = Counter()
+    yield counts
 
-    def __init__(self):
-        self.file, self.sizes = tempfile.TemporaryFile(), []
 
-    def add(self, text: str) -> None:
-        self.sizes.append(self.file.write(text.encode("utf-8", "surrogatepass")))
+def unit_counts(counts: DataFrame) -> DataFrame:
+    """(unit, n) of counts (form, shape, n): the form if it is frequent, else the shape."""
+    forms = counts.groupBy("form").agg(F.sum("n").alias("all"))
+    own = counts.join(forms, "form").select(F.when(F.col("all") >= LEAST, F.concat(F.lit("w:"), "form")).otherwise(F.concat(F.lit("s:"), "shape")).alias("unit"), "n")
+    return own.groupBy("unit").agg(F.sum("n").alias("n"))
 
-    def __len__(self) -> int:
-        return len(self.sizes)
 
-    def __iter__(self) -> Iterator[str]:
-        self.file.seek(0)
-        for n in self.sizes:
-            yield self.file.read(n).decode("utf-8", "surrogatepass")
+def untrained(units: list[str]) -> Quality:
+    """A model whose word vectors are the index vectors, and whose scores are 1."""
+    wide = DIM + 3
+    index = np.stack([index_vector(u) for u in units] + [index_vector(f"other:{i}") for i in range(OTHERS)])
+    nothing = {"mean": np.zeros(wide), "scale": np.ones(wide), "w1": np.zeros((wide, HIDDEN)), "b1": np.zeros(HIDDEN), "w2": np.zeros(HIDDEN), "b2": np.array(40.0), "temperature": np.array(1.0)}
+    return Quality({"units": np.array(units, dtype=np.str_), "vectors": index} | nothing)
 
 
-def word_vectors(texts: list[str] | Spool) -> dict[str, np.ndarray]:
-    """Units of the sample and their random-indexing vectors."""
-    forms: Counter[str] = Counter()
-    for t in texts:
-        forms.update(w.lower() for w in words_of(t))
-    frequent = {w for w, n in forms.items() if n >= LEAST}
-    del forms
-    shapes = functools.lru_cache(maxsize=CACHE_WORDS)(shape)
-    spell = lambda t: ["w:" + w.lower() if w.lower() in frequent else "s:" + shapes(w) for w in words_of(t)]
-    counts: Counter[str] = Counter()
-    for t in texts:
-        counts.update(spell(t))
-    kept = sorted(u for u, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:UNITS])
-    row = {u: i for i, u in enumerate(kept)}
-    index = np.stack([index_vector(u) for u in kept] + [index_vector(f"other:{i}") for i in range(OTHERS)])
-    context = np.zeros_like(index)
+def contexts(texts: Iterable[str], model: Quality) -> np.ndarray:
+    """For each unit, the sum of its neighbours' index vectors."""
+    index, n = model.vectors.astype(np.int32), len(model.units)
+    out = np.zeros((n, DIM), dtype=np.int64)
     for t in texts:
-        ids = np.array([row.get(u, -1) for u in spell(t)])
+        ids = model.rows_of(words_of(t))
         for gap in range(1, WINDOW + 1):
             for at in range(0, len(ids) - gap, SLICE):
                 b = ids[at + gap : at + gap + SLICE]
                 a = ids[at : at + len(b)]
-                ok = (a >= 0) & (b >= 0)
-                np.add.at(context, a[ok], index[b[ok]])
-                np.add.at(context, b[ok], index[a[ok]])
-    context /= np.maximum(np.sqrt((context * context).sum(1, keepdims=True)), 1e-6)
-    return {"units": np.array(kept, dtype=np.str_), "vectors": (index / np.sqrt(NONZERO) + context).astype(np.float32)}
+                ok = (a < n) & (b < n)
+                np.add.at(out, a[ok], index[b[ok]])
+                np.add.at(out, b[ok], index[a[ok]])
+    return out
 
 
-def fit(texts: list[str] | Spool, labels: np.ndarray, epochs: int = 60, seed: int = 7) -> Quality:
-    """Train a model. Every fifth row only fits the temperature."""
-    arrays = word_vectors(texts)
-    wide = DIM + 3
-    arrays |= {"mean": np.zeros(wide), "scale": np.ones(wide), "w1": np.zeros((wide, HIDDEN)), "b1": np.zeros(HIDDEN), "w2": np.zeros(HIDDEN), "b2": np.array(40.0), "temperature": np.array(1.0)}
-    model = Quality(arrays)
-    if not len(texts):
+def with_contexts(model: Quality, context: np.ndarray) -> Quality:
+    """The model with word vectors made of index vectors and contexts."""
+    context = context / np.maximum(np.sqrt((context * context).sum(1, keepdims=True)), 1e-6)
+    vectors = model.vectors / np.sqrt(NONZERO)
+    vectors[: len(context)] += context
+    return Quality(model.arrays | {"vectors": vectors.astype(np.float32)})
+
+
+def fit_network(model: Quality, x: np.ndarray, y: np.ndarray, epochs: int = 60, seed: int = 7) -> Quality:
+    """The model with a network trained on inputs x of documents labelled y. Every fifth only fits the temperature."""
+    if not len(x):
         return model
-    x, y = np.stack([model.inputs(t) for t in texts]).astype(np.float64), labels.astype(np.float64)
+    arrays, wide = dict(model.arrays), DIM + 3
+    x, y = x.astype(np.float64), y.astype(np.float64)
     held = np.arange(len(x)) % 5 == 4
     tx, ty = x[~held], y[~held]
     arrays["mean"], arrays["scale"] = tx.mean(0), tx.std(0) + 0.05
@@ -217,7 +222,7 @@ def fit(texts: list[str] | Spool, labels: np.ndarray, epochs: int = 60, seed: in
                 p[k] = p[k] - 0.004 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
     arrays |= p
     if held.any():
-        z, hy = model.logits(x[held]), y[held]
+        z, hy = Quality(arrays).logits(x[held]), y[held]
         loss = lambda c: float(np.mean(np.logaddexp(0, z / c) - hy * z / c))
         arrays["temperature"] = np.array(min(np.geomspace(0.3, 6, 61), key=loss))
     return Quality(arrays)
@@ -234,24 +239,40 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Qu
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     some = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(known), "doc_id")
     # a repeated doc_id counts once, so the bound holds here too
-    some = some.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
-    some = some.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    sample = stage(some.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality")).repartition(PARTS), "sample")
+    texts_of = lambda batches: (t for part in text_slices(batches, "text") for t in part.column(part.schema.get_field_index("text")).to_pylist())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for counts in word_counts(texts_of(batches)):
+            form, kind = zip(*counts, strict=True) if counts else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(form, pa.string()), pa.array(kind, pa.string()), pa.array(list(counts.values()), pa.int64())], names=["form", "shape", "n"])
+
+    units = unit_counts(sample.select("text").mapInArrow(count, "form string, shape string, n long"))
+    bare = untrained(sorted(r["unit"] for r in units.orderBy(F.desc("n"), "unit").limit(UNITS).collect()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, marks = Spool(), []
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([contexts(texts_of(batches), bare).tobytes()], pa.binary())], names=["sums"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((len(bare.units), DIM), dtype=np.int64)
+        for batch in batches:
+            for sums in batch.column(0):
+                out += np.frombuffer(sums.as_buffer(), dtype=np.int64).reshape(out.shape)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
+
+    # at most a matrix for each part of the sample, of fixed size
+    got = sample.select("text").mapInArrow(neighbours, "sums binary").repartition(1).mapInArrow(total, "sums binary").first()
+    model = with_contexts(bare, np.frombuffer(got[0], dtype=np.int64).reshape(-1, DIM) if got else np.zeros((len(bare.units), DIM)))
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
-            for t in part.column(1).to_pylist():
-                texts.add(t)
-            marks += part.column(2).to_pylist()
-        out = io.BytesIO()
-        np.savez(out, **fit(texts, np.array(marks)).arrays)
-        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["model"])
-
-    got = some.mapInArrow(run, "model binary").first()
-    if got is None:  # no partition at all
-        return fit([], np.empty(0))
-    with np.load(io.BytesIO(got[0])) as found:
-        return Quality({k: found[k] for k in found.files})
+            x = [model.inputs(t).tobytes() for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x, pa.binary()), part.column(2)], names=["doc_id", "x", "quality"])
+
+    pooled = sample.select("doc_id", "text", "quality").mapInArrow(pool, "doc_id long, x binary, quality int")
+    pooled = pooled.orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # at most `rows`
+    x = np.frombuffer(b"".join(r["x"] for r in pooled), dtype=np.float32).reshape(-1, DIM + 3)
+    return fit_network(model, x, np.array([r["quality"] for r in pooled]))
 
 
 def score(model: Quality, text: str = "text") -> Column:
