@@ -3,7 +3,6 @@
 import base64
 import gzip
 import hashlib
-import io
 import math
 import random
 import re
@@ -131,10 +130,41 @@ def test_archives_round_trip(spark, tmp_path, least, compression):
     merged = warc.merge_index(warc.read_archives(spark, path)).collect()
     order = [(r["urlkey"], r["captured"], r["page_id"] or -1) for r in merged]
     assert order == sorted(order) and len(merged) == len(PAGES)
-    files = [p for p in (tmp_path / "warc").iterdir() if p.name.startswith("part-")]
-    blobs = [gzip.decompress(p.read_bytes()) if p.name.endswith(".gz") else p.read_bytes() for p in files]
-    payloads = [body for b in blobs for head, body in warc.parse(io.BytesIO(b)) if head["WARC-Type"] == "response"]
-    assert PAGES[5][2].encode() in payloads
+    pages = {}
+    for i, url, html in PAGES:
+        pages.setdefault((i, re.sub("\r\n", "%0D%0A", url or "")), (html or "").encode())
+    for r in merged:  # by its entry alone, a record is its page
+        head, payload = warc.fetch(spark, r["archive"], r["offset"], r["length"])
+        assert payload == (pages[r["page_id"], r["url"]] if r["record_type"] == "response" else b"")
+        assert head.get("X-Refers-To-Page") == (r["refers_to"] and str(r["refers_to"]))
+    ids = [warc.fetch(spark, r["archive"], r["offset"], r["length"])[0]["WARC-Record-ID"] for r in merged]
+    assert len(set(ids)) == len(ids)
+    if compression == "gzip":  # any reader of gzip files takes whole archives
+        blobs = [gzip.decompress(p.read_bytes()) for p in (tmp_path / "warc").iterdir() if p.name.startswith("part-")]
+        assert sum(b.count(b"WARC-Record-ID") for b in blobs) == len(PAGES)
+
+
+def test_one_huge_page_does_not_split_the_rest(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
+    noise = random.Random(3)
+    rows = [(i, f"http://h{i % 7}.org/{i}", f"page {i} {noise.random()}") for i in range(3000)] + [(9999, "http://big.org/", "".join(map(chr, noise.choices(range(32, 0x3000), k=9 << 20))))]
+    noise.shuffle(rows)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "warc")
+    warc.write_archives(df, path)
+    files = sorted(p.stat().st_size for p in (tmp_path / "warc").iterdir() if p.name.startswith("part-"))
+    assert len(files) <= 2 + sum(files[:-1]) // (1 << 19) and files[-1] > 16 << 20
+    got = warc.read_archives(spark, path)
+    assert got.count() == 3001 and got.where("page_id = 9999").first()["payload_bytes"] == len(rows[[r[0] for r in rows].index(9999)][2].encode())
+
+
+def test_pages_that_repeat_nothing_are_not_shuffled(spark):
+    rows = [(i, "u", f"{i}") for i in range(50)] + [(100, "u", "7"), (101, "u", "7")]
+    got = warc.planned(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r["page_id"]: r["refers_to"] for r in got.where("refers_to is not null").collect()} == {100: 7, 101: 7}
+    assert got.count() == 52 and {bytes(r["payload"]) for r in got.where("page_id >= 100").collect()} == {b""}
+    text = got._jdf.queryExecution().toString()
+    assert "Union" in text
 
 
 def test_no_pages(spark):
@@ -142,11 +172,14 @@ def test_no_pages(spark):
 
 
 def test_damaged_archives_raise():
-    whole = b"WARC/1.1\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
-    assert [b for _, b in warc.parse(io.BytesIO(whole * 2))] == [b"abc"] * 2
-    for wrong in (whole[:-1], whole[:30], b"x" + whole, whole.replace(b"3", b"2")):
+    whole = b"WARC/1.1\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 9\r\n\r\nOK\r\n\r\nabc\r\n\r\n"
+    read = lambda blob: [warc.parse(one) for *_, one in warc.members(blob)]
+    assert [b for _, b in read(whole * 2)] == [b"abc"] * 2
+    packed = gzip.compress(whole)
+    assert [(at, n) for at, n, _ in warc.members(packed * 2 + b"\0")] == [(0, len(packed)), (len(packed), len(packed))]
+    for wrong in (whole[:-1], whole[:30], b"x" + whole, whole.replace(b": 9", b": 8"), packed[:-3]):
         with pytest.raises(ValueError):
-            list(warc.parse(io.BytesIO(wrong)))
+            read(wrong)
 
 
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 7, 8])

@@ -1,137 +1,219 @@
 """WARC archives with payload revisits, and an external merge of their indexes.
 
-Writing: each row becomes a record. Of records with equal payloads, that of the smallest page_id is the response; others
-revisit it and carry no payload. Spark's text writer ends each record with the blank lines that the format asks for, so
-archives are written through its commit protocol to any file system. Reading: whole archive files, whose size is bounded by
-the records a file may have, are parsed by Content-Length; payloads are digested again and held against their headers.
+Writing: each row becomes a record, a gzip member of its own. Of records with equal payloads, that of the smallest page_id is
+the response; others revisit it and carry no payload. A task rolls its records into archives by their bytes, and Spark's text
+writer puts each archive into a file through its commit protocol, on any file system: an archive is one "line", whose last
+byte, which is known, is the line's end. Pages whose payload surely repeats none are archived where they are read; only those
+that a filter of fixed size lets through are shuffled, to be joined to what they revisit.
 
-Index: each archive is a capture run. Its entries are sorted locally by URL key and time; range partitions of the key space
-take the runs' fragments, and a loser tree merges them, so that partitions in order hold the global capture histories.
+Reading: archives are parsed member by member; payloads are digested again and held against their headers. Each archive is a
+capture run: its entries (with the offset and length of their records) are sorted by URL key, time and page. Range partitions
+of the key space take the runs' fragments, and a loser tree merges them, so that partitions in order hold the global capture
+histories. A partition has about MERGE_ROWS entries, however many there are.
 
 Cases: a null html is an empty payload, a null url an empty one; empty payloads are deduplicated like others unless the least
 size says otherwise; rows that repeat the smallest page_id of a payload are all responses; extra columns are ignored; an
-empty table gives no rows; rows without page_id are responses; line breaks in a url are percent-encoded.
+empty table gives no rows; rows without page_id are responses; line breaks in a url are percent-encoded; a record over the
+size of an archive has one for itself.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-import io
 import math
+import re
+import uuid
+import zlib
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from itertools import groupby
-from typing import BinaryIO
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import shared_path, stage
 
-END = "\r\n\r\n"
-#: Records of an archive file, at most, and its bytes of payload, at most.
-FILE_RECORDS, FILE_BYTES = 4096, 128 << 20
-#: Index entries that a merging task takes, about.
-MERGE_ROWS = 200_000
-FIELDS = "page_id long, url string, captured string, record_type string, refers_to long, payload_bytes long, payload_digest string, archive string"
+END = b"\r\n\r\n"
+#: Bytes of an archive, at most, but for a single record that is larger; bytes that reading takes at once.
+FILE_BYTES, READ_BYTES = 32 << 20, 16 << 10
+#: Index entries that a merging task takes, about; bits of the filter for pages that may revisit others.
+MERGE_ROWS, FILTER_BITS = 200_000, 1 << 22
+ENTRY = "page_id long, url string, urlkey string, captured string, record_type string, refers_to long, payload_bytes long, payload_digest string, archive string, offset long, length long, nth long"
+NAMES = [x.split()[0] for x in ENTRY.split(", ")]
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def base32_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def base32_of_hex(digest: Column) -> Column:
-    """Base32 of a SHA-1 in hex: five hex digits are 20 bits, which are four letters."""
-    letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-    out = []
-    for i in range(0, 40, 5):
-        bits = F.conv(F.substring(digest, i + 1, 5), 16, 10).cast("int")
-        out += [F.substr(letters, F.shiftright(bits, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*out)
+def captured(page_id: int | None) -> str:
+    """A page is captured page_id seconds after 2020 began."""
+    return (datetime(2020, 1, 1) + timedelta(seconds=(page_id or 0) % 3_000_000_000)).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def url_key(url: str) -> str:
+    """The host's labels in reverse and what follows the host."""
+    host = re.match("^(?:[^/?#]*?://)?([^/?#]*)", url)
+    return ",".join(reversed(host[1].lower().split("."))) + ")" + url[host.end() :]
 
 
 def planned(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Pages with their digest, capture time, and whether they are a response or revisit another page."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("n", F.octet_length("html").cast("long")).withColumn("sha", F.sha1("html"))
-    digests = stage(rows.select("page_id", "n", "sha"), "digests")
-    first = digests.where(F.col("n") >= least).groupBy("sha").agg(F.min("page_id").alias("first"))
-    again = digests.join(first, "sha").where("first < page_id").select("page_id", "sha", "first").distinct()
-    out = rows.join(again, ["page_id", "sha"], "left")
-    revisit = F.col("first").isNotNull()
-    return out.select("page_id", "url", "html", "n", base32_of_hex(F.col("sha")).alias("digest"), F.col("first").alias("refers_to"), revisit.alias("revisit"))
-
-
-def records(pages: DataFrame, least: int = 0) -> DataFrame:
-    """(value) the text of each record up to its ending. A page is captured page_id seconds after 2020 began."""
-    rows = planned(pages, least)
-    time = F.date_format(F.timestamp_seconds(F.coalesce("page_id", F.lit(0)) % 3_000_000_000 + 1_577_836_800), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "),
-        F.when(F.col("revisit"), "revisit").otherwise("response"),
-        F.lit("\r\nWARC-Record-ID: <urn:page:"),
-        F.coalesce(F.col("page_id").cast("string"), F.lit("")),
-        F.lit(">\r\nWARC-Target-URI: "),
-        F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")),
-        F.lit("\r\nWARC-Date: "),
-        time,
-        F.lit("\r\nWARC-Payload-Digest: sha1:"),
-        F.col("digest"),
-        F.lit("\r\nX-Payload-Length: "),
-        F.col("n").cast("string"),
-        F.when(F.col("revisit"), F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))).otherwise(""),
-        F.lit("\r\nContent-Type: text/html\r\nContent-Length: "),
-        F.when(F.col("revisit"), "0").otherwise(F.col("n").cast("string")),
-        F.lit(END),
-        F.when(F.col("revisit"), "").otherwise(F.col("html")),
-    )
-    return rows.select(head.alias("value"))
+    """(page_id, url, payload, n, refers_to, refers_url): pages with what they revisit, if they do. A revisit has no payload."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
+    rows = rows.withColumn("n", F.octet_length("payload").cast("long")).withColumn("sha", F.sha1("payload"))
+    digests = stage(rows.select("page_id", "url", "n", "sha"), "digests")
+    first = digests.where((F.col("n") >= least) & F.col("page_id").isNotNull()).groupBy("sha").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    again = digests.join(first, "sha").where("first.page_id < page_id").select("page_id", "sha", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url")).distinct()
+    again = stage(again, "revisits")
+    bit = F.pmod(F.xxhash64("page_id"), F.lit(FILTER_BITS)).cast("int")
+    # a row for each 64 bits of the filter, whatever the tables' size
+    words = again.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("bits"))
+    rows = rows.withColumn("bit", bit).withColumn("word", F.shiftright("bit", 6)).join(F.broadcast(words), "word", "left")
+    maybe = F.coalesce(F.expr("(shiftrightunsigned(bits, bit & 63) & 1) = 1"), F.lit(False))
+    columns = ["page_id", "url", "payload", "n", "sha"]
+    alone = rows.where(~maybe).select(*columns, F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_url"))
+    # a payload that very many pages share is many (page_id, sha) keys, so none of them is hot
+    met = rows.where(maybe).select(*columns).join(again, ["page_id", "sha"], "left").select(*columns, "refers_to", "refers_url")
+    out = alone.unionByName(met.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b""))))
+    return out.select("page_id", "url", "payload", "n", "sha", "refers_to", "refers_url")
+
+
+def record(page_id: int | None, url: str, payload: bytes, n: int, sha: str, refers_to: int | None, refers_url: str | None, name: uuid.UUID) -> bytes:
+    """A WARC record: an HTTP response, or a revisit of one."""
+    quoted = lambda x: x.replace("\r", "%0D").replace("\n", "%0A")
+    revisit = refers_to is not None
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{name.urn}>", f"WARC-Target-URI: {quoted(url)}", f"WARC-Date: {captured(page_id)}"]
+    lines += [f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(sha)).decode()}", f"X-Payload-Length: {n}"]
+    if page_id is not None:
+        lines.append(f"X-Page: {page_id}")
+    if revisit:
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Target-URI: {quoted(refers_url)}", f"WARC-Refers-To-Date: {captured(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + len(payload)}"]
+    return "\r\n".join(lines).encode() + END + http + payload + END
+
+
+def archives(pages: DataFrame, least: int, compression: str) -> DataFrame:
+    """(value) whole archives without their last byte, where that is the line's end."""
+    end = line_end(compression).encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, nth = [], 0, 0
+
+        def rolled() -> pa.RecordBatch:
+            whole = b"".join(held)
+            return pa.RecordBatch.from_arrays([pa.array([whole.removesuffix(end)], pa.large_binary()).cast(pa.binary())], names=["value"])
+
+        part = TaskContext.get().partitionId()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                name = uuid.uuid5(uuid.NAMESPACE_URL, f"{part} {nth} {row['page_id']} {row['sha']} {row['url']}")
+                one = record(**row, name=name)
+                if compression == "gzip":
+                    squeeze = zlib.compressobj(wbits=31)
+                    one = squeeze.compress(one) + squeeze.flush()
+                nth += 1
+                if held and size + len(one) > FILE_BYTES:
+                    yield rolled()
+                    held, size = [], 0
+                held.append(one)
+                size += len(one)
+        if held:
+            yield rolled()
+
+    return planned(pages, least).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+
+
+def line_end(compression: str) -> str:
+    """What an archive's last byte is: of a gzip member, the highest byte of a size under 16 MiB; of a plain record, a line
+    feed. After a larger gzip member it pads the file, as the format allows."""
+    return {"gzip": "\0", "none": "\n"}[compression]
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0, compression: str = "gzip") -> None:
-    """Write the records of pages (page_id, url, html) as archives under path, each compressed as a whole (or "none")."""
-    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 1
-    per_file = max(1, min(FILE_RECORDS, FILE_BYTES // largest))
-    records(pages, least).write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
-
-
-def parse(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, payload) of each record of an archive, one record in memory at a time."""
-    while version := stream.readline():
-        if not version.startswith(b"WARC/"):
-            raise ValueError(f"no record begins with {version[:40]!r}")
-        head = {}
-        while (line := stream.readline()) != b"\r\n":
-            if not line.endswith(b"\r\n"):
+    """Write the records of pages (page_id, url, html) as archives under path, each record compressed by itself (or "none")."""
+    archives(pages, least, compression).write.option("lineSep", line_end(compression)).option("maxRecordsPerFile", 1).option("compression", "none").text(path)
+
+
+def members(blob: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, record) of the gzip members of an archive, or of its plain records."""
+    view, at = memoryview(blob), 0
+    while at < len(blob):
+        if blob[at] == 0:  # padding
+            at += 1
+            continue
+        if blob[at : at + 2] == b"\x1f\x8b":
+            inflate, out, end = zlib.decompressobj(wbits=31), [], at
+            while not inflate.eof:
+                if end >= len(blob):
+                    raise ValueError("the archive ends in a member")
+                out.append(inflate.decompress(view[end : end + READ_BYTES]))
+                end = min(end + READ_BYTES, len(blob))
+            end -= len(inflate.unused_data)
+            yield at, end - at, b"".join(out)
+        else:
+            head = blob.find(END, at)
+            found = re.search(rb"\r\nContent-Length: (\d+)(?:\r\n|$)", blob[at:head]) if head >= 0 else None
+            if not found:
                 raise ValueError("the archive ends in a record's headers")
-            name, value = line[:-2].decode().split(": ", 1)
-            head[name] = value
-        payload = stream.read(int(head["Content-Length"]))
-        if stream.read(len(END)) != END.encode():
-            raise ValueError(f"{head['WARC-Record-ID']} doesn't end as its length says")
-        yield head, payload
+            end = head + len(END) + int(found[1]) + len(END)
+            yield at, end - at, blob[at:end]
+        at = end
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records under path, with payload lengths and digests. A response's are those of its payload as read."""
+def parse(whole: bytes) -> tuple[dict[str, str], bytes]:
+    """(headers, payload) of a record."""
+    if not whole.startswith(b"WARC/"):
+        raise ValueError(f"no record begins with {whole[:40]!r}")
+    head, _, rest = whole.partition(END)
+    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+    n = int(fields["Content-Length"])
+    if len(rest) != n + len(END) or not rest.endswith(END):
+        raise ValueError(f"{fields['WARC-Record-ID']} doesn't end as its length says")
+    return fields, rest[:n].partition(END)[2]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        page = lambda x: int(x[len("<urn:page:") : -1]) if x and x != "<urn:page:>" else None
-        for frame in frames:
-            for name, blob in zip(frame["path"], frame["content"], strict=True):
-                rows = []
-                for head, payload in parse(gzip.open(io.BytesIO(blob)) if name.endswith(".gz") else io.BytesIO(blob)):
-                    n, digest = int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if head["WARC-Type"] == "response" and (len(payload), base32_digest(payload)) != (n, digest):
-                        raise ValueError(f"{head['WARC-Record-ID']}: payload and headers differ")
-                    rows.append((page(head["WARC-Record-ID"]), head["WARC-Target-URI"], head["WARC-Date"], head["WARC-Type"], page(head.get("WARC-Refers-To")), n, digest, name))
-                out = pd.DataFrame(rows, columns=[x.split()[0] for x in FIELDS.split(", ")])
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """An index entry for each record under path, archive by archive in the order of URL key, time and page. A response's
+    length and digest are those of its payload as read."""
+
+    def entries(name: str, blob: bytes) -> Iterator[tuple]:
+        for offset, length, whole in members(blob):
+            head, payload = parse(whole)
+            n, digest = int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:")
+            if head["WARC-Type"] == "response" and (len(payload), base32_digest(payload)) != (n, digest):
+                raise ValueError(f"{head['WARC-Record-ID']}: payload and headers differ")
+            page, refers = head.get("X-Page"), head.get("X-Refers-To-Page")
+            url = head["WARC-Target-URI"]
+            yield page and int(page), url, url_key(url), head["WARC-Date"], head["WARC-Type"], refers and int(refers), n, digest, name, offset, length
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows = sorted(entries(batch.column(0)[i].as_py(), batch.column(1)[i].as_py()), key=lambda r: (r[2], r[3], -1 if r[0] is None else r[0]))
+                columns = list(zip(*((*r, nth) for nth, r in enumerate(rows)), strict=True))
+                kinds = [pa.int64() if x.split()[1] == "long" else pa.string() for x in ENTRY.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=NAMES)
 
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
-    return files.mapInPandas(run, FIELDS)
+    return files.mapInArrow(run, ENTRY)
+
+
+def fetch(spark: SparkSession, archive: str, offset: int, length: int) -> tuple[dict[str, str], bytes]:
+    """(headers, payload) of the record of an index entry, by reading nothing but its bytes."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(archive)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        stream.seek(offset)
+        return parse(next(members(bytes(stream.readNBytes(length))))[2])
+    finally:
+        stream.close()
 
 
 class LoserTree:
@@ -171,12 +253,11 @@ class LoserTree:
 
 def merge_index(entries: DataFrame) -> DataFrame:
     """Archive entries in global order of URL key, capture time and page: partition by partition, and in each by a merge of
-    its runs. Adds urlkey. Partitions are ranges of the whole key, so a URL with very many captures has several."""
+    its runs. Partitions are ranges of the whole key, so a URL with very many captures has several."""
     spark = entries.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(entries.count() / MERGE_ROWS))
-    rows = entries.withColumn("urlkey", F.concat(F.array_join(F.reverse(F.split(F.lower(F.regexp_extract("url", "^(?:[^/?#]*?://)?([^/?#]*)", 1)), "\\.")), ","), F.lit(")"), F.regexp_replace("url", "^(?:[^/?#]*?://)?[^/?#]*", "")))
-    ranged = rows.repartitionByRange(parts, "urlkey", "captured", "page_id").sortWithinPartitions("archive", "urlkey", "captured", "page_id")
-    names = ranged.columns
+    # a run is sorted where it was read; its fragments are only put in their order again
+    ranged = entries.repartitionByRange(parts, "urlkey", "captured", "page_id").sortWithinPartitions("archive", "nth")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [x for x in frames if len(x)]
@@ -184,14 +265,11 @@ def merge_index(entries: DataFrame) -> DataFrame:
             return
         own = pd.concat(got, ignore_index=True)
         own["page_id"], own["refers_to"] = own["page_id"].astype("Int64"), own["refers_to"].astype("Int64")
-        ids = own["page_id"].fillna(-1)
-        keys = list(zip(own["urlkey"], own["captured"], ids, range(len(own)), strict=True))
+        keys = list(zip(own["urlkey"], own["captured"], own["page_id"].fillna(-1), range(len(own)), strict=True))
         runs = [iter([key for _, key in part]) for _, part in groupby(zip(own["archive"], keys, strict=True), key=lambda x: x[0])]
-        order = [key[-1] for key in LoserTree(runs)]
-        yield own.iloc[order][names]
+        yield own.iloc[[key[-1] for key in LoserTree(runs)]][NAMES]
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema)
-    return ranged.mapInPandas(run, fields)
+    return ranged.mapInPandas(run, ENTRY).drop("nth")
 
 
 def archive(pages: DataFrame, path: str | None = None, least: int = 0) -> DataFrame:
