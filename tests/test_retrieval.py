@@ -3,14 +3,13 @@
 import json
 import math
 import random
+import re
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from textloom.operators import bm25, context, corpus, crawl, fusion, multihop, vectors
+from textloom.operators import bm25, context, corpus, crawl, fusion, multihop, tokens, vectors
 from textloom.operators.rules import RuleSet, SiteProfile
 from textloom.plans.answer import Answerer, checked_model_name, compare, evaluate, to_csv_with_mark
 from textloom.plans.build import BuildConfig, build, merge_crawl
@@ -119,20 +118,44 @@ def test_budget_takes_whole_pieces_then_a_prefix(spark):
     assert {(r["qid"], r["rank"]): r["keep"] for r in got} == {(0, 1): 50, (0, 2): 40, (1, 1): 90, (2, 1): 100, (3, 1): 100}
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 90), max_size=6), st.integers(0, 40))
-def test_prompts_fit_and_end(sizes, asked):
-    question, limit = "q " * asked, 576 + 100
-    contexts = ["w " * n for n in sizes]
-    prompt = context.build_prompt(question, contexts, lambda q, c: f"sys {c} ask {q}", max_len=limit, new_tokens=512)
-    assert context.words(prompt) <= limit - 512 - 64
-
-
-def test_prompts_refuse_what_cannot_fit():
+def plain_prompt(question, context_):
+    return F.concat(F.lit("sys "), context_, F.lit(" ask "), question)
+
+
+def test_prompts_fit_and_hold_what_fits(spark):
+    """Every prompt fits; one whose contexts fit together holds them all; others hold the longest prefix by rank."""
+    rng, room = random.Random(6), 100
+    rows, asked = [], {}
+    for qid in range(60):
+        asked[qid] = "q " * rng.randrange(40)
+        rows += [(qid, asked[qid], rank, " ".join(["w", "汉字", "x-y"][rng.randrange(3)] for _ in range(rng.randrange(90)))) for rank in range(1, rng.randrange(7))] or [(qid, asked[qid], 0, None)]
+    got = {r["qid"]: (r["prompt"], r["n"]) for r in context.build_prompts(spark.createDataFrame(rows, "qid long, question string, rank int, text string"), plain_prompt, max_len=576 + room, new_tokens=512).withColumn("n", context.tokens_in(F.col("prompt"))).collect()}
+    assert set(got) == set(asked)
+    count = lambda x: len(re.findall("[一-鿿]|[^\\s一-鿿]+", x))
+    for qid, (prompt, n) in got.items():
+        pieces = [f"[资料{i}] {t}" for i, t in enumerate([t for q, _, _, t in rows if q == qid and t is not None], 1)]
+        whole = f"sys {'\n\n'.join(pieces)} ask {asked[qid]}"
+        assert n == count(prompt) <= room
+        if count(whole) <= room:
+            assert prompt == whole
+        else:
+            body = prompt.removeprefix("sys ").removesuffix(f" ask {asked[qid]}")
+            assert "\n\n".join(pieces).startswith(body) and (n == room or room - n <= 32 + 2)
+
+
+def test_prompts_shrink_where_tokens_do_not_add_up(spark):
+    """A counter by characters counts the blank lines between parts too; the last part gives way."""
+    rows = spark.createDataFrame([(1, "q", 1, "a" * 40), (1, "q", 2, "b" * 500)], "qid long, question string, rank int, text string")
+    got = context.build_prompts(rows, plain_prompt, max_len=576 + 150, new_tokens=512, count=F.length, cut=lambda x, n: F.substr(x, F.lit(1), n)).first()["prompt"]
+    assert len(got) == 150 and got.startswith("sys [资料1] " + "a" * 40 + "\n\n[资料2] bbb")
+
+
+def test_prompts_refuse_what_cannot_fit(spark):
+    rows = spark.createDataFrame([(1, "q " * 200, 0, None)], "qid long, question string, rank int, text string")
     with pytest.raises(ValueError, match="leave no room"):
-        context.build_prompt("q", [], lambda q, c: q, max_len=500)
-    with pytest.raises(ValueError, match="question alone"):
-        context.build_prompt("q " * 200, [], lambda q, c: q, max_len=600)
+        context.build_prompts(rows, plain_prompt, max_len=500)
+    with pytest.raises(Exception, match="question alone"):
+        context.build_prompts(rows, plain_prompt, max_len=600).collect()
 
 
 def test_neighbours_respect_gaps_and_repeats(spark):
@@ -148,7 +171,7 @@ def test_candidates_take_their_neighbours_by_key(spark):
     assert got == {(7, 1): "a\n\nb2\n\nc", (7, 9): "own", (8, 4): "x"}
 
 
-def test_vector_search_and_matrix_equal_numpy(spark):
+def test_vector_search_and_matrix_equal_numpy(spark, monkeypatch):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 8)).astype(np.float32)
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "idx long, embedding array<float>").repartition(5)
@@ -156,8 +179,19 @@ def test_vector_search_and_matrix_equal_numpy(spark):
     got = {(r["qid"], r["rank"]): r["idx"] for r in vectors.search(rows, queries, 9).collect()}
     scores = x.astype(np.float64) @ x[:7].astype(np.float64).T
     assert got == {(q, k + 1): int(i) for q in range(7) for k, i in enumerate(np.argsort(-scores[:, q], kind="stable")[:9])}
-    with pytest.raises(ValueError, match="at most"):
-        vectors.pairwise(spark.range(vectors.MATRIX_ROWS + 5).select(F.col("id").alias("idx"), F.array(F.lit(1.0)).alias("embedding")))
+    for block in (4096, 70):
+        monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+        pairs = {(r["a"], r["b"]): r["score"] for r in vectors.pairwise(rows).collect()}
+        unit = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+        assert len(pairs) == 300 * 300 and np.allclose([pairs[a, b] for a in range(300) for b in range(300)], (unit @ unit.T).ravel())
+
+
+def test_vector_search_takes_ties_by_number(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SCORED", 7)
+    rows = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(200)], "idx long, embedding array<double>").repartition(4)
+    got = vectors.search(rows, spark.createDataFrame([(0, [1.0, 0.0])], "qid long, embedding array<double>"), 70).orderBy("rank").collect()
+    assert [r["idx"] for r in got] == [i for i in range(200) if i % 3 == 2] + [1, 4, 7, 10]
+    assert vectors.search(rows, rows.limit(0).withColumnRenamed("idx", "qid"), 3).count() == 0
 
 
 def test_crawl_items(spark):
@@ -202,6 +236,41 @@ def test_dense_search_and_missing_index(spark, retriever):
         Retriever(retriever.chunks, retriever.embeddings, retriever.encoder).search(asked, hybrid=True)
 
 
+def test_many_questions_for_the_address(spark, retriever, monkeypatch):
+    monkeypatch.setattr("textloom.plans.search.EVIDENCE_QUESTIONS", 60)
+    asked = spark.createDataFrame([(i, f"{SiteProfile().university}的官网是什么 {i}") for i in range(150)], "qid long, q string")
+    found = retriever.url_evidence(asked).collect()
+    assert sorted({r["qid"] for r in found}) == list(range(150)) and {r["idx"] for r in found} == {4}
+
+
+def test_a_written_index_searches_alike(spark, retriever, tmp_path):
+    retriever.write(str(tmp_path / "index"))
+    again = Retriever.load(spark, str(tmp_path / "index"), vectors.hashing_encoder())
+    asked = spark.createDataFrame([(1, "《数据结构》老师的邮箱"), (3, "hello words")], "qid long, q string")
+    assert sorted(map(tuple, again.search(asked, 3).collect())) == sorted(map(tuple, retriever.search(asked, 3).collect()))
+
+
+def test_words_of_the_vocabulary_are_tokens(spark):
+    words = tokens.dictionary_segmenter(RuleSet().vocabulary())
+    row = spark.createDataFrame([("电子信息工程与招生简章",)], "x string").select(words(F.col("x")).alias("w"), tokens.tokenize("x", words).alias("t")).first()
+    assert row["w"] == ["电子信息工程", "与", "招生", "简", "章"]
+    assert "电子信息工程" in row["t"] and row["t"].count("招生") == 2
+
+
+def test_expansions_are_those_of_the_tables(spark):
+    """Typed from the rules' description: what the questions of each kind get added, in order."""
+    site = SiteProfile()
+    cases = {
+        "学院什么时候成立": ["学院介绍 成立于2013年 信息科学与技术学院 school of information science and technology"],
+        "首任院长": ["创始院长 创院院长 首任院长 创始人 founding dean 学院介绍 信息科学与技术学院"],
+        "院长": ["院长 现任院长 Dean Executive Dean 视觉与数据智能中心 VDI 师资队伍 学院介绍"],
+        "《机器人》讲座": ["课程表 本硕博课程体系 本科生教学教务 研究生教学教务 course schedule 任课老师 课程代码", "学术讲座 讲座通知 学术活动 seminar lecture event", "自动化与机器人中心 STAR", "机器人"],
+        "后摩尔器件与集成系统中心和智慧电气科学中心": ["研究中心 联合实验室 省部级研究中心 常任教授 VDI PMICC CIPES STAR SMIRC SSC", "后摩尔器件与集成系统中心 PMICC 新型器件 电路 系统 智慧电气科学中心 CIPES 智能电网 电动车 物联网 大数据 人工智能"],
+    }
+    rows = spark.createDataFrame([(q,) for q in cases], "q string")
+    assert {r["q"]: r["e"] for r in rows.select("q", RuleSet(site).expansion_list(F.col("q")).alias("e")).collect()} == cases
+
+
 def test_answers_and_evaluation(spark, retriever, tmp_path):
     answerer = Answerer(retriever, lambda prompts: ["thought</think> " + str(len(p) > 0) for p in prompts], top_k=2)
     text, sources = answerer.ask(spark, "hello words")
@@ -211,8 +280,9 @@ def test_answers_and_evaluation(spark, retriever, tmp_path):
     table = evaluate(answerer, items)
     assert table.columns == EVALUATION and [r["sys_resp_hybrid"] for r in table.collect()] == ["True", "True"]
     assert compare(answerer, items, {"dense": False}).columns == ["query", "gt_answer", "type", "resp_dense", "lat_dense"]
-    to_csv_with_mark(table, str(tmp_path / "t.csv"))
-    assert (tmp_path / "t.csv").read_bytes().startswith(b"\xef\xbb\xbfquery,")
+    to_csv_with_mark(table, str(tmp_path / "t.csv"), 1)
+    (written,) = (tmp_path / "t.csv").glob("part-*.csv")
+    assert written.read_bytes().startswith(b"\xef\xbb\xbfquery,")
 
 
 def test_names_of_second_hops(spark):
@@ -251,6 +321,21 @@ def test_build_from_crawl_to_clean_tables(spark, tmp_path):
         build(spark, BuildConfig(folder, folder + "/"))
 
 
+def test_a_swap_that_was_cut_off_is_undone_or_completed(spark, tmp_path):
+    a, b = str(tmp_path / "a.jsonl"), str(tmp_path / "b.jsonl")
+    read = lambda: [spark.read.json(p).first()["x"] for p in (a, b)]
+    sinks.swap_jsonl(spark, {p: spark.sql("select 1 as x") for p in (a, b)})
+    sinks.write_jsonl(spark.sql("select 2 as x"), a + ".new")
+    sinks.finish_swap(spark, [a, b])
+    assert read() == [1, 1] and not (tmp_path / "a.jsonl.new").exists()
+    sinks.write_jsonl(spark.sql("select 3 as x"), b + ".new")  # a is moved already
+    (tmp_path / "a.jsonl.swap").touch()
+    sinks.finish_swap(spark, [a, b])
+    assert read() == [1, 3] and not (tmp_path / "a.jsonl.swap").exists()
+    sinks.swap_jsonl(spark, {a: spark.read.json(b), b: spark.read.json(a)})
+    assert read() == [3, 1]
+
+
 def test_command_line(spark, tmp_path):
     from textloom.__main__ import main
 
@@ -274,6 +359,11 @@ def test_readers_and_sinks(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"query":"a"}\n\n{"query":"b"}\n', encoding="utf-8")
     assert [r["query"] for r in readers.test_items(spark, path).orderBy("qid").collect()] == ["a", "b"]
     assert readers.read_jsonl_ordered(spark, path, "query string", 1).count() == 1
+    (tmp_path / "many.jsonl").mkdir()
+    for name, n in (("a", 1), ("b", 400), ("c", 30)):  # Spark reads the largest first
+        (tmp_path / f"many.jsonl/{name}.json").write_text("".join(f'{{"query":"{name}{i}"}}\n' for i in range(n)), encoding="utf-8")
+    got = [r["query"] for r in readers.read_jsonl_ordered(spark, str(tmp_path / "many.jsonl"), "query string").orderBy("line").collect()]
+    assert got == [f"{name}{i}" for name, n in (("a", 1), ("b", 400), ("c", 30)) for i in range(n)]
     assert readers.optional_jsonl(spark, str(tmp_path / "none"), RAW_DOCUMENT).count() == 0
     assert readers.first_existing(spark, [str(tmp_path / "none"), path]) == path
     (tmp_path / "bad.jsonl").write_text('{"query":\n', encoding="utf-8")

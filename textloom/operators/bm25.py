@@ -65,8 +65,8 @@ class BM25Index:
         """(qid, doc_id, score, first) for each document with a term of the query; a repeated term adds again."""
         asked = query_terms(queries)
         hits = self.postings.join(asked.select("term").distinct(), "term", "left_semi")
-        weights = term_idf(hits, stats(self.lengths)).select("term", "idf")
         total = stats(self.lengths)
+        weights = term_idf(hits, total).select("term", "idf")
         rows = hits.join(weights, "term").join(asked, "term").join(self.lengths, "doc_id").join(F.broadcast(total), F.lit(True))
         norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
         score = F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / norm)

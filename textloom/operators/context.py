@@ -3,20 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.columns import strip, text
+from textloom.functions.columns import WS, strip, text
 from textloom.functions.text import snippet
 
 MAX_CONTEXT_CHARS, MAX_LEN, NEW_TOKENS, MARGIN, LEAST_PIECE = 3200, 12288, 512, 64, 32
 NO_SOURCES, NO_QUESTION = "无可用来源。", "请输入问题。"
 
-#: A token counter maps a text to its token count; a cutter maps (text, n) to the text of its first n tokens.
-Counter = Callable[[str], int]
-Cutter = Callable[[str, int], str]
+#: A token counter maps a column of texts to one of token counts, a cutter (texts, n) to the texts of their first n tokens, a
+#: renderer (questions, contexts) to prompts; for instance by pandas UDFs.
+Counter = Callable[[Column], Column]
+Cutter = Callable[[Column, Column], Column]
+Renderer = Callable[[Column, Column], Column]
+
+#: The default tokens: each CJK letter, and other runs without white space.
+TOKEN = rf"[一-鿿]|[^\s\x1c-\x1f\x85\p{{Z}}一-鿿]+"
+#: How often a prompt that is still too long is cut by what it is over.
+SHRINKS = 3
 
 
 def neighbour_text(chunks: DataFrame, window: int = 1, max_chars: int = MAX_CONTEXT_CHARS) -> DataFrame:
@@ -39,17 +47,22 @@ def with_parent_window(candidates: DataFrame, chunks: DataFrame, window: int = 1
     return out.withColumn("text", F.when(whole.isNull(), F.col("text")).otherwise(F.substring(whole, 1, max_chars))).drop("_merged")
 
 
-def within_budget(pieces: DataFrame, budget: int, least: int = LEAST_PIECE) -> DataFrame:
-    """Pieces (qid, rank, tokens) that fit, with keep, the tokens that stay of each: whole ones while they fit, then a
-    prefix of the first that doesn't if more than `least` tokens are left, then none."""
+def budgeted(pieces: DataFrame, budget: int | Column, least: int = LEAST_PIECE) -> DataFrame:
+    """Pieces (qid, rank, tokens) with keep, the tokens that stay of each: whole ones while they fit, then a prefix of the
+    first that doesn't if more than `least` tokens are left, then none (null)."""
+    budget = F.lit(budget) if isinstance(budget, int) else budget
     order = Window.partitionBy("qid").orderBy("rank")
     used = F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    over = (used > budget).cast("int")
     rows = pieces.withColumn("_used", used)
-    rows = rows.withColumn("_over", over).withColumn("_nth", F.sum("_over").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_over", (F.col("_used") > budget).cast("int")).withColumn("_nth", F.sum("_over").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     left = budget - (F.col("_used") - F.col("tokens"))
     keep = F.when(F.col("_nth") == 0, F.col("tokens")).when((F.col("_nth") == 1) & (F.col("_over") == 1) & (left > least), left)
-    return rows.withColumn("keep", keep).where("keep is not null").drop("_used", "_over", "_nth")
+    return rows.withColumn("keep", keep).drop("_used", "_over", "_nth")
+
+
+def within_budget(pieces: DataFrame, budget: int | Column, least: int = LEAST_PIECE) -> DataFrame:
+    """The pieces that stay, with what is kept of each."""
+    return budgeted(pieces, budget, least).where("keep is not null")
 
 
 def source_list(contexts: DataFrame, width: int = 300) -> DataFrame:
@@ -62,54 +75,50 @@ def numbered_piece(rank: Column | str, body: Column | str) -> Column:
     return F.concat(F.lit("[资料"), F.col(rank).cast("string") if isinstance(rank, str) else rank.cast("string"), F.lit("] "), text(body))
 
 
-def words(x: str) -> int:
+def tokens_in(x: Column) -> Column:
     """The default token counter."""
-    return len(x.split())
+    return F.size(F.regexp_extract_all(text(x), F.lit(TOKEN), F.lit(0)))
+
 
+def first_tokens(x: Column, n: Column) -> Column:
+    """The default cutter: a text up to the end of its n-th token."""
+    spaced = F.regexp_extract_all(text(x), F.lit(f"{WS}*+(?:{TOKEN})"), F.lit(0))
+    return F.when(tokens_in(x) <= n, text(x)).otherwise(F.array_join(F.slice(spaced, 1, n), ""))
 
-def first_words(x: str, n: int) -> str:
-    return x if len(x.split()) <= n else " ".join(x.split()[:n])
 
+def build_prompts(contexts: DataFrame, render: Renderer, max_len: int = MAX_LEN, new_tokens: int = NEW_TOKENS, count: Counter = tokens_in, cut: Cutter = first_tokens) -> DataFrame:
+    """(qid, question, prompt) of contexts (qid, question, rank, text); a null text is none.
 
-def build_prompt(question: str, contexts: list[str], render: Callable[[str, str], str], max_len: int = MAX_LEN, new_tokens: int = NEW_TOKENS, count: Counter = words, cut: Cutter = first_words) -> str:
-    """A prompt that leaves room for the answer: all contexts, or those that fit and a prefix of the next, shrunk until the
-    whole fits. A part that can't shrink goes. Raises if not even the empty prompt fits."""
+    A prompt leaves room for the answer. It holds all of a question's contexts if they fit together, or else those that the
+    budget takes by rank. Where tokens of the whole are more than those of the parts, the last part is cut by what the prompt
+    is over, a few times, and goes if that isn't enough. A question that alone is too long raises.
+    """
     room = max_len - new_tokens - MARGIN
     if room <= 0:
         raise ValueError(f"{max_len} tokens leave no room for {new_tokens} new ones")
-    pieces = [f"[资料{i}] {t}" for i, t in enumerate(contexts, 1)]
-    prompt = render(question, "\n\n".join(pieces))
-    if count(prompt) <= room:
-        return prompt
-    left = room - count(render(question, ""))
-    if left < 0:
-        raise ValueError("the question alone is longer than the prompt may be")
-    parts = []
-    for piece in pieces:
-        n = count(piece)
-        if n > left:
-            if left > LEAST_PIECE:
-                parts.append(cut(piece, left))
-            break
-        parts.append(piece)
-        left -= n
-    prompt = render(question, "\n\n".join(parts))
-    while parts and count(prompt) > room:
-        less = cut(parts[-1], max(LEAST_PIECE, int(count(parts[-1]) * 0.85)))
-        parts = parts[:-1] if less == parts[-1] else [*parts[:-1], less]
-        prompt = render(question, "\n\n".join(parts))
-    return prompt
-
-
-def build_prompts(contexts: DataFrame, render: Callable[[str, str], str], **kw) -> DataFrame:
-    """(qid, prompt) of contexts (qid, question, rank, text). A query's few contexts meet in one row; a null text is none."""
-    listed = contexts.groupBy("qid", "question").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("texts"))
-
-    @F.pandas_udf("string")
-    def prompt(questions: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([build_prompt(q, [t for t in ts if t is not None], render, **kw) for q, ts in zip(questions, texts, strict=True)], dtype=object)
-
-    return listed.select("qid", "question", prompt("question", "texts").alias("prompt"))
+    asked = contexts.select("qid", "question").distinct().withColumn("left", F.lit(room) - count(render(F.col("question"), F.lit(""))))
+    nth = F.row_number().over(Window.partitionBy("qid").orderBy("rank"))
+    pieces = contexts.where("text is not null").select("qid", "text", nth.alias("rank")).withColumn("piece", numbered_piece("rank", "text"))
+    pieces = budgeted(pieces.withColumn("tokens", count(F.col("piece"))).join(asked.select("qid", "left"), "qid"), F.col("left"))
+    pieces = pieces.withColumn("part", F.when(F.col("keep") == F.col("tokens"), F.col("piece")).when(F.col("keep").isNotNull(), cut(F.col("piece"), F.col("keep").cast("int"))))
+    lists = pieces.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "piece", "part"))).alias("x"))  # a question has few
+    empty = F.array().cast("array<string>")
+    rows = asked.join(lists, "qid", "left").withColumns({"all": F.coalesce(F.col("x.piece"), empty), "parts": F.filter(F.coalesce(F.col("x.part"), empty), lambda y: y.isNotNull())})
+    prompt = lambda parts: render(F.col("question"), F.array_join(parts, "\n\n"))
+    rows = rows.withColumn("parts", F.when(count(prompt(F.col("all"))) <= room, F.col("all")).otherwise(F.col("parts")))
+
+    def shrunk(df: DataFrame, last: bool) -> DataFrame:
+        df = df.withColumn("_end", F.coalesce(F.try_element_at("parts", F.lit(-1)), F.lit("")))
+        keep = count(F.col("_end")) - (count(prompt(F.col("parts"))) - room)
+        df = df.withColumn("_keep", F.when(F.size("parts") > 0, keep).otherwise(0))
+        before = F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0)))
+        over = (F.size("parts") > 0) & (F.col("_keep") < count(F.col("_end")))
+        less = before if last else F.when(F.col("_keep") > 0, F.concat(before, F.array(cut(F.col("_end"), F.col("_keep").cast("int"))))).otherwise(before)
+        return df.withColumn("parts", F.when(over, less).otherwise(F.col("parts"))).drop("_end", "_keep")
+
+    rows = reduce(lambda df, i: shrunk(df, i == SHRINKS), range(SHRINKS + 1), rows)
+    alone = F.raise_error(F.lit("the question alone is longer than the prompt may be")).cast("string")
+    return rows.select("qid", "question", F.when(F.col("left") < 0, alone).otherwise(prompt(F.col("parts"))).alias("prompt"))
 
 
 def generate(prompts: DataFrame, model: Callable[[list[str]], list[str]]) -> DataFrame:

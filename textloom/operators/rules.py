@@ -5,6 +5,7 @@ A rule is data. What names a site, its people or its units comes from a SiteProf
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -27,6 +28,7 @@ class SiteProfile:
     university: str = "示例大学"
     university_en: str = "example university"
     school: str = "信息学院"
+    school_full: str = "信息科学与技术学院"
     school_en: str = "school of information science and technology"
     about_titles: tuple[str, ...] = ("学院介绍", "About")
     about_text: str = "about the school"
@@ -34,7 +36,9 @@ class SiteProfile:
     street: tuple[str, ...] = ("示例路", "example road")
     founding_dean: tuple[str, ...] = ("创始人", "founding dean")
     dean: str = "现任院长"
+    dean_centre: str = "视觉与数据智能中心 VDI"
     centres: tuple[tuple[str, str], ...] = (("后摩尔器件与集成系统中心", "pmicc"), ("智慧电气科学中心", "cipes"))
+    centre_topics: tuple[str, ...] = ("新型器件 电路 系统", "智能电网 电动车 物联网 大数据 人工智能")
     centre_terms: tuple[str, ...] = ("研究中心", "联合实验室", "省部级研究中心", "vdi", "pmicc", "cipes", "star", "smirc", "ssc")
     dean_terms: tuple[str, ...] = ("视觉与数据智能", "dean", "vdi")
     robotics_people: str = ""
@@ -116,19 +120,19 @@ class Boost:
 def expansions(site: SiteProfile) -> list[Expansion]:
     """The expansions, in order."""
     t = Trigger
-    centre_text = " ".join(f"{name} {short.upper()}" for name, short in site.centres)
+    centre_text = " ".join(f"{name} {short.upper()} {topic}" for (name, short), topic in zip(site.centres, site.centre_topics, strict=True))
     return [
         Expansion((t(any=("本科", "学分", "培养方案", "毕业", "专业")),), "本科生培养 培养方案 2025级 2024级 总学分要求 计算机科学与技术 电子信息工程 CS EE Degree Programs"),
-        Expansion((t(any=("成立",)),), f"学院介绍 成立于2013年 {site.school_en}"),
+        Expansion((t(any=("成立",)),), f"学院介绍 成立于2013年 {site.school_full} {site.school_en}"),
         Expansion((t(any=("研究生", "硕士", "博士", "招生", "调剂", "报考", "申请", "考核")),), "研究生招生 通知公告 报考指南 招生Q&A 培养方案 硕士研究生招生 博士研究生招生 2825 2826 2827"),
         Expansion((t(all=("研究生招生",), any=("网站", "网址", "发布")),), f"{site.admission_url} {site.admission_list} 研究生招生 通知公告"),
         Expansion((t(predicate="exact_url"),), f"{site.site_url} {site.site_host} {site.university_en} official website 官方网站 官网"),
         Expansion((t(any=("课程", "任课", "课程代码", "开设", "本学期")), t(predicate="course")), "课程表 本硕博课程体系 本科生教学教务 研究生教学教务 course schedule 任课老师 课程代码"),
         Expansion((t(any=("老师", "导师", "邮箱", "主页", "研究方向", "教授")),), "师资队伍 常任教授 教师主页 个人主页 邮箱 研究方向 招生入口 中文信息 英文信息"),
-        Expansion((t(predicate="founding"),), f"创始院长 创院院长 首任院长 {' '.join(site.founding_dean)} 学院介绍"),
-        Expansion((t(any=("院长",), none=tuple(FOUNDING)),), f"院长 {site.dean} Dean Executive Dean 师资队伍 学院介绍"),
+        Expansion((t(predicate="founding"),), f"创始院长 创院院长 首任院长 {' '.join(site.founding_dean)} 学院介绍 {site.school_full}"),
+        Expansion((t(any=("院长",), none=tuple(FOUNDING)),), f"院长 {site.dean} Dean Executive Dean {site.dean_centre} 师资队伍 学院介绍"),
         Expansion((t(any=("研究中心", "实验室", "中心")),), "研究中心 联合实验室 省部级研究中心 常任教授 " + " ".join(x.upper() for x in site.centre_terms if x.isascii())),
-        Expansion((t(all=tuple(name for name, _ in site.centres)),), f"{centre_text} 新型器件 电路 系统 智能电网 电动车 物联网 大数据 人工智能"),
+        Expansion((t(all=tuple(name for name, _ in site.centres)),), centre_text),
         Expansion((t(any=("讲座",)),), "学术讲座 讲座通知 学术活动 seminar lecture event"),
         Expansion((t(any=("地址", "校区", "官网", "网址", "网站", "英文名称", "英文名")),), f"Address {' '.join(site.street)} {site.school_en} {site.university_en}"),
         Expansion((t(all=(site.school,), any=("英文名称", "英文名")),), f"{site.english_path.strip('/')} {site.school_en} {site.about_titles[-1]} Vision and Mission"),
@@ -180,6 +184,13 @@ class RuleSet:
 
     site: SiteProfile = field(default_factory=SiteProfile)
 
+    def vocabulary(self) -> list[str]:
+        """The CJK words that the tables know, for a segmenter."""
+        triggers = [t for r in expansions(self.site) for t in r.triggers] + [b.trigger for b in boosts(self.site)]
+        found = {w for r in expansions(self.site) for w in r.added.split()} | {w for t in triggers for w in (*t.any, *t.all, *t.none)}
+        found |= {term for b in boosts(self.site) for condition, _ in b.steps for _, terms in condition for term in terms}
+        return sorted(w for w in found if re.fullmatch("[一-鿿]{2,}", w))
+
     def expansion_list(self, q: Column) -> Column:
         """The texts that a question gets added, in order; course titles come last."""
         parts = []

@@ -45,6 +45,13 @@ def cjk_ngrams(x: Column | str, low: int = 2, high: int = 4) -> Column:
     return F.flatten(F.transform(all_of(col(x), CJK_SPAN), lambda s: ngrams(s, low, high)))
 
 
+def dictionary_segmenter(words: list[str]) -> Segmenter:
+    """A segmenter by longest match from the left over a word list. CJK letters that begin no word stand alone."""
+    known = sorted({w.lower() for w in words}, key=lambda w: (-len(w), w))
+    pattern = "|".join([*("\\Q" + w.replace("\\E", "") + "\\E" for w in known), "[一-鿿]"])
+    return lambda x: F.when(x.rlike("[一-鿿]"), all_of(x, pattern)).otherwise(F.array().cast("array<string>"))
+
+
 def tokenize(x: Column | str, segmenter: Segmenter | None = None, stopwords: list[str] | None = None, compatible: bool = True) -> Column:
     """Tokens of a text, of two characters at least. compatible: fold compatibility forms first, by a Python function.
 

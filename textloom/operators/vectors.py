@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -13,8 +15,8 @@ from pyspark.sql import functions as F
 
 from textloom.functions.columns import col
 
-#: Queries that a pass over the vectors serves, and rows of a pairwise matrix, at most.
-QUERY_BLOCK, MATRIX_ROWS = 4096, 2000
+#: Queries that a pass over the vectors serves, at most, and vectors that are scored at once.
+QUERY_BLOCK, SCORED = 4096, 1024
 
 #: An encoder maps a batch of texts to a matrix with a row each.
 Encoder = Callable[[list[str]], np.ndarray]
@@ -38,8 +40,8 @@ def hashing_encoder(dim: int = 64) -> Encoder:
         out = np.zeros((len(texts), dim), dtype=np.float32)
         for row, t in zip(out, texts, strict=True):
             for w in t.lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                row[h % dim] += 1.0 if h >> 63 else -1.0
+                h = hashlib.md5(w.encode(), usedforsecurity=False).digest()
+                row[int.from_bytes(h[:4], "big") % dim] += 1.0 if h[4] >> 7 else -1.0
         return out
 
     return encode
@@ -61,54 +63,51 @@ def encode(df: DataFrame, encoder: Encoder, text_column: str = "text", batch: in
     return df.withColumn(name, run(F.col(text_column)))
 
 
-def search(vectors: DataFrame, queries: DataFrame, n: int, digits: int | None = None) -> DataFrame:
-    """(qid, idx, score, rank from 1): the n rows of vectors (idx, embedding) of the largest inner product with each query
-    (qid, embedding). Queries are taken to the executors in blocks of bounded size; each batch of vectors gives its best."""
-    out = None
-    rows = queries.select("qid", "embedding").where("embedding is not null")
-    blocks = [[]]
-    for r in rows.toLocalIterator():
-        if len(blocks[-1]) == QUERY_BLOCK:
-            blocks.append([])
-        blocks[-1].append(r)
-    for block in blocks:
-        ids = [r["qid"] for r in block]
-        matrix = np.array([r["embedding"] for r in block], dtype=np.float64)
-
-        def best(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                lists = batch.column(1)
+def query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of queries (qid, embedding), in blocks of bounded size."""
+    rows = queries.select(F.col("qid").cast("bigint").alias("qid"), "embedding").where("embedding is not null").toLocalIterator()
+    while block := list(islice(rows, QUERY_BLOCK)):
+        yield np.array([r["qid"] for r in block]), np.array([r["embedding"] for r in block], dtype=np.float64)
+
+
+def scored(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, n: int | None, digits: int | None) -> DataFrame:
+    """(qid, idx, score) of vectors (idx, embedding) for a block of queries: all, or of each task at least each query's n
+    best. The vectors stay where they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floor = np.full((0 if n is None else n, len(ids)), -np.inf)  # the n best scores so far
+        for batch in batches:
+            for at in range(0, len(batch), SCORED):
+                part = batch.slice(at, SCORED)
+                lists = part.column(1)
                 x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
-                scores = x @ matrix.T if len(ids) and len(x) else np.empty((len(x), 0))
+                scores = x @ matrix.T
                 if digits is not None:
                     scores = np.round(scores, digits)
-                idx = batch.column(0).to_numpy()
-                keep = np.argsort(idx, kind="stable")
-                top = keep[np.argsort(-scores[keep], axis=0, kind="stable")[:n]]
-                q = np.tile(np.arange(len(ids)), len(top))
-                at = top.ravel()
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], pa.int64()), pa.array(idx[at]), pa.array(scores[at, q])], names=["qid", "idx", "score"])
-
-        part = vectors.where("embedding is not null").select(F.col("idx").cast("bigint").alias("idx"), "embedding").mapInArrow(best, "qid long, idx long, score double")
-        out = part if out is None else out.unionByName(part)
+                wanted = np.ones(scores.shape, dtype=bool)
+                if n is not None:
+                    both = np.concatenate([floor, scores])
+                    floor = np.partition(both, len(both) - n, axis=0)[len(both) - n :]
+                    wanted = scores >= floor.min(axis=0)  # ties with the last are left to the ranking
+                row, q = np.nonzero(wanted)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), part.column(0).take(pa.array(row)), pa.array(scores[row, q])], names=["qid", "idx", "score"])
+
+    return vectors.where("embedding is not null").select(F.col("idx").cast("bigint").alias("idx"), "embedding").mapInArrow(run, "qid long, idx long, score double")
+
+
+def search(vectors: DataFrame, queries: DataFrame, n: int, digits: int | None = None) -> DataFrame:
+    """(qid, idx, score, rank from 1): the n rows of vectors (idx, embedding) of the largest inner product with each query
+    (qid, embedding). Queries are taken to the executors in blocks of bounded size."""
+    parts = [scored(vectors, ids, matrix, n, digits) for ids, matrix in query_blocks(queries)]
+    out = reduce(DataFrame.unionByName, parts) if parts else vectors.sparkSession.createDataFrame([], "qid long, idx long, score double")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "idx")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
 def pairwise(vectors: DataFrame, digits: int | None = None) -> DataFrame:
-    """(a, b, score) for all pairs of a small set (idx, embedding); larger sets are refused."""
-    few = vectors.select("idx", "embedding").limit(MATRIX_ROWS + 1)
-    rows = few.collect()
-    if len(rows) > MATRIX_ROWS:
-        raise ValueError(f"a similarity matrix is for at most {MATRIX_ROWS} vectors")
-    spark = vectors.sparkSession
-    if not rows:
-        return spark.createDataFrame([], "a long, b long, score double")
-    x = np.array([r["embedding"] for r in rows], dtype=np.float64)
-    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    x = x / np.where(norm > 0, norm, 1)
-    s = x @ x.T
-    ids = np.array([r["idx"] for r in rows])
-    i, j = np.indices(s.shape)
-    frame = pd.DataFrame({"a": ids[i.ravel()], "b": ids[j.ravel()], "score": s.ravel() if digits is None else np.round(s.ravel(), digits)})
-    return spark.createDataFrame(frame, "a long, b long, score double")
+    """(a, b, score): the cosines of all pairs of vectors (idx, embedding), as a matrix has them. There are as many as the
+    square of the vectors; they are made in blocks, so nothing but the result grows so."""
+    unit = vectors.select(F.col("idx").cast("bigint").alias("idx"), normalised("embedding").alias("embedding"))
+    parts = [scored(unit, ids, matrix, None, digits) for ids, matrix in query_blocks(unit.withColumnRenamed("idx", "qid"))]
+    out = reduce(DataFrame.unionByName, parts) if parts else vectors.sparkSession.createDataFrame([], "qid long, idx long, score double")
+    return out.select(F.col("qid").alias("a"), F.col("idx").alias("b"), "score")

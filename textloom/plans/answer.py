@@ -7,35 +7,21 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.context import NO_QUESTION, NO_SOURCES, build_prompts, generate, source_list
+from textloom.operators.context import NO_QUESTION, NO_SOURCES, Renderer, build_prompts, generate, source_list
 from textloom.plans.search import Retriever
 from textloom.schemas import EVALUATION
 from textloom.staging import stage
 
-SYSTEM_PROMPT = (
-    "你根据检索到的资料回答问题。答案必须有资料支持；资料之外的知识一律不用。"
-    "可以把几份资料合起来推断：计数、比较、取最新日期、跨页面拼接都可以。"
-    "资料里有完整清单而清单中没有所问对象时，答“没有”或“否”。"
-    "资料完全无关或互相矛盾时，说明现有资料回答不了，并指出还缺什么。"
-)
-PROMPT = """【资料】
-{context}
+#: What a model is told where the caller brings no wording of its own.
+INSTRUCTION = "Use nothing but the numbered sources below. Name the numbers you rely on. If the sources do not settle the question, say what is missing. Write in the language of the question."
 
-【问题】{question}
 
-【要求】
-- 第一句给出结论，必要时补充依据。
-- 只有一部分能确定时，说清哪些确定、哪些不确定。
-- 人名、数字、日期、网址和关系只能取自资料。"""
-
-
-def render_plain(question: str, context: str) -> str:
-    """System text and question as plain text; models with a chat template bring their own."""
-    return SYSTEM_PROMPT + "\n\n" + PROMPT.format(context=context, question=question)
+def render_plain(question: Column, context: Column, instruction: str = INSTRUCTION) -> Column:
+    """A prompt as plain text; models with a chat template bring their own renderer."""
+    return F.concat(F.lit(instruction + "\n\n"), context, F.lit("\n\n"), question)
 
 
 def checked_model_name(name: str) -> str:
@@ -56,7 +42,7 @@ class Answerer:
     retriever: Retriever
     model: Callable[[list[str]], list[str]]
     top_k: int = 5
-    render: Callable[[str, str], str] = render_plain
+    render: Renderer = render_plain
 
     def answer(self, questions: DataFrame, hybrid: bool | None = None) -> tuple[DataFrame, DataFrame]:
         """(answers, contexts) for questions (qid, q): one row (qid, question, answer) each, and the sources with ranks."""
@@ -87,7 +73,7 @@ def evaluate(answerer: Answerer, items: DataFrame) -> DataFrame:
         answers, contexts = answerer.answer(asked, hybrid)
         answers = stage(answers, "answers")
         took = round((time.time() - began) / n, 2)
-        titles = contexts.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title"))), lambda x: x["title"]), " | ").alias(f"sources_{name}"))
+        titles = source_titles(contexts).withColumnRenamed("titles", f"sources_{name}")
         out = out.join(answers.select("qid", F.col("answer").alias(f"sys_resp_{name}")), "qid", "left").join(titles, "qid", "left")
         out = out.withColumns({f"is_correct_{name}": F.lit(""), f"latency_{name}_s": F.lit(took)})
     return out.orderBy("qid").select(*EVALUATION)
@@ -112,9 +98,13 @@ def accuracy(judged: DataFrame, by: list[str], types: list[str] | None = None) -
     return judged.groupBy(*by).pivot("type", types).agg(F.sum("correct"))
 
 
-def to_csv_with_mark(df: DataFrame, path: str, limit: int = 100_000) -> None:
-    """A small table as one CSV file with a byte order mark; a larger one is refused."""
-    rows = df.limit(limit + 1).toPandas()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} rows; write a folder of CSV files instead")
-    pd.DataFrame(rows).to_csv(path, index=False, encoding="utf-8-sig")
+def source_titles(contexts: DataFrame) -> DataFrame:
+    """(qid, titles) of contexts (qid, rank, title): the titles of a question's sources by rank, in one text."""
+    listed = F.array_sort(F.collect_list(F.struct("rank", "title")))
+    return contexts.groupBy("qid").agg(F.array_join(F.transform(listed, lambda x: x["title"]), " | ").alias("titles"))
+
+
+def to_csv_with_mark(df: DataFrame, path: str, files: int | None = None) -> None:
+    """A folder of CSV files that each begin with a byte order mark and the header; `files` of them if asked for."""
+    marked = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
+    (marked if files is None else marked.coalesce(files)).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from textloom.operators.corpus import merge, preprocess, verify
 from textloom.schemas import CRAWL_ITEM, RAW_CHUNK, RAW_DOCUMENT
 from textloom.sources.readers import document_texts, optional_jsonl, read_jsonl_ordered
-from textloom.sources.sinks import swap_jsonl, write_jsonl, write_stats
+from textloom.sources.sinks import finish_swap, swap_jsonl, write_jsonl, write_stats
 
 
 @dataclass
@@ -25,12 +25,12 @@ class BuildConfig:
 
 
 def merge_crawl(spark: SparkSession, folder: str, crawl: str, fetched_at: str) -> None:
-    """Add a crawl's items to the documents and chunks of a folder, in place by a staged swap."""
+    """Add a crawl's items to the documents and chunks of a folder, in place, both or neither."""
+    finish_swap(spark, [f"{folder}/merged_documents.jsonl", f"{folder}/merged_chunks.jsonl"])
     documents = optional_jsonl(spark, f"{folder}/merged_documents.jsonl", RAW_DOCUMENT)
     chunks = optional_jsonl(spark, f"{folder}/merged_chunks.jsonl", RAW_CHUNK)
     documents, chunks = merge(documents, chunks, read_jsonl_ordered(spark, crawl, CRAWL_ITEM), fetched_at)
-    swap_jsonl(documents, f"{folder}/merged_documents.jsonl")
-    swap_jsonl(chunks, f"{folder}/merged_chunks.jsonl")
+    swap_jsonl(spark, {f"{folder}/merged_documents.jsonl": documents, f"{folder}/merged_chunks.jsonl": chunks})
 
 
 def build(spark: SparkSession, config: BuildConfig, with_files: bool = False) -> tuple[DataFrame, DataFrame]:

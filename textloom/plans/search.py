@@ -6,8 +6,10 @@ Questions are a table (qid, q), so a plan serves a batch in one go. Texts join l
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import islice
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -17,11 +19,14 @@ from textloom.operators.bm25 import BM25Index
 from textloom.operators.context import MAX_CONTEXT_CHARS, with_parent_window
 from textloom.operators.fusion import BM25_WEIGHT, DENSE_WEIGHT, cut, dedup_candidates, rrf
 from textloom.operators.rules import RuleSet, is_exact_url_query
-from textloom.operators.tokens import Segmenter, tokenize
+from textloom.operators.tokens import Segmenter, dictionary_segmenter, tokenize
+from textloom.sources.readers import exists
 from textloom.staging import stage
 
 RECALL, HOP_RECALL = 200, 40
-#: Questions that may ask for the site's address in a batch; candidates of a question that deduplication looks at first.
+#: Digits that scores are rounded to before they are ranked, so that ties are ties on every machine.
+DIGITS = 9
+#: Questions that a pass for the site's address serves; candidates of a question that deduplication looks at first.
 EVIDENCE_QUESTIONS, DEPTH = 100, 1000
 
 
@@ -48,20 +53,36 @@ class Retriever:
     def build(cls, chunks: DataFrame, encoder: vectors.Encoder, hybrid: bool = True, **kw) -> Retriever:
         """Index chunks. Derived columns and vectors are staged, so that searches don't compute them again."""
         meta = stage(index_meta(chunks), "meta")
-        embeddings = stage(vectors.encode(meta.select("idx", "text"), encoder).select("idx", "embedding"), "embeddings")
-        bm25 = None
+        out = cls(meta, stage(vectors.encode(meta.select("idx", "text"), encoder).select("idx", "embedding"), "embeddings"), encoder, **kw)
         if hybrid:
-            tokens = stage(meta.select(F.col("idx").alias("doc_id"), tokenize("text", kw.get("segmenter"), list(kw.get("rules", RuleSet()).site.stopwords)).alias("tokens")), "tokens")
-            bm25 = BM25Index(stage(BM25Index.build(tokens).postings, "postings"), stage(BM25Index.build(tokens).lengths, "lengths"))
-        return cls(meta, embeddings, encoder, bm25, **kw)
+            tokens = stage(meta.select(F.col("idx").alias("doc_id"), out._tokens("text").alias("tokens")), "tokens")
+            built = BM25Index.build(tokens)
+            out.bm25 = BM25Index(stage(built.postings, "postings"), stage(built.lengths, "lengths"))
+        return out
+
+    def write(self, path: str) -> None:
+        """Write the index as tables below path, for load()."""
+        self.chunks.write.parquet(f"{path}/chunks")
+        self.embeddings.write.parquet(f"{path}/embeddings")
+        if self.bm25 is not None:
+            self.bm25.write(f"{path}/bm25")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, encoder: vectors.Encoder, **kw) -> Retriever:
+        """An index that write() wrote, with the encoder (and rules, and segmenter) that it was built with."""
+        bm25 = BM25Index.read(spark, f"{path}/bm25") if exists(spark, f"{path}/bm25") else None
+        return cls(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/embeddings"), encoder, bm25, **kw)
+
+    def _tokens(self, column: str) -> Column:
+        """Tokens of a text; without a segmenter, its words are those of the rules' vocabulary."""
+        return tokenize(column, self.segmenter or dictionary_segmenter(self.rules.vocabulary()), list(self.rules.site.stopwords))
 
     def _dense(self, asked: DataFrame, n: int) -> DataFrame:
         """(qid, idx, score, rank) for questions (qid, q); qid whole numbers."""
-        return vectors.search(self.embeddings, vectors.encode(asked, self.encoder, "q"), n)
+        return vectors.search(self.embeddings, vectors.encode(asked, self.encoder, "q"), n, digits=DIGITS)
 
     def _sparse(self, asked: DataFrame, n: int) -> DataFrame:
-        tokens = asked.select("qid", tokenize("q", self.segmenter, list(self.rules.site.stopwords)).alias("tokens"))
-        return self.bm25.top_n(tokens, n).withColumnRenamed("doc_id", "idx")
+        return self.bm25.top_n(asked.select("qid", self._tokens("q").alias("tokens")), n, digits=DIGITS).withColumnRenamed("doc_id", "idx")
 
     def _boosted(self, rows: DataFrame) -> DataFrame:
         """rows (idx, q, and more) with the candidate's columns and boost."""
@@ -78,7 +99,7 @@ class Retriever:
             part = found.select(F.floor(F.col("qid") / 64).alias("qid"), (F.col("qid") % 64).alias("vid"), "idx", "rank")
             part = part.join(variants.select("qid", "vid", "weight"), ["qid", "vid"])
             lists.append(part.select("qid", (F.col("vid") * 2 + place).alias("list"), (F.col("weight") * own).alias("weight"), "idx", "rank"))
-        fused = rrf(lists[0].unionByName(lists[1])).join(questions, "qid")
+        fused = rrf(lists[0].unionByName(lists[1]), digits=DIGITS).join(questions, "qid")
         scored = self._boosted(fused).withColumn("score", F.col("score") + F.col("boost"))
         return cut(scored, n, F.col("first"), F.col("idx")).drop("boost", "first").withColumnRenamed("rank", "ord")
 
@@ -97,14 +118,15 @@ class Retriever:
         """Chunks with the site's address, for questions that ask for the university's."""
         site = self.rules.site
         asked = questions.where(is_exact_url_query(F.col("q")) & F.col("q").contains(site.university) & ~F.col("q").contains(site.school) & ~F.col("q").contains("研究生招生"))
-        few = asked.select("qid", "q").limit(EVIDENCE_QUESTIONS + 1).collect()
-        if len(few) > EVIDENCE_QUESTIONS:
-            raise ValueError(f"at most {EVIDENCE_QUESTIONS} questions of a batch may ask for the site's address")
-        if not few:  # the usual case: no scan
-            return self._boosted(questions.limit(0).withColumn("idx", F.lit(0).cast("bigint"))).withColumn("score", F.lit(0.0))
-        stated = F.array(*(F.struct(F.lit(r["qid"]).cast("bigint").alias("qid"), F.lit(r["q"]).alias("q")) for r in few))
-        rows = self._boosted(self.chunks.where(F.col("haystack").contains(site.site_url)).select("idx", F.explode(stated).alias("x")).select("idx", "x.qid", "x.q"))
-        return rows.withColumn("score", multihop.EVIDENCE + F.col("boost"))
+        found = [self._boosted(questions.limit(0).withColumn("idx", F.lit(0).cast("bigint")))]
+        hits = self.chunks.where(F.col("haystack").contains(site.site_url)).select("idx")
+        rows = list(islice(stated := asked.select("qid", "q").toLocalIterator(), EVIDENCE_QUESTIONS))
+        while rows:  # usually never, and then there is no scan
+            block = F.array(*(F.struct(F.lit(r["qid"]).cast("bigint").alias("qid"), F.lit(r["q"]).alias("q")) for r in rows))
+            found.append(self._boosted(hits.select("idx", F.explode(block).alias("x")).select("idx", "x.qid", "x.q")))
+            rows = list(islice(stated, EVIDENCE_QUESTIONS))
+        columns = found[0].columns
+        return reduce(DataFrame.unionByName, [x.select(*columns) for x in found]).withColumn("score", multihop.EVIDENCE + F.col("boost"))
 
     def _first_distinct(self, ranked: DataFrame, top_k: int) -> DataFrame:
         """The first top_k candidates of each question that deduplication keeps. It looks at DEPTH candidates, and at more

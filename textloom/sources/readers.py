@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 
 from textloom.functions.columns import first_full, text
 from textloom.functions.text import collapse_whitespace, html_text, slashes
+from textloom.operators.corpus import numbered
 from textloom.schemas import RAW_DOCUMENT, TEST_ITEM, names
 
 # Suffixes of files that hold HTML.
@@ -33,11 +34,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_jsonl_ordered(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> DataFrame:
-    """read_jsonl with line, a number that grows with the place in the file, and the first `limit` rows if asked for.
+    """read_jsonl with line, which grows with a row's place: files by name, their splits by offset, rows by place. With a
+    limit, the first `limit` rows.
 
-    The number is the offset order of the file's splits; it has gaps, and is stable for unchanged files.
+    Spark takes splits in the order of their sizes, so a row's number alone says nothing of files' order.
     """
-    rows = read_jsonl(spark, path, schema).withColumn("line", F.monotonically_increasing_id())
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    rows = read_jsonl(spark, path, schema).withColumn("line", place)
     return rows if limit is None else rows.orderBy("line").limit(limit)
 
 
@@ -54,7 +57,8 @@ def visited_urls(spark: SparkSession, path: str) -> DataFrame:
 
 
 def test_items(spark: SparkSession, path: str) -> DataFrame:
-    return read_jsonl_ordered(spark, path, TEST_ITEM).withColumnRenamed("line", "qid")
+    """Test items with their number from 0 in the order of lines."""
+    return numbered(read_jsonl_ordered(spark, path, TEST_ITEM), ["line"], "qid", -1).drop("line")
 
 
 def stored_documents(spark: SparkSession, table: str) -> DataFrame:
@@ -80,11 +84,12 @@ def decoded(xs: pd.Series) -> pd.Series:
 
 
 def text_by_suffix(path: Column, content: Column, pdf: Callable[[Column], Column] | None = None, parser: bool = False) -> Column:
-    """The text of a file by its suffix: HTML extracted, PDF by an injected function, others as they are."""
+    """The text of a file by its suffix: HTML extracted, PDF by an injected function (empty without one), others as they
+    are."""
     suffix = F.lower(F.regexp_extract(path, r"(\.[^./\\]*)$", 1))
     body = decoded(content)
     out = F.when(suffix.isin(TEXT_SUFFIXES), html_text(body, parser))
-    out = out.when(suffix == ".pdf", collapse_whitespace(pdf(content)) if pdf else F.raise_error(F.lit("no PDF reader was given")).cast("string"))
+    out = out.when(suffix == ".pdf", collapse_whitespace(pdf(content)) if pdf else F.lit(""))
     return out.otherwise(body)
 
 

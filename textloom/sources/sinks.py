@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from textloom.functions.columns import safe_int
 from textloom.functions.text import file_name
-from textloom.staging import stage
 
 # The tables of a knowledge base, in the order they are built.
 TABLES = [
@@ -22,9 +21,39 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def swap_jsonl(df: DataFrame, path: str) -> None:
-    """Replace what df may itself be read from: staged first, then overwritten."""
-    write_jsonl(stage(df, "swap"), path, "overwrite")
+def swap_jsonl(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
+    """Replace folders that the tables may themselves be read from, all or none.
+
+    Each table is written beside its place; a marker then says that all of them are whole, and they are moved. What a failure
+    left is undone before the marker is there, and completed after.
+    """
+    paths = list(tables)
+    finish_swap(spark, paths)
+    for path, df in tables.items():
+        write_jsonl(df, path + ".new", "overwrite")
+    fs, at = _files(spark, paths[0])
+    fs.create(at(paths[0] + ".swap")).close()
+    finish_swap(spark, paths)
+
+
+def finish_swap(spark: SparkSession, paths: list[str]) -> None:
+    """Complete or undo a swap of these folders that was cut off."""
+    fs, at = _files(spark, paths[0])
+    marked = fs.exists(at(paths[0] + ".swap"))
+    for path in paths:
+        if fs.exists(at(path + ".new")):
+            if marked:
+                fs.delete(at(path), True)
+                fs.rename(at(path + ".new"), at(path))
+            else:
+                fs.delete(at(path + ".new"), True)
+    fs.delete(at(paths[0] + ".swap"), False)
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and its paths."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def write_stats(documents: DataFrame, chunks: DataFrame, path: str, **settings) -> None:

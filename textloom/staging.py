@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one if unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, a local one where the driver is the executor
+    too (tests); on a cluster each executor would write to its own disk, so that raises."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="textloom-shared-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -28,8 +31,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and reread it: lineage is cut and no executor's loss matters."""
-    path = shared_path(df.sparkSession, name)
+def stage(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and reread it: lineage is cut and no executor's loss matters.
+
+    instead_of: a staged table that nothing reads any more once df is written; it is deleted then. Others stay until the
+    application ends, as what is returned to a caller may be read at any time.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    old = getattr(instead_of, "_staged_at", None)
+    if old:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
