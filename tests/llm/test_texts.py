@@ -172,6 +172,38 @@ def test_pipeline_stages_take_effect(spark):
     assert {r[0] for r in out.select("doc_id").distinct().collect()} == {r[0] for r in clean.select("doc_id").collect()}
 
 
+ODD = [
+    (1, None, "x", 7), (2, "", "x", 7), (3, " \n", None, 7), (4, f"a key {KEY} and token=abcdefgh here", "x", 7), (4, "quite another text of the same number, which must not get lost", "x", 7),
+    (5, "repeated words in a row of the table", "x", 7), (5, "repeated words in a row of the table", "x", 7), (6, "REPEATED words in a row of the\ttable", "x", 7), (None, "repeated words in a row of the table", "x", 7), (7, "x" * 100_000 + " end", "x", 7),
+]
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and ids, clashing columns, through all stages of run()."""
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, score string, piece int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(9, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.keep_quality(spark, docs, str(tmp_path)).count() == len(ODD)  # no labels for these
+    single = corpus_pipeline.one_of_near_duplicates(spark, docs, "")
+    assert single.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in single.where("text <> ''").collect()) == sorted((str(i), t) for i, t, *_ in [*ODD[3:6], *ODD[8:]])
+    assert [r["doc_id"] for r in single.where("text is null or trim(text) = ''").collect()] == [1]
+    clean = corpus_pipeline.without_secrets(spark, single, "")
+    assert clean.columns == docs.columns and clean.where("doc_id = 4 and text like '%[secret]%[secret] here'").count() == 1
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(str(r["doc_id"]) for r in out if r["piece"] == 0) == sorted(["1", "4", "4", "5", "7", "None"])
+    by = {}
+    for r in out:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in x) <= 2048 and all(sum(n for _, n in sorted(x)[:k]) == sorted(x)[k][0] for k in range(len(x))) for x in by.values())
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_cover_their_tables(spark, name):
     source = {"op2": "pages", "op9": "pages", "op7": "embeddings", "op10": "embeddings"}.get(name.split("_")[0], "documents")

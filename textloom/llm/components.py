@@ -60,7 +60,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if _all_stars(edges):
             leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("component_id"))
             return leaves.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component_id")).distinct())
-        edges = stage(_small_star(_large_star(edges)), "stars")
+        edges = stage(_small_star(_large_star(edges)), "stars", instead_of=edges)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.columns import let
 from textloom.llm.common import stage, text_or_empty, unused
 
 # The patterns of the base findings, and the least code points of the group that is measured.
@@ -41,18 +42,13 @@ SPAN = "struct<s:int,k:int,e:int>"
 CHUNK, PIECE = 512, 2048
 
 
-def bind(value: Column, f) -> Column:
-    """f(value), where value is computed once however often f uses it."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
 def fold(items: Column, step, kind: str) -> Column:
     """Left fold over an array: step(at, x) gives the next at (int, from 0) and an array of none or one `kind` to put out.
 
     Gives a struct of the last `at` and `out`, all that was put out. Items go in chunks, as appending to an array copies it.
     """
     empty = lambda of: F.array().cast(f"array<{of}>")
-    nested = bind(items, lambda a: F.transform(F.sequence(F.lit(0), F.floor(F.size(a) / CHUNK).cast("int")), lambda i: F.slice(a, i * CHUNK + 1, CHUNK)))
+    nested = let(items, lambda a: F.transform(F.sequence(F.lit(0), F.floor(F.size(a) / CHUNK).cast("int")), lambda i: F.slice(a, i * CHUNK + 1, CHUNK)))
 
     def one(acc: Column, x: Column) -> Column:
         at, more = step(acc["at"], x)
@@ -60,10 +56,10 @@ def fold(items: Column, step, kind: str) -> Column:
 
     def chunk(acc: Column, part: Column) -> Column:
         done = F.aggregate(part, F.struct(acc["at"].alias("at"), empty(kind).alias("out")), one)
-        return bind(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+        return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
 
     start = F.struct(F.lit(0).alias("at"), empty(f"array<{kind}>").alias("out"))
-    return bind(F.aggregate(nested, start, chunk), lambda d: F.struct(d["at"].alias("at"), F.flatten(d["out"]).alias("out")))
+    return let(F.aggregate(nested, start, chunk), lambda d: F.struct(d["at"].alias("at"), F.flatten(d["out"]).alias("out")))
 
 
 def spans_of(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -154,9 +150,9 @@ def masked(text: Column, spans: Column, mark: str) -> Column:
         across = F.concat(F.substring(F.get(blocks, first), g["s"] % PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substring(F.get(blocks, last), F.lit(1), (g["e"] - 1) % PIECE + 1))
         return F.when(g["s"] >= g["e"], "").when(first == last, within).otherwise(across)
 
-    whole = bind(fold(spans, step, gap), lambda x: F.concat(x["out"], F.array(F.struct(x["at"].alias("s"), F.greatest(x["at"], F.length(text)).alias("e"))).cast(f"array<{gap}>")))
+    whole = let(fold(spans, step, gap), lambda x: F.concat(x["out"], F.array(F.struct(x["at"].alias("s"), F.greatest(x["at"], F.length(text)).alias("e"))).cast(f"array<{gap}>")))
     blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
-    out = bind(blocks, lambda b: F.array_join(F.transform(whole, lambda g: piece(b, g)), mark))
+    out = let(blocks, lambda b: F.array_join(F.transform(whole, lambda g: piece(b, g)), mark))
     return F.when(F.size(spans) == 0, text).otherwise(out)
 
 
