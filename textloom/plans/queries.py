@@ -12,8 +12,9 @@ from textloom.functions.columns import safe_int, strip
 from textloom.functions.dates import cutoff, date_boost, extract_dates
 from textloom.operators import bm25, chunk, context, corpus, crawl, fusion, multihop, tokens, vectors
 from textloom.operators.rules import RuleSet
+from textloom.plans import search_sql
 from textloom.plans import sql as S
-from textloom.plans.answer import accuracy
+from textloom.plans.answer import INSTRUCTION, accuracy, render_plain, source_titles
 from textloom.plans.search import Retriever
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -401,9 +402,24 @@ def crawl_filter(spark, d):
     return crawl.crawlable(pages, ["example.com", "example.org"], r"/es/\d{3,}", pages.where(F.col("url").contains("utm_source"))).select("page_id")
 
 
-@query()
+VISIBLE = "regexp_extract(html, '(?is)<body\\b[^>]*>(.*)', 1)"
+for _part in (r"(?is)<script\b.*?>.*?</script>", r"(?is)<style\b.*?>.*?</style>", "(?s)<!--.*?-->", "(?s)<[^>]+>"):
+    VISIBLE = f"regexp_replace({VISIBLE}, '{_part}', chr(1), 'g')"
+NODES = f"list_filter(list_transform(string_split({VISIBLE}, chr(1)), lambda n: {S.strip(S.unescape('n'))}), lambda n: n <> '')"
+LINKS = "list_transform(list_filter(regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1), lambda h: contains(h, '.pdf')), lambda h: regexp_extract(url, '^[^:]+://[^/?#]*', 0) || h)"
+
+
+# one page in three gets a link to a PDF, as none has one
+@query(
+    f"""
+WITH p AS (SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN replace(html, '</body>', '<a class=x href=/files/a%20b.pdf>pdf</a></body>') ELSE html END AS html FROM pages)
+SELECT url, {S.strip(S.unescape("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} AS title, md5(array_to_string({NODES}, ' ')) AS content, {LINKS} AS file_urls FROM p"""
+)
 def crawl_items(spark, d):
-    return crawl.extract_items(table(spark, d, "pages"))
+    pages = table(spark, d, "pages")
+    more = F.replace("html", F.lit("</body>"), F.lit("<a class=x href=/files/a%20b.pdf>pdf</a></body>"))
+    items = crawl.extract_items(pages.withColumn("html", F.when(F.col("page_id") % 3 == 0, more).otherwise(F.col("html"))))
+    return items.withColumn("content", F.md5("content"))
 
 
 @query(f"SELECT id, list_filter(regexp_split_to_array(body, '[,，、/；;\\s]+'), lambda n: regexp_full_match(n, '[一-鿿]{{2,4}}|[A-Z][A-Za-z]+')) AS names FROM (SELECT id, regexp_extract(text, '【([^】]{{2,40}})】', 1) AS body FROM ({NAMED}) AS t(id, q, text, title, url))")
@@ -426,13 +442,141 @@ def document_chunks(docs):
     return docs.select("idx", F.concat_ws("-", "doc_id", "i").alias("chunk_id"), F.col("source").alias("title"), F.concat(F.lit("https://www.example.edu/"), "lang", F.lit("/"), "doc_id").alias("url"), F.lit(None).cast("string").alias("category"), "text")
 
 
-@query()
+# with questions whose words trigger rules: lectures, dates, a person, a course, the site's address
+SEARCHES = QUESTIONS + ", (200, '讲座 les des que'), (250, '最新 der die und'), (300, '王小明老师 of the'), (350, '《tion》 and'), (400, '示例大学官方网址 of the')"
+
+
+def searches(spark: SparkSession) -> DataFrame:
+    return rows(spark, SEARCHES, "qid", "q").withColumn("qid", F.col("qid").cast("bigint"))
+
+
+@query(search_sql.hybrid_search(SEARCHES, WORDS, RULES))
 def hybrid_search(spark, d):
     chunks = document_chunks(documents(spark, d))
-    return Retriever.build(chunks, vectors.hashing_encoder()).search(questions(spark), 8, True)
+    return Retriever.build(chunks, vectors.hashing_encoder()).search(searches(spark), 8, True)
 
 
-@query()
+@query(search_sql.dense_search(SEARCHES, WORDS))
 def dense_search(spark, d):
     chunks = document_chunks(documents(spark, d))
-    return Retriever.build(chunks, vectors.hashing_encoder(), hybrid=False).search(questions(spark), 8)
+    return Retriever.build(chunks, vectors.hashing_encoder(), hybrid=False).search(searches(spark), 8)
+
+
+@query(
+    f"""
+WITH c AS ({CHUNKED}), asked AS (SELECT doc_id * 100000 + chunk_index AS idx, CASE WHEN chunk_index % 5 < 4 THEN doc_id END AS doc_id, chunk_index, text FROM c WHERE doc_id % 3 = 0),
+near AS (SELECT a.idx, list(n.text ORDER BY n.chunk_index) AS near FROM asked a JOIN c n ON n.doc_id = a.doc_id AND n.chunk_index BETWEEN a.chunk_index - 2 AND a.chunk_index + 2 GROUP BY a.idx)
+SELECT idx, md5(CASE WHEN near IS NULL THEN text ELSE substring({S.strip("array_to_string(list_filter(near, lambda t, i: list_position(near, t) = i), chr(10) || chr(10))")}, 1, 2000) END) AS digest FROM asked LEFT JOIN near USING (idx)"""
+)
+def parent_window(spark, d):
+    c = chunked(spark, d).withColumn("chunk_index", F.col("chunk_index").cast("bigint"))
+    key = F.when(F.col("chunk_index") % 5 < 4, F.col("doc_id"))
+    asked = c.where("doc_id % 3 = 0").select(F.lit(1).alias("qid"), (F.col("doc_id") * 100000 + F.col("chunk_index")).alias("idx"), key.alias("doc_id"), "chunk_index", "text")
+    return context.with_parent_window(asked, c, 2, 2000).select("idx", F.md5("text").alias("digest"))
+
+
+OLD = f"SELECT page_id AS id, url, {S.canonical_url('url')} AS canonical_url, page_id % 7 AS run_id FROM pages WHERE page_id % 3 = 0"
+NEW = "SELECT CASE WHEN page_id % 4 = 1 THEN regexp_replace(url, '[?#].*$', '') ELSE url END AS url, CASE WHEN page_id % 11 = 0 THEN '' ELSE html END AS content, page_id AS line FROM pages WHERE page_id % 5 > 0"
+MERGED = f"""
+old AS ({OLD}), parts AS (SELECT page_id + 1000 AS document_id, url FROM pages WHERE page_id % 9 = 1), new AS ({NEW}),
+known AS (SELECT url FROM old UNION SELECT canonical_url FROM old UNION SELECT url FROM parts),
+fresh AS (SELECT * FROM new WHERE coalesce(content, '') <> '' AND url NOT IN (SELECT url FROM known WHERE url <> '') QUALIFY row_number() OVER (PARTITION BY url ORDER BY line) = 1),
+ids AS (SELECT *, (SELECT greatest((SELECT max(id) FROM old), (SELECT max(document_id) FROM parts))) + row_number() OVER (ORDER BY line) AS id FROM fresh)"""
+
+
+def merged(spark, d):
+    pages = table(spark, d, "pages")
+    old = pages.where("page_id % 3 = 0").select(F.col("page_id").alias("id"), "url", T.canonical_url("url").alias("canonical_url"), (F.col("page_id") % 7).alias("run_id"))
+    parts = pages.where("page_id % 9 = 1").select((F.col("page_id") + 1000).alias("document_id"), F.concat_ws("-", F.col("page_id") + 1000, F.lit(0)).alias("chunk_id"), F.lit(0).alias("chunk_index"), "url", F.lit("").alias("title"), F.lit("").alias("text"))
+    url = F.when(F.col("page_id") % 4 == 1, F.regexp_replace("url", "[?#].*$", "")).otherwise(F.col("url"))
+    new = pages.where("page_id % 5 > 0").select(url.alias("url"), F.when(F.col("page_id") % 11 == 0, "").otherwise(F.col("html")).alias("content"), F.col("page_id").alias("line"))
+    return corpus.merge(old, parts, new, "2026-01-02T03:04:05+00:00")
+
+
+@query(
+    f"""
+WITH {MERGED.strip()}
+SELECT id, url, canonical_url, run_id, NULL AS host, NULL AS sha256, NULL AS text_chars, NULL AS valid_from FROM old
+UNION ALL SELECT id, url, url, (SELECT max(run_id) FROM old) + 1, nullif(regexp_extract(url, '^(?:[^:/?#]+:)?//([^/?#]*)', 1), ''), sha256(content), length(content), '2026-01-02' FROM ids"""
+)
+def merge_documents(spark, d):
+    docs, _ = merged(spark, d)
+    return docs.select("id", "url", "canonical_url", "run_id", "host", "sha256", "text_chars", "valid_from")
+
+
+@query(
+    f"""
+WITH {MERGED.strip()}
+SELECT document_id, document_id || '-0' AS chunk_id, 0::BIGINT AS chunk_index, url, md5('') AS digest FROM parts
+UNION ALL SELECT id, id || '-' || i // 780, i // 780, url, md5(substring(content, i + 1, 900)) FROM (SELECT id, url, content, unnest(range(0, length(content), 780)) AS i FROM ids)"""
+)
+def merge_chunks(spark, d):
+    _, parts = merged(spark, d)
+    return parts.select("document_id", "chunk_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "url", F.md5("text").alias("digest"))
+
+
+TOKEN = r"[一-鿿]|[^\s\x0b\x1c-\x1f\x{85}\p{Z}一-鿿]+"
+SPACED = rf"[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]*(?:{TOKEN})"
+
+
+@query(
+    f"""
+WITH c AS (SELECT doc_id AS qid, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS rank, text FROM ({CHUNKED})),
+p AS (SELECT *, len(regexp_extract_all(piece, '{TOKEN}')) AS tokens FROM (SELECT qid, rank, '[资料' || rank || '] ' || text AS piece FROM c)),
+q AS (SELECT doc_id AS qid, 'What does document ' || doc_id || ' say?' AS question FROM documents),
+room AS (SELECT qid, question, 536 - len(regexp_extract_all({S.lit(INSTRUCTION)} || ' ' || question, '{TOKEN}')) AS room FROM q),
+u AS (SELECT *, sum(tokens) OVER w AS used, sum(tokens) OVER (PARTITION BY qid) AS whole FROM p JOIN room USING (qid) WINDOW w AS (PARTITION BY qid ORDER BY rank ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT *, CASE WHEN used <= room THEN piece WHEN room - (used - tokens) > 32 THEN array_to_string(list_slice(regexp_extract_all(piece, '{SPACED}'), 1, room - (used - tokens)), '') END AS part FROM u WHERE used - tokens < room),
+joined AS (SELECT qid, string_agg(part, chr(10) || chr(10) ORDER BY rank) AS body FROM k GROUP BY qid)
+SELECT qid, md5({S.lit(INSTRUCTION)} || chr(10) || chr(10) || coalesce(body, '') || chr(10) || chr(10) || question) AS digest FROM q LEFT JOIN joined USING (qid)"""
+)
+def prompts(spark, d):
+    question = F.concat(F.lit("What does document "), F.col("doc_id").cast("string"), F.lit(" say?"))
+    asked = table(spark, d, "documents").select("doc_id", question.alias("question"))
+    listed = asked.join(chunked(spark, d), "doc_id", "left").select(F.col("doc_id").alias("qid"), "question", F.col("chunk_index").alias("rank"), "text")
+    return context.build_prompts(listed, render_plain, 800, 200).select("qid", F.md5("prompt").alias("digest"))
+
+
+@query("SELECT doc_id % 50 AS qid, string_agg(source, ' | ' ORDER BY doc_id) AS titles FROM documents GROUP BY ALL")
+def titles_of_sources(spark, d):
+    return source_titles(table(spark, d, "documents").select((F.col("doc_id") % 50).alias("qid"), F.col("doc_id").alias("rank"), F.col("source").alias("title")))
+
+
+@query(f"WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN 'so</think> ' || text ELSE '</think>' || text || '</think> x' END AS t FROM documents) SELECT doc_id, md5({S.strip("CASE WHEN contains(t, '</think>') THEN substring(t, instr(t, '</think>') + 8) ELSE t END")}) AS digest FROM t")
+def answers_after_thinking(spark, d):
+    said = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("so</think> "), "text")).otherwise(F.concat(F.lit("</think>"), "text", F.lit("</think> x")))
+    return documents(spark, d).select("doc_id", F.md5(T.after_thinking(said)).alias("digest"))
+
+
+@query("SELECT page_id, url_decode(regexp_extract(regexp_extract(url, '^[^?#]*', 0), '[^/]*$', 0)) AS file_name FROM pages")
+def file_names(spark, d):
+    return table(spark, d, "pages").select("page_id", T.file_name("url").alias("file_name"))
+
+
+BLANKS = r"[ \t\f\x0b]+"
+BARE_HTML = "html"
+for _tag in ("script", "style", "noscript"):
+    BARE_HTML = rf"regexp_replace({BARE_HTML}, '(?is)<{_tag}\b.*?>.*?</{_tag}>', ' ', 'g')"
+FILE_TEXT = S.collapse(rf"regexp_replace(regexp_replace({S.unescape(f"regexp_replace({BARE_HTML}, '(?s)<[^>]+>', chr(10), 'g')")}, '{BLANKS}\n', chr(10), 'g'), '\n{BLANKS}', chr(10), 'g')")
+
+
+@query(f"SELECT page_id, length(t) AS n, md5(t) AS digest FROM (SELECT page_id, {FILE_TEXT} AS t FROM pages)")
+def html_file_text(spark, d):
+    t = spread(table(spark, d, "pages")).select("page_id", T.html_text("html").alias("t"))
+    return t.select("page_id", F.length("t").cast("bigint").alias("n"), F.md5("t").alias("digest"))
+
+
+@query("WITH t AS (SELECT page_id, url, ['text/html; charset=utf-8', 'application/pdf', 'text/html', NULL][page_id % 4 + 1] AS kind FROM pages) SELECT page_id FROM t WHERE starts_with(kind, 'text/html') AND ends_with('.' || lower(regexp_extract(url, '//([^/?#]*)', 1)), '.example.net')")
+def crawl_content_types(spark, d):
+    kinds = F.array(F.lit("text/html; charset=utf-8"), F.lit("application/pdf"), F.lit("text/html"), F.lit(None).cast("string"))
+    pages = table(spark, d, "pages").withColumn("content_type", F.get(kinds, (F.col("page_id") % 4).cast("int")))
+    return crawl.crawlable(pages, ["example.net"]).select("page_id")
+
+
+SITE = "regexp_extract(url, '^[^:]+://[^/?#]*', 0)"
+
+
+@query(f"SELECT page_id, list_transform(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), lambda h: {SITE} || h) AS links FROM pages")
+def absolute_links(spark, d):
+    found = table(spark, d, "pages").select("page_id", "url", F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)).alias("hrefs"))
+    return found.select("page_id", T.joined_urls("url", "hrefs").alias("links"))

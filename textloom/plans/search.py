@@ -165,4 +165,4 @@ class Retriever:
             # the same chunk may come from two sources, so its place is part of its key
             keyed = best.withColumnsRenamed({"qid": "_qid"}).withColumn("qid", F.struct("_qid", "rank"))
             best = with_parent_window(keyed, self.chunks.where("doc_id is not null"), self.context_window, self.max_context_chars).drop("qid").withColumnRenamed("_qid", "qid")
-        return best.select("qid", "rank", "score", "idx", "chunk_id", "title", "url", "text")
+        return best.select("qid", "rank", F.round("score", DIGITS).alias("score"), "idx", "chunk_id", "title", "url", "text")
