@@ -16,6 +16,7 @@ from textloom.plans import search_sql
 from textloom.plans import sql as S
 from textloom.plans.answer import INSTRUCTION, accuracy, render_plain, source_titles
 from textloom.plans.search import Retriever
+from textloom.staging import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,6 +84,11 @@ def tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", tokens.tokenize("text", compatible=False).alias("tokens"))
 
 
+def index(spark: SparkSession, sf_dir: str) -> bm25.BM25Index:
+    """An index over documents whose tokens are made once and staged."""
+    return bm25.BM25Index.build(stage(tokenised(spark, sf_dir), "tokens"))
+
+
 def questions(spark: SparkSession) -> DataFrame:
     return rows(spark, QUESTIONS, "qid", "q").withColumn("qid", F.col("qid").cast("bigint"))
 
@@ -235,8 +241,10 @@ def term_frequencies(spark, d):
 
 @query(f"WITH postings AS ({POSTINGS}) SELECT term, count(*) AS df, round(ln((n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE) + 1), 6) AS idf FROM postings, (SELECT count(*) AS n FROM documents) GROUP BY term, n")
 def df_idf(spark, d):
+    # only the number of documents is used of the statistics, so texts are tokenized once
     docs = tokenised(spark, d)
-    return bm25.term_idf(bm25.postings(docs), bm25.stats(bm25.lengths(docs))).select("term", "df", F.round("idf", 6).alias("idf"))
+    total = table(spark, d, "documents").agg(F.count("*").alias("n"))
+    return bm25.term_idf(bm25.postings(docs), total).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"SELECT count(*) AS n, round(avg(dl), 6) AS avgdl FROM ({LENGTHS})")
@@ -247,7 +255,7 @@ def doc_stats(spark, d):
 @query(f"WITH {BM25} SELECT CAST(qid AS BIGINT) AS qid, doc_id, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10")
 def bm25_top10(spark, d):
     asked = questions(spark).select("qid", tokens.tokenize("q", compatible=False).alias("tokens"))
-    return bm25.BM25Index.build(tokenised(spark, d)).top_n(asked, 10, digits=6).select("qid", "doc_id", "score", "rank")
+    return index(spark, d).top_n(asked, 10, digits=6).select("qid", "doc_id", "score", "rank")
 
 
 @query(
@@ -299,7 +307,7 @@ SELECT qid, idx, round(sum(weight / (60 + rank)), 6) AS score FROM lists GROUP B
 def rrf_fusion(spark, d):
     dense = _near(spark, d, 20).select("qid", F.lit(0).alias("list"), F.lit(fusion.DENSE_WEIGHT).alias("weight"), "idx", "rank")
     asked = questions(spark).select("qid", tokens.tokenize("q", compatible=False).alias("tokens"))
-    sparse = bm25.BM25Index.build(tokenised(spark, d)).top_n(asked, 20, digits=6)
+    sparse = index(spark, d).top_n(asked, 20, digits=6)
     sparse = sparse.select("qid", F.lit(1).alias("list"), F.lit(fusion.BM25_WEIGHT).alias("weight"), F.col("doc_id").alias("idx"), "rank")
     return fusion.rrf(dense.unionByName(sparse), digits=6).select("qid", "idx", "score")
 
@@ -336,7 +344,7 @@ def date_boosts(spark, d):
 @query(f"WITH {BM25} SELECT CAST(qid AS BIGINT) AS qid, unnest(idx) AS doc_id FROM (SELECT qid, {"list_transform(list_reduce(list(CASE WHEN TRUE THEN {'kept': [r], 'sigs': [s]} END ORDER BY r.rank), lambda a, x: CASE WHEN list_contains(a.sigs, x.sigs[1]) THEN a ELSE {'kept': list_concat(a.kept, x.kept), 'sigs': list_concat(a.sigs, x.sigs)} END).kept, lambda k: k.doc_id)"} AS idx FROM (SELECT qid, {{'rank': rank, 'doc_id': doc_id}} AS r, {S.signature('text')} AS s FROM ranked JOIN documents USING (doc_id) WHERE rank <= 200) GROUP BY qid)")
 def search_dedup(spark, d):
     asked = questions(spark).select("qid", tokens.tokenize("q", compatible=False).alias("tokens"))
-    found = bm25.BM25Index.build(tokenised(spark, d)).top_n(asked, 200, digits=6).select("qid", F.col("rank").alias("ord"), F.col("doc_id").alias("idx"))
+    found = index(spark, d).top_n(asked, 200, digits=6).select("qid", F.col("rank").alias("ord"), F.col("doc_id").alias("idx"))
     full = found.join(table(spark, d, "documents").select(F.col("doc_id").alias("idx"), "text"), "idx").withColumn("url", F.lit(""))
     return fusion.dedup_candidates(full).select("qid", F.col("idx").alias("doc_id"))
 
@@ -367,7 +375,7 @@ def context_budget(spark, d):
 @query(f"WITH {BM25} SELECT CAST(qid AS BIGINT) AS qid, string_agg(rank || '. ' || source || chr(10) || '   URL: ' || lang || chr(10) || '   摘要: ' || {S.snippet('text')}, chr(10) ORDER BY rank) AS listing FROM ranked JOIN documents USING (doc_id) WHERE rank <= 8 GROUP BY qid")
 def snippet_list(spark, d):
     asked = questions(spark).select("qid", tokens.tokenize("q", compatible=False).alias("tokens"))
-    found = bm25.BM25Index.build(tokenised(spark, d)).top_n(asked, 8, digits=6).select("qid", "rank", "doc_id")
+    found = index(spark, d).top_n(asked, 8, digits=6).select("qid", "rank", "doc_id")
     full = found.join(table(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.col("lang").alias("url"), "text"), "doc_id")
     return context.source_list(full).select("qid", "listing")
 

@@ -24,8 +24,9 @@ from textloom.sources.readers import exists
 from textloom.staging import stage
 
 RECALL, HOP_RECALL = 200, 40
-#: Digits that scores are rounded to before they are ranked, so that ties are ties on every machine.
-DIGITS = 9
+#: Digits that scores are rounded to before they are ranked, so that ties are ties on every machine. Shares of ranks have at
+#: most twelve where they have an end, so none lies half-way.
+DIGITS = 12
 #: Questions that a pass for the site's address serves; candidates of a question that deduplication looks at first.
 EVIDENCE_QUESTIONS, DEPTH = 100, 1000
 
