@@ -7,7 +7,9 @@ pattern matches on one side depends on nothing on the other, so the tokens outsi
 If a side has no cut, the window takes all of it. Decoding: byte strings of pieces of the ids are concatenated up a tree.
 
 Cases: a null or empty text has no ids; special strings are ordinary text; repeated rows each get a row; extra columns are
-ignored. Whole texts are encoded; a text without white space is one window at last, which the leaf encoder handles.
+ignored; an empty table gives no rows. Whole texts are encoded; a text without white space is one window at last, which the
+leaf encoder handles. Leaves and windows are encoded by the rank library; what is longer than a leaf, as most documents are,
+goes through the tree.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,15 +29,14 @@ from pyspark.sql import functions as F
 from textloom.llm.common import text_or_empty, text_slices
 
 #: Characters of a leaf, at most, and of the first window on either side of a border.
-LEAF, WINDOW = 2048, 64
+LEAF, WINDOW = 256, 64
 CUT = re.compile(r"(?<=\S)(?=[ \n\t\r])")
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class TreeCodec:
     """Encodes and decodes with a file of ranks."""
 
-    def __init__(self, path: str, pattern: str = PATTERN, leaf: int = LEAF, window: int = WINDOW):
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, leaf: int = LEAF, window: int = WINDOW):
         import tiktoken
 
         with open(path, "rb") as f:

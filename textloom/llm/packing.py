@@ -6,7 +6,7 @@ other available lengths finds the combination that fills it most, which is then
 
 Cases: a null or empty text is a document of the end id alone; special strings in a text become their special id, as in the
 tokenizers file of the same vocabulary; repeated rows are packed each; extra columns are ignored; an empty table gives no
-rows.
+rows; pieces of equal length are packed in the order they come, whichever they are.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.bpe_tree import PATTERN
 from textloom.llm.common import stage, text_or_empty, text_slices
 
 #: Pieces of a group, about.
@@ -43,15 +43,18 @@ def encoder(tokenizer_path: str):
 
     if tokenizer_path.endswith(".tiktoken"):
         with open(tokenizer_path, "rb") as f:
-            return tiktoken.Encoding("pack", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
+            return tiktoken.Encoding("pack", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = json.load(f)
     if spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
         raise ValueError("not a byte-level BPE file without normalizer and prefix space")
     back = {c: b for b, c in byte_letters().items()}
     special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+    made = [spec["model"]["vocab"][a + b] for a, b in (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])]
+    if any(x >= y for x, y in zip(made, made[1:], strict=False)):
+        raise ValueError("ids don't follow the order of merges, so they are no ranks")
     ranks = {bytes(map(back.__getitem__, token)): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("pack", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return tiktoken.Encoding("pack", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:

@@ -6,7 +6,8 @@ is checked when it is loaded: a merge must come after the merges that make its p
 that should have gone first, and a round equals the one-pair-at-a-time order.
 
 Cases: a null or empty text has 0 tokens; special strings inside a text count one token each, as the library counts them;
-repeated rows each get a row; extra columns are ignored. Whole texts are counted, whatever their length.
+repeated rows each get a row; extra columns are ignored; an empty table gives no rows. Whole texts are counted, whatever their
+length.
 """
 
 from __future__ import annotations
