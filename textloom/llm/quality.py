@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from textloom.llm.common import stage, text_or_empty, text_slices
 
 #: Labelled documents that a model is trained on, at most; words whose neighbours are counted at once; parts of the sample.
-TRAIN_ROWS, SLICE, PARTS = 6000, 1 << 16, 32
+TRAIN_ROWS, SLICE, PARTS = 6000, 1 << 17, 32
 DIM, NONZERO, WINDOW, HIDDEN = 96, 6, 2, 24
 #: Units with vectors of their own, at most, and what a form needs to be one. Other shapes share index vectors.
 UNITS, LEAST, OTHERS = 6000, 20, 256
@@ -171,9 +171,17 @@ def untrained(units: list[str]) -> Quality:
 
 
 def contexts(texts: Iterable[str], model: Quality) -> np.ndarray:
-    """For each unit, the sum of its neighbours' index vectors."""
-    index, n = model.vectors.astype(np.int32), len(model.units)
-    out = np.zeros((n, DIM), dtype=np.int64)
+    """For each unit, the sum of its neighbours' index vectors. Pairs are gathered to slices; only what isn't zero is added."""
+    n = len(model.units)
+    own = model.vectors[:n]
+    places = np.nonzero(own)[1].reshape(n, NONZERO)
+    signs = np.take_along_axis(own, places, axis=1).astype(np.float64)
+    out, held, size = np.zeros(n * DIM), [], 0
+
+    def add() -> None:
+        a, b = (np.concatenate([pair[i] for pair in held]) for i in (0, 1))
+        out[:] += np.bincount((a[:, None] * DIM + places[b]).ravel(), signs[b].ravel(), minlength=n * DIM)
+
     for t in texts:
         ids = model.rows_of(words_of(t))
         for gap in range(1, WINDOW + 1):
@@ -181,9 +189,14 @@ def contexts(texts: Iterable[str], model: Quality) -> np.ndarray:
                 b = ids[at + gap : at + gap + SLICE]
                 a = ids[at : at + len(b)]
                 ok = (a < n) & (b < n)
-                np.add.at(out, a[ok], index[b[ok]])
-                np.add.at(out, b[ok], index[a[ok]])
-    return out
+                held += [(a[ok], b[ok]), (b[ok], a[ok])]
+                size += 2 * len(a)
+                if size >= SLICE:
+                    add()
+                    held, size = [], 0
+    if held:
+        add()
+    return out.reshape(n, DIM).astype(np.int64)  # sums of ones, exact
 
 
 def with_contexts(model: Quality, context: np.ndarray) -> Quality:
