@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from textloom.llm.common import text_or_empty, text_slices
 
 #: Characters of a leaf, at most, and of the first window on either side of a border.
-LEAF, WINDOW = 256, 64
+LEAF, WINDOW = 512, 64
 CUT = re.compile(r"(?<=\S)(?=[ \n\t\r])")
 
 
