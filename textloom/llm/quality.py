@@ -40,7 +40,8 @@ TRAIN_ROWS, SLICE, PARTS = 6000, 1 << 17, 32
 DIM, NONZERO, WINDOW, HIDDEN = 96, 6, 2, 24
 #: Units with vectors of their own, at most, and what a form needs to be one. Other shapes share index vectors.
 UNITS, LEAST, OTHERS = 6000, 20, 256
-CACHE_WORDS = 200_000
+#: Words whose units a worker keeps, and words that counting holds at once, about.
+CACHE_WORDS, COUNTED = 200_000, 50_000
 #: Characters of a word; longer ones are several words.
 LONGEST = 64
 THRESHOLD = 0.3
@@ -144,12 +145,12 @@ class Quality:
 
 def word_counts(texts: Iterable[str]) -> Iterator[Counter[tuple[str, str]]]:
     """Counts of (form, shape) of the words of texts, in parts of bounded size that add up."""
-    shapes = functools.lru_cache(maxsize=CACHE_WORDS)(shape)
+    shapes = functools.lru_cache(maxsize=COUNTED)(shape)
     counts: Counter[tuple[str, str]] = Counter()
     for t in texts:
         for w, n in Counter(words_of(t)).items():
             counts[w.lower(), shapes(w)] += n
-        if len(counts) > CACHE_WORDS:
+        if len(counts) > COUNTED:
             yield counts
             counts = Counter()
     yield counts
