@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.staging import stage
+
 K1, B = 1.5, 0.75
 
 
@@ -64,10 +66,12 @@ class BM25Index:
     def scores(self, queries: DataFrame, k1: float = K1, b: float = B, digits: int | None = None) -> DataFrame:
         """(qid, doc_id, score, first) for each document with a term of the query; a repeated term adds again."""
         asked = query_terms(queries)
-        hits = self.postings.join(asked.select("term").distinct(), "term", "left_semi")
+        # staged, as their counts must be known before they are weighted, and the index is read once
+        hits = stage(self.postings.join(asked.select("term").distinct(), "term", "left_semi"), "hits")
         total = stats(self.lengths)
-        weights = term_idf(hits, total).select("term", "idf")
-        rows = hits.join(weights, "term").join(asked, "term").join(self.lengths, "doc_id").join(F.broadcast(total), F.lit(True))
+        # a row for each term of a query, so the hits meet one small table
+        weights = term_idf(hits, total).select("term", "idf").join(asked, "term").join(F.broadcast(total), F.lit(True))
+        rows = hits.join(weights, "term").join(self.lengths, "doc_id")
         norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
         score = F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / norm)
         return rows.groupBy("qid", "doc_id").agg((F.round(score, digits) if digits is not None else score).alias("score"), F.min("pos").alias("first"))

@@ -85,8 +85,9 @@ def tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> bm25.BM25Index:
-    """An index over documents whose tokens are made once and staged."""
-    return bm25.BM25Index.build(stage(tokenised(spark, sf_dir), "tokens"))
+    """An index over documents whose tokens are made once and staged, with their number beside them."""
+    docs = stage(tokenised(spark, sf_dir).withColumn("dl", F.size("tokens").cast("bigint")), "tokens")
+    return bm25.BM25Index(bm25.postings(docs), docs.select("doc_id", "dl"))
 
 
 def questions(spark: SparkSession) -> DataFrame:

@@ -6,7 +6,7 @@ Questions are a table (qid, q), so a plan serves a batch in one go. Texts join l
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,7 +88,12 @@ class Retriever:
     def _boosted(self, rows: DataFrame) -> DataFrame:
         """rows (idx, q, and more) with the candidate's columns and boost."""
         full = rows.join(self.chunks.select("idx", "title", "url", "text", "chunk_id", "doc_id", "chunk_index", "canonical_url"), "idx")
-        return full.withColumn("boost", self.rules.route_boost(F.col("q"), F.col("title"), F.col("url"), F.col("text")))
+        return full.withColumn("boost", self._boost)
+
+    @cached_property
+    def _boost(self) -> Column:
+        """The boost of a candidate. It is a large expression, so it is built once."""
+        return self.rules.route_boost(F.col("q"), F.col("title"), F.col("url"), F.col("text"))
 
     def hybrid_recall(self, questions: DataFrame, n: int = RECALL) -> DataFrame:
         """Candidates of each question: every variant's dense and BM25 lists fused by rank, and boosted."""
