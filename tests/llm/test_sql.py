@@ -12,7 +12,7 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
     got = [{k: plain(v) for k, v in r.asDict().items()} for r in queries.QUERIES[name](spark, FOLDER).collect()]
     cur = con.execute(queries.ORACLE_SQL[name])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe_tree, packing, quality, secret_scan, simhash, token_counts, topk_search, url_filter, vector_join, warc
+from textloom.llm import bpe_tree, conversation_trie, language_id, packing, phrases, quality, secret_scan, simhash, token_counts, topk_search, url_filter, vector_join, warc
 from textloom.llm.common import table
 
 
@@ -63,6 +63,19 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return language_id.predict(documents, language_id.train(documents))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_url_filter": op2_url_filter,
@@ -74,8 +87,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_warc": op9_warc,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_language_id": op12_language_id,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
+
 def _secrets_sql() -> str:
     """The scan in DuckDB, whose patterns have no look-around: runs of the weak secrets' letters are measured instead."""
     quoted = lambda x: "'" + x.replace("'", "''").replace(r"\x20", " ") + "'"
@@ -113,7 +130,50 @@ SELECT page_id, n AS payload_bytes, {digits} AS payload_digest, CASE WHEN first
 """
 
 
+_COLLOCATIONS = """
+WITH docs AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM docs),
+words AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM pieces),
+counts AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM words, range(1, 6) AS ks(k), LATERAL (SELECT unnest(range(1, (len(w) - k + 2)::BIGINT)) AS i) GROUP BY ALL),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+candidates AS (SELECT lang, phrase, f AS a, k, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 100),
+longer AS (SELECT DISTINCT lang, f, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, a AS f, k, w FROM candidates), range(2, 5) AS ms(m), LATERAL (SELECT unnest(range(1, (k - m + 2)::BIGINT)) AS i) WHERE m < k),
+kept AS (SELECT * FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM longer x WHERE x.lang = c.lang AND x.phrase = c.phrase AND 100 * x.f >= 100 * c.a)),
+cuts AS (SELECT c.lang, c.phrase, c.a, l.f AS l, r.f AS r, n, cut, (1000::HUGEINT * c.a * n // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM kept c JOIN totals USING (lang), range(1, 5) AS cs(cut), counts l, counts r
+  WHERE cut < c.k AND l.lang = c.lang AND r.lang = c.lang AND l.phrase = array_to_string(c.w[1:cut], ' ') AND r.phrase = array_to_string(c.w[cut + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best QUALIFY rank <= 2000
+"""
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a short ASCII string, bit by bit."""
+    byte = "list_reduce(list_concat([xor(c, o)], range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda z: ascii(z)::BIGINT)), lambda c, o: {byte}), 4294967295)"
+
+
+_TRIE = f"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS t FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (SELECT c, c - c % 20 AS base, ({_crc32_sql("c::VARCHAR")} % 4)::INT AS h, list(t ORDER BY p) AS own FROM turns GROUP BY c),
+built AS (SELECT x.c, list_concat(coalesce(y.own, [])[1:x.h], x.own[x.h + 1:]) AS s FROM convs x LEFT JOIN convs y ON y.c = x.base),
+parts AS (SELECT c, d, sha256(s[1:d]::VARCHAR) AS k, CASE WHEN d > 0 THEN sha256(s[1:d - 1]::VARCHAR) END AS up, d = len(s) AS ends, CASE WHEN d > 0 THEN len(regexp_extract_all(s[d].text, '[^\\x20\\x09-\\x0D]+')) ELSE 0 END AS w
+  FROM built, LATERAL (SELECT unnest(range(0, len(s) + 1)) AS d)),
+nodes AS (SELECT d, k, min(up) AS up, min(c) AS conv_id, count(*) AS n_convs, min(w) AS w, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256 FROM parts GROUP BY d, k),
+kids AS (SELECT up, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+full_ AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids ON kids.up = nodes.k AND kids.d = nodes.d),
+sums AS (SELECT a.d, a.k, sum((f.n_children = 0)::INT)::BIGINT AS n_leaves, sum((f.n_convs - 1) * f.w)::BIGINT AS saved_tokens
+  FROM full_ f JOIN parts a ON a.c = f.conv_id AND a.d <= f.d GROUP BY a.d, a.k)
+SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+FROM full_ f JOIN sums USING (d, k) LEFT JOIN nodes p ON p.k = f.up AND p.d = f.d - 1
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_phrase_collocations": _COLLOCATIONS,
+    "op13_conversation_trie": _TRIE,
     "op6_secret_scan": _secrets_sql(),
     "op9_warc": _archives_sql(),
     "op7_embedding_near_dedup": """
