@@ -205,7 +205,7 @@ def sample(documents: DataFrame, per_language: int = PER_LANGUAGE, total: int =
     # first within parts of a language, then of what is left of it
     part, whole = (Window.partitionBy("lang", *x).orderBy(F.xxhash64("doc_id"), "doc_id") for x in (["part"], []))
     ids = ids.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(64)))
-    ids = ids.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= most).withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= most)
+    ids = ids.repartition("lang", "part").withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= most).withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= most)
     ids = ids.select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))  # a row for each sampled document, so a broadcast has a bound
     some = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     return some.join(F.broadcast(ids), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("label"))).where("text is not null").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))

@@ -28,12 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import stage, text_or_empty, text_slices
+from textloom.llm.common import small_batches, stage, text_or_empty, text_slices
 
 #: Words of a phrase, at most; its occurrences, at least; phrases of a language, at most.
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Bytes of a block, about, and of all blocks that a task has begun.
-BLOCK, OPEN = 4 << 20, 32 << 20
+BLOCK, OPEN = 2 << 20, 16 << 20
+#: Blocks that go to a task at a time.
+AT_ONCE = 4
 #: Counters that tell which pairs may be frequent (a power of two), and parts that they are summed in.
 BUCKETS, CHUNKS = 1 << 22, 256
 #: Parts that a language is ranked in before its best are ranked together.
@@ -123,7 +125,9 @@ def possible(counted: DataFrame, least: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.packbits(own >= least).tobytes()], pa.binary())], names=["chunk", "bits"])
 
     out = np.zeros((CHUNKS, BUCKETS // CHUNKS), dtype=bool)
-    for r in counted.repartition(CHUNKS // 4, "chunk").mapInArrow(total, "chunk int, bits binary").collect():  # a bit for each counter
+    with small_batches(counted.sparkSession, AT_ONCE):
+        found = counted.repartition(CHUNKS // 4, "chunk").mapInArrow(total, "chunk int, bits binary").collect()  # a bit for each counter
+    for r in found:
         out[r["chunk"]] = np.unpackbits(np.frombuffer(bytes(r["bits"]), dtype=np.uint8))
     return out.ravel()
 
@@ -182,7 +186,8 @@ def _named(blocks: DataFrame, found: DataFrame, key: list[str], name: str, old:
                 places = np.frombuffer(place.as_buffer(), dtype=np.int32)[keep] if place.is_valid else keep
                 yield pa.RecordBatch.from_arrays([pa.array([block.as_py()]), pa.array([places.tobytes()], pa.binary()), pa.array([got[keep].tobytes()], pa.binary()), _list([id_], pa.int64())], names=["block", "place", "at", "ids"])
 
-    return stage(both.mapInArrow(rename, "block long, place binary, at binary, ids array<long>"), name, instead_of=old)
+    with small_batches(both.sparkSession, AT_ONCE):
+        return stage(both.mapInArrow(rename, "block long, place binary, at binary, ids array<long>"), name, instead_of=old)
 
 
 def frequent_words(blocks: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
@@ -200,7 +205,8 @@ def frequent_words(blocks: DataFrame, least: int) -> tuple[DataFrame, DataFrame]
                 i = np.flatnonzero(bits[np.frombuffer(buckets.as_buffer(), dtype=np.uint32)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), block.as_py())), pa.array([lang.as_py()] * len(i), pa.string()), pa.array(i.astype(np.int32)), words.values.take(pa.array(i)), n.values.take(pa.array(i))], names=["block", "lang", "i", "phrase", "n"])
 
-    rows = stage(blocks.select("block", "lang", "words", "n", "buckets").mapInArrow(choose, "block long, lang string, i int, phrase string, n long"), "word-rows")
+    with small_batches(blocks.sparkSession, AT_ONCE):
+        rows = stage(blocks.select("block", "lang", "words", "n", "buckets").mapInArrow(choose, "block long, lang string, i int, phrase string, n long"), "word-rows")
     found = rows.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     found = stage(found.withColumns({"id": F.monotonically_increasing_id(), "firsts": F.array("f"), "lasts": F.array("f")}), "frequent-1")
     places = blocks.select("block", F.lit(None).cast("binary").alias("place"), F.col("places").alias("at"))
@@ -230,7 +236,8 @@ def frequent_pairs(blocks: DataFrame, shorter: DataFrame, k: int, least: int) ->
                 columns = [pa.array([block]), pa.array([place[keep].tobytes()], pa.binary()), pa.array([at[keep].tobytes()], pa.binary()), *(_list([x[some]], pa.int64()) for x in (left, right, n))]
                 yield pa.RecordBatch.from_arrays(columns, names=["block", "place", "at", "left", "right", "n"])
 
-    chosen = stage(blocks.mapInArrow(choose, "block long, place binary, at binary, left array<long>, right array<long>, n array<long>"), f"pairs-{k}", instead_of=blocks)
+    with small_batches(blocks.sparkSession, AT_ONCE):
+        chosen = stage(blocks.mapInArrow(choose, "block long, place binary, at binary, left array<long>, right array<long>, n array<long>"), f"pairs-{k}", instead_of=blocks)
     rows = chosen.select("block", F.posexplode(F.arrays_zip("left", "right", "n")).alias("i", "x")).select("block", "i", "x.*")
     pairs = rows.groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     head = shorter.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("start"), F.col("firsts").alias("before"))
@@ -273,6 +280,6 @@ def collocations(documents: DataFrame, longest: int = LONGEST, least: int = LEAS
         own = own.join(totals, "lang").withColumn("best", best_cut(k)).select("lang", "phrase", F.col("f").alias("a"), "best.l", "best.r", "n", "best.score")
         scored = own if scored is None else scored.unionByName(own)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    some = scored.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
+    some = scored.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).repartition("lang", "salt").withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
     ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
