@@ -33,9 +33,9 @@ from textloom.llm.common import small_batches, stage, text_or_empty, text_slices
 #: Words of a phrase, at most; its occurrences, at least; phrases of a language, at most.
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Bytes of a block, about, and of all blocks that a task has begun.
-BLOCK, OPEN = 2 << 20, 16 << 20
-#: Blocks that go to a task at a time.
-AT_ONCE = 4
+BLOCK, OPEN = 2 << 20, 8 << 20
+#: Blocks and texts that go to a task at a time.
+AT_ONCE, TEXTS = 4, 256
 #: Counters that tell which pairs may be frequent (a power of two), and parts that they are summed in.
 BUCKETS, CHUNKS = 1 << 22, 256
 #: Parts that a language is ranked in before its best are ranked together.
@@ -109,7 +109,8 @@ def word_blocks(documents: DataFrame) -> DataFrame:
             yield close(lang)
 
     some = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), text_or_empty().alias("text"))
-    return stage(some.mapInArrow(build, "block long, lang string, total long, words array<string>, n array<long>, buckets binary, places binary"), "words")
+    with small_batches(some.sparkSession, TEXTS):
+        return stage(some.mapInArrow(build, "block long, lang string, total long, words array<string>, n array<long>, buckets binary, places binary"), "words")
 
 
 def possible(counted: DataFrame, least: int) -> np.ndarray:
