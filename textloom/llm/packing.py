@@ -18,7 +18,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
@@ -136,16 +135,16 @@ def pack(pieces: DataFrame, capacity: int = 2048, group: int = GROUP) -> DataFra
     pieces = stage(pieces, "pieces")
     groups = max(1, math.ceil(pieces.count() / group))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [x for x in frames if len(x)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [x for x in batches if x.num_rows]
         if got:
-            own = pd.concat(got, ignore_index=True)
-            bins, offsets = minimum_bin_slack(own["length"].to_numpy(), capacity)
-            own["sequence_id"], own["offset"] = bins + (np.int64(TaskContext.get().partitionId()) << 32), offsets
-            yield own
+            own = pa.Table.from_batches(got)
+            bins, offsets = minimum_bin_slack(own.column("length").to_numpy(), capacity)
+            own = own.append_column("sequence_id", pa.array(bins + (np.int64(TaskContext.get().partitionId()) << 32)))
+            yield from own.append_column("offset", pa.array(offsets)).to_batches()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return pieces.repartition(groups).mapInPandas(run, f"{fields}, sequence_id long, offset long")
+    return pieces.repartition(groups).mapInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

@@ -8,8 +8,8 @@ to the queries of every part, so that no task holds more than two parts. Trees o
 together in numpy. A task returns a spanning forest of its links, not all pairs.
 
 Cases: a null or empty text, or one of white space alone, has fingerprint zero and is linked like any other; texts of fewer
-words than a shingle hash as a whole; equal texts share a fingerprint, whose smallest doc_id stands for them; repeated rows
-each get a row; extra columns are ignored; an empty table gives no rows.
+words than a shingle hash as a whole; equal texts share a fingerprint; repeated rows each get a row; rows without doc_id are linked
+and link others like any other row, and a component of such rows alone has no component_id; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -169,7 +169,9 @@ def near_links(reps: DataFrame, radius: int = 2, part: int = PART) -> DataFrame:
 def near_duplicates(df: DataFrame, radius: int = 2) -> DataFrame:
     """(doc_id, fp, component_id) of every row of df (doc_id, text)."""
     own = stage(fingerprints(df), "fingerprints")
-    reps = stage(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    labels = connected_components(near_links(reps, radius))
-    known = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return own.join(known, "fp").select("doc_id", "fp", "component_id")
+    # a fingerprint is a node by its own value: its rows may all be without doc_id
+    reps = stage(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "reps")
+    labels = connected_components(near_links(reps.select("fp", F.col("fp").alias("rep")), radius))
+    known = stage(reps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component_id", "fp").alias("component")), "known", instead_of=reps)
+    smallest = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    return own.join(known.join(smallest, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

@@ -7,7 +7,7 @@ reads its candidates where they lie, block by block, and keeps each query's k be
 reads the candidates once for each block of queries.
 
 Cases: vectors that are null or hold null or non-finite components take no part, nor do rows without vec_id; components past
-the end of a shorter vector count as zero; an empty vector scores 0 with all; ties go to the smaller vec_id; every row is a
+the end of a shorter vector count as zero; components so large that a score might pass 64 bits raise a ValueError; an empty vector scores 0 with all; ties go to the smaller vec_id; every row is a
 candidate and, where it asks, a query, also those that repeat a vec_id, and only the query's own row is left out, so a
 repeated query id has k rows for each of its rows; extra columns are ignored; fewer than k candidates give fewer rows; an
 empty table gives none.
@@ -99,7 +99,10 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_colu
     # written and reread, so the numbers stay what they are
     rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "quantised")
     asking = rows.where("asks").select("row", "vec_id", "v")
-    size = asking.agg(F.sum(8 * F.size("v") + 64)).first()[0] or 0
+    seen = rows.agg(F.sum(F.when(F.col("asks"), 8 * F.size("v") + 64)), F.max(F.size("v")), F.max(F.array_max("v")), F.min(F.array_min("v"))).first()
+    size, longest, high, low = (x or 0 for x in seen)
+    if longest * max(high, -low) ** 2 >= 1 << 63:
+        raise ValueError(f"scores of {longest} components from {low} to {high} may pass 64 bits")
     blocks = max(1, math.ceil(size / QUERY_BYTES))
     found = []
     for block in range(blocks):

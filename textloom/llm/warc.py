@@ -29,7 +29,6 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta
 from itertools import groupby
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -259,17 +258,17 @@ def merge_index(entries: DataFrame) -> DataFrame:
     # a run is sorted where it was read; its fragments are only put in their order again
     ranged = entries.repartitionByRange(parts, "urlkey", "captured", "page_id").sortWithinPartitions("archive", "nth")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [x for x in frames if len(x)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [x for x in batches if x.num_rows]
         if not got:
             return
-        own = pd.concat(got, ignore_index=True)
-        own["page_id"], own["refers_to"] = own["page_id"].astype("Int64"), own["refers_to"].astype("Int64")
-        keys = list(zip(own["urlkey"], own["captured"], own["page_id"].fillna(-1), range(len(own)), strict=True))
-        runs = [iter([key for _, key in part]) for _, part in groupby(zip(own["archive"], keys, strict=True), key=lambda x: x[0])]
-        yield own.iloc[[key[-1] for key in LoserTree(runs)]][NAMES]
+        own = pa.Table.from_batches(got)
+        columns = (own.column(c).to_pylist() for c in ("urlkey", "captured", "page_id"))
+        keys = [(url, at, -1 if page is None else page, i) for i, (url, at, page) in enumerate(zip(*columns, strict=True))]
+        runs = [iter([key for _, key in part]) for _, part in groupby(zip(own.column("archive").to_pylist(), keys, strict=True), key=lambda x: x[0])]
+        yield from own.take(pa.array([key[-1] for key in LoserTree(runs)])).to_batches(max_chunksize=10_000)
 
-    return ranged.mapInPandas(run, ENTRY).drop("nth")
+    return ranged.mapInArrow(run, ENTRY).drop("nth")
 
 
 def archive(pages: DataFrame, path: str | None = None, least: int = 0) -> DataFrame:
