@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.functions.columns import safe_int, strip
 from textloom.functions.dates import cutoff, date_boost, extract_dates
-from textloom.operators import bm25, chunk, context, corpus, crawl, fusion, multihop, tokens, vectors
+from textloom.operators import bm25, chunk, context, corpus, crawl, entities, fusion, multihop, tokens, vectors
 from textloom.operators.rules import RuleSet
 from textloom.plans import search_sql
 from textloom.plans import sql as S
@@ -439,7 +439,7 @@ def split_names(spark, d):
 @query("SELECT * FROM (VALUES (1::BIGINT, ['张三', '李四', 'Wang'], 1.22::DOUBLE), (2, ['王小明'], 1.0), (3, ['赵六七'], 1.22), (4, CAST([] AS VARCHAR[]), 1.0)) AS t(qid, names, score)")
 def second_hop_names(spark, d):
     t = rows(spark, NAMED, "qid", "q", "text", "title", "url").withColumn("qid", F.col("qid").cast("bigint"))
-    named = multihop.teacher_names(t.select("qid", "q"), t.select("qid", F.lit(1).alias("ord"), "text"))
+    named = multihop.teacher_names(t.select("qid", "q"), t.select("qid", F.lit(1).alias("ord"), F.col("qid").alias("idx"), "text"))
     scored = multihop.adjusted(t.withColumn("score", F.lit(1.0)).drop("q").join(named, "qid"))
     return scored.select("qid", "names", F.round("score", 6).alias("score"))
 
@@ -465,6 +465,24 @@ def hybrid_search(spark, d):
     return Retriever.build(chunks, vectors.hashing_encoder()).search(searches(spark), 8, True)
 
 
+# people as these texts have them: the word that begins the next sentence, or one in a possessive
+HOP = multihop.HopProfile(
+    triggers=("mail", "who "), person=r"\b([A-Z][a-z]+)'s\b",
+    names=entities.NamePattern(bracket=r"[.] ([A-Z][a-z]{1,20}) ", separators=r"[ ,]+", name=r"[A-Z][a-z]{2,20}"),
+    follow_up="the of und die les", profile=("the ", "token"),
+)
+HOPS = "VALUES (1, 'who is after 《the》 and 《of》'), (2, 'the mail of 《die》'), (3, 'no trigger for 《la》'), (4, 'who knows Anoth''s or Thandand''s 《que》'), (5, 'who 《tion? (x》'), (6, 'who 《DES》 LES des')"
+
+
+@query(search_sql.second_hop(HOPS, WORDS, RULES, HOP))
+def second_hop(spark, d):
+    retriever = Retriever.build(document_chunks(documents(spark, d)), vectors.hashing_encoder(), hop=HOP)
+    asked = rows(spark, HOPS, "qid", "q").withColumn("qid", F.col("qid").cast("bigint"))
+    first = retriever.sparse(asked, multihop.CANDIDATES).join(retriever.chunks.select("idx", "text"), "idx").withColumnRenamed("rank", "ord")
+    _, found = retriever.second_hop(asked, first)
+    return found.select("qid", "nth", "name", "idx", F.round("score", 9).alias("score"))
+
+
 @query(search_sql.dense_search(SEARCHES, WORDS))
 def dense_search(spark, d):
     chunks = document_chunks(documents(spark, d))

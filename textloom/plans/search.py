@@ -17,6 +17,7 @@ from textloom.functions.columns import text
 from textloom.operators import multihop, vectors
 from textloom.operators.bm25 import BM25Index
 from textloom.operators.context import MAX_CONTEXT_CHARS, with_parent_window
+from textloom.operators.entities import entity_postings
 from textloom.operators.fusion import BM25_WEIGHT, DENSE_WEIGHT, cut, dedup_candidates, rrf
 from textloom.operators.rules import RuleSet, is_exact_url_query
 from textloom.operators.tokens import Segmenter, dictionary_segmenter, tokenize
@@ -47,6 +48,8 @@ class Retriever:
     bm25: BM25Index | None = None
     rules: RuleSet = field(default_factory=RuleSet)
     segmenter: Segmenter | None = None
+    hop: multihop.HopProfile = field(default_factory=multihop.HopProfile)
+    entities: DataFrame | None = None
     context_window: int = 1
     max_context_chars: int = MAX_CONTEXT_CHARS
 
@@ -59,6 +62,7 @@ class Retriever:
             tokens = stage(meta.select(F.col("idx").alias("doc_id"), out._tokens("text").alias("tokens")), "tokens")
             built = BM25Index.build(tokens)
             out.bm25 = BM25Index(stage(built.postings, "postings"), stage(built.lengths, "lengths"))
+            out.entities = stage(entity_postings(meta.select("idx", "text"), out.hop.names), "entities")
         return out
 
     def write(self, path: str) -> None:
@@ -67,12 +71,15 @@ class Retriever:
         self.embeddings.write.parquet(f"{path}/embeddings")
         if self.bm25 is not None:
             self.bm25.write(f"{path}/bm25")
+        if self.entities is not None:
+            self.entities.write.parquet(f"{path}/entities")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, encoder: vectors.Encoder, **kw) -> Retriever:
         """An index that write() wrote, with the encoder (and rules, and segmenter) that it was built with."""
         bm25 = BM25Index.read(spark, f"{path}/bm25") if exists(spark, f"{path}/bm25") else None
-        return cls(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/embeddings"), encoder, bm25, **kw)
+        entities = spark.read.parquet(f"{path}/entities") if exists(spark, f"{path}/entities") else None
+        return cls(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/embeddings"), encoder, bm25, entities=entities, **kw)
 
     def _tokens(self, column: str) -> Column:
         """Tokens of a text; without a segmenter, its words are those of the rules' vocabulary."""
@@ -82,7 +89,8 @@ class Retriever:
         """(qid, idx, score, rank) for questions (qid, q); qid whole numbers."""
         return vectors.search(self.embeddings, vectors.encode(asked, self.encoder, "q"), n, digits=DIGITS)
 
-    def _sparse(self, asked: DataFrame, n: int) -> DataFrame:
+    def sparse(self, asked: DataFrame, n: int) -> DataFrame:
+        """(qid, idx, score, rank) for questions (qid, q), by BM25."""
         return self.bm25.top_n(asked.select("qid", self._tokens("q").alias("tokens")), n, digits=DIGITS).withColumnRenamed("doc_id", "idx")
 
     def _boosted(self, rows: DataFrame) -> DataFrame:
@@ -101,7 +109,7 @@ class Retriever:
         key = (F.col("qid") * 64 + F.col("vid")).alias("qid")  # a question has fewer variants
         asked = variants.select(key, "q")
         lists = []
-        for found, own, place in ((self._dense(asked, n), DENSE_WEIGHT, 0), (self._sparse(asked, n), BM25_WEIGHT, 1)):
+        for found, own, place in ((self._dense(asked, n), DENSE_WEIGHT, 0), (self.sparse(asked, n), BM25_WEIGHT, 1)):
             part = found.select(F.floor(F.col("qid") / 64).alias("qid"), (F.col("qid") % 64).alias("vid"), "idx", "rank")
             part = part.join(variants.select("qid", "vid", "weight"), ["qid", "vid"])
             lists.append(part.select("qid", (F.col("vid") * 2 + place).alias("list"), (F.col("weight") * own).alias("weight"), "idx", "rank"))
@@ -110,15 +118,15 @@ class Retriever:
         return cut(scored, n, F.col("first"), F.col("idx")).drop("boost", "first").withColumnRenamed("rank", "ord")
 
     def second_hop(self, questions: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(named questions, candidates that follow-up questions find)."""
-        named = stage(multihop.teacher_names(questions, candidates), "names")
-        asks = stage(multihop.follow_ups(named), "follow-ups")
+        """(named questions, candidates that follow-up questions find). candidates: (qid, ord from 1, idx, text)."""
+        named = stage(multihop.teacher_names(questions, candidates, self.entities, self.hop), "names")
+        asks = stage(multihop.follow_ups(named, self.hop), "follow-ups")
         key = (F.col("qid") * 64 + F.col("nth")).alias("qid")
         asked = asks.select(key, F.col("followup").alias("q"))
         back = lambda df: df.select(F.floor(F.col("qid") / 64).alias("qid"), (F.col("qid") % 64).alias("nth"), "idx", "rank")
-        scores = multihop.hop_scores(back(self._dense(asked, HOP_RECALL)), back(self._sparse(asked, HOP_RECALL)))
+        scores = multihop.hop_scores(back(self._dense(asked, HOP_RECALL)), back(self.sparse(asked, HOP_RECALL)))
         found = self._boosted(scores.join(asks.select("qid", "nth", "q", "name"), ["qid", "nth"]))
-        return named, multihop.hop_candidates(found)
+        return named, multihop.hop_candidates(found, self.hop)
 
     def url_evidence(self, questions: DataFrame) -> DataFrame:
         """Chunks with the site's address, for questions that ask for the university's."""
