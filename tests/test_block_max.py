@@ -43,10 +43,12 @@ def test_best_equal_those_of_all(spark, seed, n, tmp_path):
 
 def test_postings_of_a_common_word_go_over_many_partitions(spark, tmp_path):
     index = bm25.BM25Index.build(corpus(spark, 3))
-    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    spark.conf.set(key, "8k")  # parts are merged up to this size, here too small for one word
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for key, value in (("spark.sql.shuffle.partitions", "24"), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):  # so small parts would be merged
+        spark.conf.set(key, value)
     index.write(str(tmp_path / "index"))
-    spark.conf.unset(key)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     written = bm25.BM25Index.read(spark, str(tmp_path / "index"))
     files = written.postings.where("term = 'all'").groupBy(F.input_file_name()).count().collect()
     assert len(files) > 1 and max(r["count"] for r in files) < sum(r["count"] for r in files)

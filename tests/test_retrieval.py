@@ -236,8 +236,7 @@ def test_dense_search_and_missing_index(spark, retriever):
         Retriever(retriever.chunks, retriever.embeddings, retriever.encoder).search(asked, hybrid=True)
 
 
-def test_many_questions_for_the_address(spark, retriever, monkeypatch):
-    monkeypatch.setattr("textloom.plans.search.EVIDENCE_QUESTIONS", 60)
+def test_many_questions_for_the_address(spark, retriever):
     asked = spark.createDataFrame([(i, f"{SiteProfile().university}的官网是什么 {i}") for i in range(150)], "qid long, q string")
     found = retriever.url_evidence(asked).collect()
     assert sorted({r["qid"] for r in found}) == list(range(150)) and {r["idx"] for r in found} == {4}

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
-from functools import reduce
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -14,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.columns import col
+from textloom.staging import small_batches, stage
 
-#: Queries that a pass over the vectors serves, at most, and vectors that are scored at once.
-QUERY_BLOCK, SCORED = 4096, 1024
+#: Queries and vectors of a block, at most; vectors that are scored at once; pairs of blocks that go to a task at a time.
+QUERY_BLOCK, VECTOR_BLOCK, SCORED, AT_ONCE = 4096, 8192, 1024, 4
 
 #: An encoder maps a batch of texts to a matrix with a row each.
 Encoder = Callable[[list[str]], np.ndarray]
@@ -63,51 +63,76 @@ def encode(df: DataFrame, encoder: Encoder, text_column: str = "text", batch: in
     return df.withColumn(name, run(F.col(text_column)))
 
 
-def query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) of queries (qid, embedding), in blocks of bounded size."""
-    rows = queries.select(F.col("qid").cast("bigint").alias("qid"), "embedding").where("embedding is not null").toLocalIterator()
-    while block := list(islice(rows, QUERY_BLOCK)):
-        yield np.array([r["qid"] for r in block]), np.array([r["embedding"] for r in block], dtype=np.float64)
+def packed(rows: DataFrame, size: int) -> DataFrame:
+    """(ids, matrix) of rows (id long, embedding), in blocks of at most `size` rows, made where the rows are."""
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
 
-def scored(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, n: int | None, digits: int | None) -> DataFrame:
-    """(qid, idx, score) of vectors (idx, embedding) for a block of queries: all, or of each task at least each query's n
-    best. The vectors stay where they are."""
+        def block() -> pa.RecordBatch:
+            ids = np.concatenate([i for i, _ in held])
+            x = np.concatenate([x for _, x in held])
+            return pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["ids", "matrix"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                if n and n + part.num_rows > size:
+                    yield block()
+                    held, n = [], 0
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                held.append((part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), x.reshape(part.num_rows, -1)))
+                n += part.num_rows
+        if n:
+            yield block()
+
+    return rows.where("embedding is not null").mapInArrow(pack, "ids binary, matrix binary")
+
+
+def grid(vectors: DataFrame, queries: DataFrame, n: int | None, digits: int | None) -> DataFrame:
+    """(qid, idx, score), staged, of vectors (idx, embedding) and queries (qid, embedding): all, or at least each query's n best.
+
+    Both are staged as numbered blocks, and a task scores pairs of blocks: neither the driver nor the plan has to do with how
+    many queries there are. Of a block pair a task sends on what reaches the n best that the query has met in this task.
+    """
+    spark = vectors.sparkSession
+    asks = queries.select(F.col("qid").cast("bigint").alias("id"), "embedding").where("embedding is not null and qid is not null")
+    asks = asks.repartition(max(1, math.ceil(asks.count() / QUERY_BLOCK)))  # full blocks, as queries may be a few of many rows
+    rows = vectors.select(F.col("idx").cast("bigint").alias("id"), "embedding").where("id is not null")
+    left, right = stage(packed(rows, VECTOR_BLOCK), "vector-blocks"), stage(packed(asks, QUERY_BLOCK), "query-blocks")
+    pairs = left.crossJoin(right.withColumnsRenamed({"ids": "asks", "matrix": "asked"}).withColumn("block", F.monotonically_increasing_id()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floor = np.full((0 if n is None else n, len(ids)), -np.inf)  # the n best scores so far
+        floors: dict[int, np.ndarray] = {}  # of each block of queries that this task meets, the n best scores so far
         for batch in batches:
-            for at in range(0, len(batch), SCORED):
-                part = batch.slice(at, SCORED)
-                lists = part.column(1)
-                x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
-                scores = x @ matrix.T
-                if digits is not None:
-                    scores = np.round(scores, digits)
-                wanted = np.ones(scores.shape, dtype=bool)
-                if n is not None:
-                    both = np.concatenate([floor, scores])
-                    floor = np.partition(both, len(both) - n, axis=0)[len(both) - n :]
-                    wanted = scores >= floor.min(axis=0)  # ties with the last are left to the ranking
-                row, q = np.nonzero(wanted)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), part.column(0).take(pa.array(row)), pa.array(scores[row, q])], names=["qid", "idx", "score"])
-
-    return vectors.where("embedding is not null").select(F.col("idx").cast("bigint").alias("idx"), "embedding").mapInArrow(run, "qid long, idx long, score double")
+            for ids, x, qids, q, block in zip(*batch.columns, strict=True):
+                ids, qids = (np.frombuffer(i.as_buffer(), dtype=np.int64) for i in (ids, qids))
+                x, q = (np.frombuffer(m.as_buffer(), dtype=np.float64).reshape(len(i), -1) for m, i in ((x, ids), (q, qids)))
+                for at in range(0, len(ids), SCORED):
+                    scores = x[at : at + SCORED] @ q.T
+                    if digits is not None:
+                        scores = np.round(scores, digits)
+                    wanted = np.ones(scores.shape, dtype=bool)
+                    if n is not None:
+                        both = np.concatenate([floors.get(block.as_py(), np.full((n, len(qids)), -np.inf)), scores])
+                        floors[block.as_py()] = floor = np.partition(both, len(both) - n, axis=0)[len(both) - n :]
+                        wanted = scores >= floor.min(axis=0)  # ties with the last are left to the ranking
+                    row, col_ = np.nonzero(wanted)
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[col_]), pa.array(ids[at + row]), pa.array(scores[row, col_])], names=["qid", "idx", "score"])
+
+    with small_batches(spark, AT_ONCE):
+        return stage(pairs.mapInArrow(run, "qid long, idx long, score double"), "scored")
 
 
 def search(vectors: DataFrame, queries: DataFrame, n: int, digits: int | None = None) -> DataFrame:
     """(qid, idx, score, rank from 1): the n rows of vectors (idx, embedding) of the largest inner product with each query
-    (qid, embedding). Queries are taken to the executors in blocks of bounded size."""
-    parts = [scored(vectors, ids, matrix, n, digits) for ids, matrix in query_blocks(queries)]
-    out = reduce(DataFrame.unionByName, parts) if parts else vectors.sparkSession.createDataFrame([], "qid long, idx long, score double")
+    (qid, embedding)."""
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "idx")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return grid(vectors, queries, n, digits).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
 def pairwise(vectors: DataFrame, digits: int | None = None) -> DataFrame:
     """(a, b, score): the cosines of all pairs of vectors (idx, embedding), as a matrix has them. There are as many as the
     square of the vectors; they are made in blocks, so nothing but the result grows so."""
     unit = vectors.select(F.col("idx").cast("bigint").alias("idx"), normalised("embedding").alias("embedding"))
-    parts = [scored(unit, ids, matrix, None, digits) for ids, matrix in query_blocks(unit.withColumnRenamed("idx", "qid"))]
-    out = reduce(DataFrame.unionByName, parts) if parts else vectors.sparkSession.createDataFrame([], "qid long, idx long, score double")
-    return out.select(F.col("qid").alias("a"), F.col("idx").alias("b"), "score")
+    return grid(unit, unit.withColumnRenamed("idx", "qid"), None, digits).select(F.col("qid").alias("a"), F.col("idx").alias("b"), "score")

@@ -6,8 +6,7 @@ Questions are a table (qid, q), so a plan serves a batch in one go. Texts join l
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import cached_property, reduce
-from itertools import islice
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +27,8 @@ RECALL, HOP_RECALL = 200, 40
 #: Digits that scores are rounded to before they are ranked, so that ties are ties on every machine. Shares of ranks have at
 #: most twelve where they have an end, so none lies half-way.
 DIGITS = 12
-#: Questions that a pass for the site's address serves; candidates of a question that deduplication looks at first.
-EVIDENCE_QUESTIONS, DEPTH = 100, 1000
+#: Candidates of a question that deduplication looks at first.
+DEPTH = 1000
 
 
 def index_meta(chunks: DataFrame) -> DataFrame:
@@ -132,15 +131,9 @@ class Retriever:
         """Chunks with the site's address, for questions that ask for the university's."""
         site = self.rules.site
         asked = questions.where(is_exact_url_query(F.col("q")) & F.col("q").contains(site.university) & ~F.col("q").contains(site.school) & ~F.col("q").contains("研究生招生"))
-        found = [self._boosted(questions.limit(0).withColumn("idx", F.lit(0).cast("bigint")))]
         hits = self.chunks.where(F.col("haystack").contains(site.site_url)).select("idx")
-        rows = list(islice(stated := asked.select("qid", "q").toLocalIterator(), EVIDENCE_QUESTIONS))
-        while rows:  # usually never, and then there is no scan
-            block = F.array(*(F.struct(F.lit(r["qid"]).cast("bigint").alias("qid"), F.lit(r["q"]).alias("q")) for r in rows))
-            found.append(self._boosted(hits.select("idx", F.explode(block).alias("x")).select("idx", "x.qid", "x.q")))
-            rows = list(islice(stated, EVIDENCE_QUESTIONS))
-        columns = found[0].columns
-        return reduce(DataFrame.unionByName, [x.select(*columns) for x in found]).withColumn("score", multihop.EVIDENCE + F.col("boost"))
+        # each such question with each such chunk: what is asked for, by one plan for any number of questions
+        return self._boosted(hits.crossJoin(asked.select("qid", "q"))).withColumn("score", multihop.EVIDENCE + F.col("boost"))
 
     def _first_distinct(self, ranked: DataFrame, top_k: int) -> DataFrame:
         """The first top_k candidates of each question that deduplication keeps. It looks at DEPTH candidates, and at more
