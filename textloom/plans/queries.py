@@ -600,6 +600,25 @@ def crawl_content_types(spark, d):
     return crawl.crawlable(pages, ["example.net"]).select("page_id")
 
 
+# no page of the tables links to another: a link's word stands for a page of topics, which links to pages whose title it begins
+TOPIC = "lower(regexp_extract(trim(regexp_extract(html, '<title>([^<]*)', 1)), '^[^ <&*#%.,]+', 0))"
+
+
+@query(f"""
+WITH RECURSIVE links AS (
+  SELECT DISTINCT url, lower(unnest(regexp_extract_all(html, '<a href="(/[^"/]+)"', 1))) AS target FROM pages
+  UNION SELECT '/' || {TOPIC}, url FROM pages WHERE {TOPIC} <> ''),
+reached AS (SELECT url, 0 AS depth FROM pages WHERE page_id % 50 = 0 UNION SELECT target, depth + 1 FROM reached JOIN links USING (url) WHERE depth < 6),
+first AS (SELECT url, min(depth) AS depth FROM reached GROUP BY url)
+SELECT f.url, CAST(f.depth AS INTEGER) AS depth, min(p.url) AS parent
+FROM first f LEFT JOIN links l ON l.target = f.url LEFT JOIN first p ON p.url = l.url AND p.depth = f.depth - 1 GROUP BY ALL""")
+def crawl_frontier(spark, d):
+    pages = table(spark, d, "pages")
+    links = pages.select("url", F.explode(F.regexp_extract_all("html", F.lit('<a href="(/[^"/]+)"'), F.lit(1))).alias("target")).withColumn("target", F.lower("target"))
+    topics = pages.select(F.concat(F.lit("/"), F.expr(TOPIC)).alias("url"), F.col("url").alias("target")).where("url <> '/'")
+    return crawl.follow(links.unionByName(topics).distinct(), pages.where("page_id % 50 = 0").select("url"), 6)
+
+
 SITE = "regexp_extract(url, '^[^:]+://[^/?#]*', 0)"
 
 
