@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.functions.columns import safe_int, strip
 from textloom.functions.dates import cutoff, date_boost, extract_dates
-from textloom.operators import bm25, chunk, context, corpus, crawl, entities, fusion, multihop, tokens, vectors
+from textloom.operators import bm25, chunk, context, corpus, crawl, entities, fusion, lattice, multihop, tokens, vectors
 from textloom.operators.rules import RuleSet
 from textloom.plans import search_sql
 from textloom.plans import sql as S
@@ -276,6 +276,16 @@ def ngrams_2_4(spark, d):
     return rows(spark, CJK, "id", "text").select("id", tokens.cjk_ngrams("text").alias("grams"))
 
 
+@query()  # a cheapest path is no query of SQL; tests hold it against all paths
+def segment_unspaced(spark, d):
+    """The words of each document, found again where what is between them is taken away."""
+    docs = documents(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    known = lattice.Lattice.learn(docs.select(F.explode(lattice.words_of(F.col("text"))).alias("word")))
+    rows = docs.select("doc_id", lattice.words_of(F.col("text")).alias("words"), known.segmenter(r"\w+", search=False)(lattice.unspaced(F.col("text"))).alias("found"))
+    rows = rows.select("doc_id", F.size("words").cast("bigint").alias("n_words"), F.size("found").cast("bigint").alias("n_found"), F.concat_ws(" ", "words").alias("words"), F.concat_ws(" ", "found").alias("found"))
+    return rows.select("doc_id", "n_words", "n_found", (F.col("words") == F.col("found")).alias("same"), F.md5("found").alias("digest"))
+
+
 def _near(spark, d, n):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), "embedding")
     return vectors.search(e, e.where("idx % 50 = 0").select(F.col("idx").alias("qid"), "embedding"), n, digits=6)
