@@ -443,7 +443,7 @@ def crawl_items(spark, d):
 
 @query(f"SELECT id, list_filter(regexp_split_to_array(body, '[,，、/；;\\s]+'), lambda n: regexp_full_match(n, '[一-鿿]{{2,4}}|[A-Z][A-Za-z]+')) AS names FROM (SELECT id, regexp_extract(text, '【([^】]{{2,40}})】', 1) AS body FROM ({NAMED}) AS t(id, q, text, title, url))")
 def split_names(spark, d):
-    return rows(spark, NAMED, "id", "q", "text", "title", "url").select("id", multihop.split_names(F.regexp_extract("text", multihop.BRACKET, 1)).alias("names"))
+    return rows(spark, NAMED, "id", "q", "text", "title", "url").select("id", multihop.split_names(F.regexp_extract("text", entities.NamePattern().bracket, 1)).alias("names"))
 
 
 @query("SELECT * FROM (VALUES (1::BIGINT, ['张三', '李四', 'Wang'], 1.22::DOUBLE), (2, ['王小明'], 1.0), (3, ['赵六七'], 1.22), (4, CAST([] AS VARCHAR[]), 1.0)) AS t(qid, names, score)")
