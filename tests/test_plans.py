@@ -4,7 +4,9 @@ import re
 
 import pytest
 
+from textloom.operators import vectors
 from textloom.plans import queries as core
+from textloom.staging import stage
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -13,14 +15,29 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize(("name", "columns"), [("topk_docs", {"doc_id", "n_chars"}), ("canonical_url", {"page_id", "url"}), ("accuracy_rows", {"doc_id", "lang", "quality", "toxic"}), ("signature", {"doc_id", "text"}), ("vector_topk", {"vec_id", "embedding"})])
+@pytest.mark.parametrize(("name", "columns"), [("topk_docs", {"doc_id", "n_chars"}), ("canonical_url", {"page_id", "url"}), ("accuracy_rows", {"doc_id", "lang", "quality", "toxic"}), ("signature", {"doc_id", "text"})])
 def test_scans_read_only_what_is_used(spark, name, columns):
-    read = re.findall(r"ReadSchema: struct<(.*?)>(?=\n|$|,? )", plan(core.QUERIES[name](spark, FOLDER)))
-    assert read and {c.split(":")[0] for r in read for c in re.split(r",(?![^<]*>)", r)} <= columns
-
-
-def test_filters_reach_the_scan(spark):
-    assert "PushedFilters: [IsNotNull(embedding)" in plan(core.QUERIES["vector_topk"](spark, FOLDER))
+    assert read_columns(plan(core.QUERIES[name](spark, FOLDER))) <= columns
+
+
+def read_columns(text):
+    read = re.findall(r"ReadSchema: struct<(.*?)>(?=\n|$|,? )", text)
+    assert read
+    return {c.split(":")[0] for r in read for c in re.split(r",(?![^<]*>)", r)}
+
+
+def test_vectors_are_read_as_filters_and_columns_say_and_no_query_is_in_the_plan(spark, monkeypatch):
+    staged = {}
+    monkeypatch.setattr(vectors, "stage", lambda df, name, **kw: staged.setdefault(name, plan(df)) and stage(df, name, **kw))
+    last = plan(core.QUERIES["vector_topk"](spark, FOLDER))
+    for name in ("vector-blocks", "query-blocks"):
+        assert read_columns(staged[name]) <= {"vec_id", "embedding"} and "IsNotNull(embedding)" in staged[name]
+    sizes = {name: len(text) for name, text in staged.items()}
+    staged.clear()
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 2)  # five times as many blocks, and the same plan
+    again = plan(core.QUERIES["vector_topk"](spark, FOLDER))
+    bare = lambda text: re.sub(r"#\d+L?|\d+|[0-9a-f]{32}", "", text)
+    assert bare(again) == bare(last) and all(abs(len(staged[name]) - n) < 0.1 * n for name, n in sizes.items())
 
 
 @pytest.mark.parametrize("name", ["bm25_top10", "rrf_fusion", "vector_topk", "assign_ids", "neighbour_window", "context_budget", "upsert_anti", "search_dedup"])
