@@ -72,6 +72,13 @@ def document_records(new: DataFrame, run_id: int, fetched_at: str) -> DataFrame:
     return new.select(*(values.get(c, own(c)).alias(c) for c in names(RAW_DOCUMENT)))
 
 
+def records(fresh: DataFrame, run_id: int, fetched_at: str, size: int = 900, overlap: int = 120) -> tuple[DataFrame, DataFrame]:
+    """Documents and chunks of crawled items with an id."""
+    added = fresh.select("id", "url", column_or(fresh, "title", default="").alias("title"), F.posexplode(window_chunks("content", size, overlap)).alias("i", "text"))
+    more = added.select(F.col("id").alias("document_id"), F.concat_ws("-", "id", "i").alias("chunk_id"), F.col("i").cast("int").alias("chunk_index"), "url", "title", "text")
+    return document_records(fresh, run_id, fetched_at), more.select(*names(RAW_CHUNK))
+
+
 def merge(documents: DataFrame, chunks: DataFrame, new: DataFrame, fetched_at: str, size: int = 900, overlap: int = 120) -> tuple[DataFrame, DataFrame]:
     """Old documents and chunks with the unseen items of new (url, content, line and more) added: ids go on from the
     largest, in the order of lines."""
@@ -79,9 +86,8 @@ def merge(documents: DataFrame, chunks: DataFrame, new: DataFrame, fetched_at: s
     after = max(largest_id(documents, "id"), largest_id(chunks, "document_id"))
     run_id = largest_id(documents, "run_id") + 1
     fresh = stage(numbered(fresh, ["line"], "id", after), "fresh")
-    added = fresh.select("id", "url", column_or(fresh, "title", default="").alias("title"), F.posexplode(window_chunks("content", size, overlap)).alias("i", "text"))
-    more = added.select(F.col("id").alias("document_id"), F.concat_ws("-", "id", "i").alias("chunk_id"), F.col("i").cast("int").alias("chunk_index"), "url", "title", "text")
-    return documents.unionByName(document_records(fresh, run_id, fetched_at), allowMissingColumns=True), chunks.unionByName(more.select(*names(RAW_CHUNK)), allowMissingColumns=True)
+    more_documents, more_chunks = records(fresh, run_id, fetched_at, size, overlap)
+    return documents.unionByName(more_documents, allowMissingColumns=True), chunks.unionByName(more_chunks, allowMissingColumns=True)
 
 
 def preprocess(documents: DataFrame, chunks: DataFrame, texts: DataFrame | None = None, max_chars: int = 900, overlap: int = 120, site_lines: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -16,7 +16,8 @@ from textloom.plans import search_sql
 from textloom.plans import sql as S
 from textloom.plans.answer import INSTRUCTION, accuracy, render_plain, source_titles
 from textloom.plans.search import Retriever
-from textloom.staging import stage
+from textloom.sources.store import CorpusStore
+from textloom.staging import shared_path, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -552,6 +553,23 @@ def merge_chunks(spark, d):
     return parts.select("document_id", "chunk_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "url", F.md5("text").alias("digest"))
 
 
+PLACE = "regexp_replace(url, '[^/]*$', '')"
+
+
+@query(
+    f"""
+WITH items AS (SELECT v, {PLACE} AS url, CASE WHEN page_id % 11 = 0 THEN '' ELSE html END AS content, page_id AS line FROM pages, (VALUES (1), (2), (3)) t(v) WHERE page_id % 4 IN (0, v)),
+firsts AS (SELECT * FROM items WHERE coalesce(content, '') <> '' QUALIFY row_number() OVER (PARTITION BY url ORDER BY v, line) = 1)
+SELECT row_number() OVER (ORDER BY v, line) AS id, url, CAST(v AS BIGINT) AS run_id, sha256(content) AS sha256 FROM firsts"""
+)
+def merge_versions(spark, d):
+    kept = CorpusStore(spark, shared_path(spark, "store"))
+    pages = table(spark, d, "pages").select(F.expr(PLACE).alias("url"), F.when(F.col("page_id") % 11 == 0, "").otherwise(F.col("html")).alias("content"), F.col("page_id").alias("line"))
+    for v in (1, 2, 3):
+        kept.merge(pages.where((F.col("line") % 4).isin(0, v)), "2026-01-02T03:04:05+00:00")
+    return kept.documents().select("id", "url", "run_id", "sha256")
+
+
 TOKEN = r"[一-鿿]|[^\s\x0b\x1c-\x1f\x{85}\p{Z}一-鿿]+"
 SPACED = rf"[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]*(?:{TOKEN})"
 
