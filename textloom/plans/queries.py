@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.functions.columns import safe_int, strip
 from textloom.functions.dates import cutoff, date_boost, extract_dates
-from textloom.operators import bm25, chunk, context, corpus, crawl, entities, fusion, lattice, multihop, tokens, vectors
-from textloom.operators.rules import RuleSet
+from textloom.operators import bm25, chunk, context, corpus, crawl, entities, fusion, lattice, multihop, term_rules, tokens, vectors
+from textloom.operators.rules import Boost, RuleSet, Trigger
 from textloom.plans import search_sql
 from textloom.plans import sql as S
 from textloom.plans.answer import INSTRUCTION, accuracy, render_plain, source_titles
@@ -343,6 +343,34 @@ def route_boost(spark, d):
     return t.select("id", F.round(RULES.route_boost(F.col("q"), F.col("title"), F.col("url"), F.col("text")), 6).alias("boost"))
 
 
+# A table of boosts for the words of the test tables; its SQL is typed by hand.
+WORD_BOOSTS = [
+    Boost(Trigger(any=("the", "zz")), (((("hay", ("thtion", "thand")),), 0.25), ((("hay", ("tion",)),), 0.125))),
+    Boost(Trigger(all=("of", "tion"), none=("der",)), (((("both", ("heing", "and of")),), 0.5),)),
+    Boost(Trigger(any=("der", "les")), (((("title_is", ("de", "fr")),), 0.0625), ((("url", ("src1",)), ("hay", (". d", "que"))), -0.25))),
+    Boost(Trigger(any=("and",)), (((("title", ("e",)), ("url", ("src2", "src19"))), 1.0), ((("hay", ("and", "ander", "anderin")),), 2.0))),
+]
+
+
+@query(
+    f"""
+WITH d AS (SELECT doc_id AS idx, coalesce(lang, '') AS title, lower(coalesce(source, '')) AS url, lower(coalesce(lang, '') || chr(10) || coalesce(source, '') || chr(10) || coalesce(text, '')) AS hay FROM documents),
+p AS (SELECT * FROM d JOIN ({QUESTIONS}) AS t(qid, q) ON qid = idx % 4 * 50)
+SELECT CAST(qid AS BIGINT) AS qid, idx,
+  CASE WHEN q LIKE '%the%' OR q LIKE '%zz%' THEN CASE WHEN hay LIKE '%thtion%' OR hay LIKE '%thand%' THEN 0.25::DOUBLE WHEN hay LIKE '%tion%' THEN 0.125 ELSE 0 END ELSE 0 END
+  + CASE WHEN q LIKE '%of%' AND q LIKE '%tion%' AND q NOT LIKE '%der%' AND hay LIKE '%heing%' AND hay LIKE '%and of%' THEN 0.5 ELSE 0 END
+  + CASE WHEN q LIKE '%der%' OR q LIKE '%les%' THEN CASE WHEN title IN ('de', 'fr') THEN 0.0625 WHEN url LIKE '%src1%' AND (hay LIKE '%. d%' OR hay LIKE '%que%') THEN -0.25 ELSE 0 END ELSE 0 END
+  + CASE WHEN q LIKE '%and%' THEN CASE WHEN title LIKE '%e%' AND (url LIKE '%src2%' OR url LIKE '%src19%') THEN 1 WHEN hay LIKE '%and%' OR hay LIKE '%ander%' OR hay LIKE '%anderin%' THEN 2 ELSE 0 END ELSE 0 END AS boost
+FROM p"""
+)
+def rule_boosts(spark, d):
+    boosts = term_rules.BoostTable(WORD_BOOSTS)
+    asked = rows(spark, QUESTIONS, "qid", "q").select(F.col("qid").cast("bigint").alias("qid"), "q")
+    chunks = documents(spark, d).select(F.col("doc_id").alias("idx"), F.col("lang").alias("title"), F.col("source").alias("url"), "text")
+    pairs = chunks.select((F.col("idx") % 4 * 50).alias("qid"), "idx")
+    return boosts.scores(pairs, boosts.asked(asked), boosts.held(chunks))
+
+
 @query(f"SELECT id, list_transform({S.dates('body')}, lambda x: strftime(x, '%Y-%m-%d')) AS dates FROM ({DATED}) AS t(id, body, q)")
 def date_extract(spark, d):
     return rows(spark, DATED, "id", "body", "q").select("id", F.transform(extract_dates("body"), lambda x: x.cast("string")).alias("dates"))
