@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import canonical_url, signature
+from textloom.staging import shared_path, stage
 
 RRF_K, DENSE_WEIGHT, BM25_WEIGHT = 60, 1.0, 1.35
 ITEM = "struct<ord:bigint,idx:bigint,url:string,sig:string>"
@@ -50,3 +51,35 @@ def dedup_candidates(candidates: DataFrame, canonical: bool = True) -> DataFrame
     kept = keyed.groupBy("qid").agg(greedy_dedup(F.array_sort(F.collect_list("x"))).alias("kept"))
     stay = kept.select("qid", F.explode("kept.ord").alias("ord"))
     return candidates.join(stay, ["qid", "ord"], "left_semi")
+
+
+def dedup_long_lists(candidates: DataFrame, canonical: bool = True) -> DataFrame:
+    """dedup_candidates for lists of any length: a query's candidates lie in many tasks.
+
+    The kept rows are the first independent set by order, where rows that share a key exclude each other. Of equal pairs of keys
+    the first row stands for all. In a round, a row is kept if none before it shares its URL or its signature, and what shares a
+    key with a kept row goes. Rows that are kept are a part, by round, of one written table. A round's joins meet one row for
+    each key, so a frequent key's rows can be split. Rounds are as many as the longest run of rows of which each waits for the
+    one before: few for keys of ordinary texts, up to half the list in the worst case.
+
+    Cases: `ord` is distinct within a query; null and empty URLs are no key; empty signatures are one, as in the fold.
+    """
+    spark = candidates.sparkSession
+    url = canonical_url("url") if canonical else F.coalesce("url", F.lit(""))
+    keyed = candidates.select("qid", F.col("ord").cast("bigint").alias("ord"), url.alias("url"), signature("text").alias("sig"))
+    left = stage(keyed.groupBy("qid", "url", "sig").agg(F.min("ord").alias("ord")), "dedup-left")
+    at, schema = shared_path(spark, "dedup-kept"), "qid bigint, ord bigint, round int"
+    rounds = 0
+    while not left.isEmpty():
+        by_url = left.where("url <> ''").groupBy("qid", "url").agg(F.min("ord").alias("url_first"))
+        by_sig = left.groupBy("qid", "sig").agg(F.min("ord").alias("sig_first"))
+        first = (F.col("ord") == F.col("sig_first")) & (F.col("ord") == F.coalesce("url_first", "ord"))
+        met = stage(left.join(by_url, ["qid", "url"], "left").join(by_sig, ["qid", "sig"]).select("qid", "ord", "url", "sig", first.alias("kept")), "dedup-round")
+        kept = met.where("kept")
+        kept.select(F.col("qid").cast("bigint").alias("qid"), "ord").write.parquet(f"{at}/round={rounds}")
+        rest = met.where("not kept").join(kept.where("url <> ''").select("qid", "url"), ["qid", "url"], "left_anti").join(kept.select("qid", "sig"), ["qid", "sig"], "left_anti")
+        left = stage(rest.select("qid", "url", "sig", "ord"), "dedup-left", instead_of=left)
+        rounds += 1
+    if not rounds:
+        return candidates.limit(0)
+    return candidates.join(spark.read.schema(schema).parquet(at).select("qid", "ord"), ["qid", "ord"], "left_semi")

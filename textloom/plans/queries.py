@@ -389,6 +389,21 @@ def search_dedup(spark, d):
     return fusion.dedup_candidates(full).select("qid", F.col("idx").alias("doc_id"))
 
 
+LEADS = "concat(lang, '/', regexp_extract(text, '^[A-Za-z]+ [A-Za-z]+', 0))"
+
+
+@query(
+    f"""
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '' ELSE coalesce({LEADS}, '') END AS u, {S.signature("text")} AS s FROM documents),
+folded AS (SELECT list_reduce(list({{'kept': [doc_id], 'urls': [u], 'sigs': [s]}} ORDER BY doc_id), lambda a, x: CASE WHEN (x.urls[1] <> '' AND list_contains(a.urls, x.urls[1])) OR list_contains(a.sigs, x.sigs[1]) THEN a
+  ELSE {{'kept': list_concat(a.kept, x.kept), 'urls': list_concat(a.urls, x.urls), 'sigs': list_concat(a.sigs, x.sigs)}} END).kept AS kept FROM d)
+SELECT unnest(kept) AS doc_id FROM folded"""
+)
+def dedup_long_list(spark, d):
+    listed = table(spark, d, "documents").select(F.lit(0).cast("bigint").alias("qid"), F.col("doc_id").alias("ord"), F.col("doc_id").alias("idx"), F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.expr(LEADS)).alias("url"), "text")
+    return fusion.dedup_long_lists(listed, canonical=False).select(F.col("idx").alias("doc_id"))
+
+
 @query(
     f"""
 WITH c AS ({CHUNKED}), n AS (
