@@ -284,6 +284,33 @@ def test_answers_and_evaluation(spark, retriever, tmp_path):
     assert written.read_bytes().startswith(b"\xef\xbb\xbfquery,")
 
 
+def test_a_stopped_evaluation_goes_on(spark, retriever, tmp_path):
+    log, stop = tmp_path / "log", tmp_path / "stop"
+    stop.touch()
+
+    def model(prompts):
+        with log.open("a") as f:
+            for p in prompts:
+                if p.endswith("q3") and stop.exists():
+                    raise RuntimeError("stopped")
+                f.write(p.rsplit("\n", 1)[-1] + "\n")
+        return ["to " + p.rsplit("\n", 1)[-1] for p in prompts]
+
+    answerer = Answerer(retriever, model, top_k=2)
+    items = spark.createDataFrame([(2**53 + i, f"q{i}", None, None) for i in range(5)], "qid long, query string, gt_answer string, type string")
+    at = str(tmp_path / "runs")
+    with pytest.raises(Exception, match="stopped"):
+        compare(answerer, items, {"a b/c": False}, at, 1).collect()
+    assert log.read_text().split() == ["q0", "q1", "q2"]
+    stop.unlink()
+    rows = compare(answerer, items, {"a b/c": False}, at, 2)
+    assert [r["resp_a b/c"] for r in rows.collect()] == [f"to q{i}" for i in range(5)]
+    assert sorted(log.read_text().split()) == [f"q{i}" for i in range(5)]  # each was asked once
+    compare(answerer, items.withColumn("query", F.when(F.col("query") == "q1", "new").otherwise(F.col("query"))), {"a b/c": False}, at).collect()
+    assert sorted(log.read_text().split()) == ["new", *(f"q{i}" for i in range(5))]  # a question that changed is asked again
+    assert compare(answerer, items.limit(0), {"a b/c": False}, at).count() == 0
+
+
 def test_names_of_second_hops(spark):
     got = spark.createDataFrame([("张三、李四;Wang Li，x，Ab",)], "a string").select(multihop.split_names(F.col("a")).alias("x")).first()["x"]
     assert got == ["张三", "李四", "Wang", "Li", "Ab"]

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import os
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.columns import text
 from textloom.operators.context import NO_QUESTION, NO_SOURCES, Renderer, build_prompts, generate, source_list
+from textloom.operators.corpus import numbered
 from textloom.plans.search import Retriever
-from textloom.schemas import EVALUATION
-from textloom.staging import stage
+from textloom.schemas import EVALUATION, names
+from textloom.sources.sinks import _files
+from textloom.staging import shared_path, stage
 
 #: What a model is told where the caller brings no wording of its own.
 INSTRUCTION = "Use nothing but the numbered sources below. Name the numbers you rely on. If the sources do not settle the question, say what is missing. Write in the language of the question."
@@ -61,33 +66,59 @@ class Answerer:
         return answers.first()["answer"], listing["listing"] if listing else NO_SOURCES
 
 
-def evaluate(answerer: Answerer, items: DataFrame) -> DataFrame:
+ANSWERED = "qid BIGINT, asked STRING, answer STRING, titles STRING, latency DOUBLE"
+
+
+def answered(answerer: Answerer, asked: DataFrame, config: str, hybrid: bool, checkpoint: str, batch: int = 1000) -> DataFrame:
+    """(qid, answer, titles, latency) for questions (qid, q), each asked once over all runs with the same checkpoint folder.
+
+    Questions go to the model in batches by qid. A batch's rows are written under a hidden name and moved into the
+    configuration's folder when they are whole, so a run that was stopped leaves whole batches only, and the next one asks what
+    no batch has: an answer belongs to its configuration, its qid and the text of its question. Latencies are of a batch, divided
+    by its questions. qid is distinct and not null; one run at a time writes a configuration.
+    """
+    spark = asked.sparkSession
+    place = f"{checkpoint.rstrip('/')}/config={quote(config, safe='')}"
+    fs, at = _files(spark, place)
+    fs.mkdirs(at(place))
+    digest = F.sha2(text("q"), 256).alias("asked")
+    keyed = asked.select(F.col("qid").cast("bigint").alias("qid"), "q", digest)
+    parts = lambda: spark.read.schema(ANSWERED).parquet(place).select(*names(ANSWERED))
+    left = numbered(keyed.join(parts().select("qid", "asked"), ["qid", "asked"], "left_anti"), ["qid"], "n", -1)
+    left = stage(left, "unanswered")
+    for i in range(-(-left.count() // batch)):
+        part = left.where(F.floor(F.col("n") / batch) == i).drop("n")
+        n, began = part.count(), time.time()
+        answers, contexts = answerer.answer(part.select("qid", "q"), hybrid)
+        rows = stage(part.join(answers.select("qid", "answer"), "qid", "left").join(source_titles(contexts), "qid", "left"), "answers")
+        rows = rows.withColumn("latency", F.lit(round((time.time() - began) / n, 2)))
+        name = uuid.uuid4().hex
+        rows.select(*names(ANSWERED)).write.parquet(f"{place}/.{name}")
+        if not fs.rename(at(f"{place}/.{name}"), at(f"{place}/part={name}")):
+            raise RuntimeError(f"a batch could not be moved into {place}")
+    return keyed.drop("q").join(parts(), ["qid", "asked"]).drop("asked")
+
+
+def evaluate(answerer: Answerer, items: DataFrame, checkpoint: str | None = None, batch: int = 1000) -> DataFrame:
     """The evaluation's table for test items (qid, query, gt_answer, type): both modes side by side, correctness left open.
-
-    Latencies are of the batch, divided by its questions."""
-    asked = items.select("qid", F.col("query").alias("q"))
-    n = max(1, items.count())
+    With a checkpoint folder a run goes on where another one stopped."""
     out = items.select("qid", "query", F.coalesce("gt_answer", F.lit("")).alias("gt_answer"), F.coalesce("type", F.lit("")).alias("type"))
+    folder = checkpoint or shared_path(items.sparkSession, "answers")
     for name, hybrid in (("dense", False), ("hybrid", True)):
-        began = time.time()
-        answers, contexts = answerer.answer(asked, hybrid)
-        answers = stage(answers, "answers")
-        took = round((time.time() - began) / n, 2)
-        titles = source_titles(contexts).withColumnRenamed("titles", f"sources_{name}")
-        out = out.join(answers.select("qid", F.col("answer").alias(f"sys_resp_{name}")), "qid", "left").join(titles, "qid", "left")
-        out = out.withColumns({f"is_correct_{name}": F.lit(""), f"latency_{name}_s": F.lit(took)})
+        rows = answered(answerer, items.select("qid", F.col("query").alias("q")), name, hybrid, folder, batch)
+        own = {"answer": f"sys_resp_{name}", "titles": f"sources_{name}", "latency": f"latency_{name}_s"}
+        out = out.join(rows.withColumnsRenamed(own), "qid", "left").withColumn(f"is_correct_{name}", F.lit(""))
     return out.orderBy("qid").select(*EVALUATION)
 
 
-def compare(answerer: Answerer, items: DataFrame, configs: dict[str, bool]) -> DataFrame:
-    """(query, gt_answer, type, resp_<name>, lat_<name>...) for each configuration, hybrid or not."""
-    asked = items.select("qid", F.col("query").alias("q"))
-    n = max(1, items.count())
+def compare(answerer: Answerer, items: DataFrame, configs: dict[str, bool], checkpoint: str | None = None, batch: int = 1000) -> DataFrame:
+    """(query, gt_answer, type, resp_<name>, lat_<name>...) for each configuration, hybrid or not. With a checkpoint folder a
+    run goes on where another one stopped."""
     out = items.select("qid", "query", F.coalesce("gt_answer", F.lit("")).alias("gt_answer"), F.coalesce("type", F.lit("")).alias("type"))
+    folder = checkpoint or shared_path(items.sparkSession, "answers")
     for name, hybrid in configs.items():
-        began = time.time()
-        answers = stage(answerer.answer(asked, hybrid)[0], "answers")
-        out = out.join(answers.select("qid", F.col("answer").alias(f"resp_{name}")), "qid", "left").withColumn(f"lat_{name}", F.lit(round((time.time() - began) / n, 2)))
+        rows = answered(answerer, items.select("qid", F.col("query").alias("q")), name, hybrid, folder, batch)
+        out = out.join(rows.drop("titles").withColumnsRenamed({"answer": f"resp_{name}", "latency": f"lat_{name}"}), "qid", "left")
     return out.orderBy("qid").drop("qid")
 
 
