@@ -67,17 +67,19 @@ def dedup_long_lists(candidates: DataFrame, canonical: bool = True) -> DataFrame
     spark = candidates.sparkSession
     url = canonical_url("url") if canonical else F.coalesce("url", F.lit(""))
     keyed = candidates.select("qid", F.col("ord").cast("bigint").alias("ord"), url.alias("url"), signature("text").alias("sig"))
-    left = stage(keyed.groupBy("qid", "url", "sig").agg(F.min("ord").alias("ord")), "dedup-left")
+    left = keyed.groupBy("qid", "url", "sig").agg(F.min("ord").alias("ord"))
+    # a row without URL has one of its own, so that such rows meet nothing by URL and lie in all tasks
+    left = stage(left.withColumn("url", F.when(F.col("url") == "", F.concat(F.lit("\0"), F.col("ord").cast("string"))).otherwise(F.col("url"))), "dedup-left")
     at, schema = shared_path(spark, "dedup-kept"), "qid bigint, ord bigint, round int"
     rounds = 0
     while not left.isEmpty():
-        by_url = left.where("url <> ''").groupBy("qid", "url").agg(F.min("ord").alias("url_first"))
+        by_url = left.groupBy("qid", "url").agg(F.min("ord").alias("url_first"))
         by_sig = left.groupBy("qid", "sig").agg(F.min("ord").alias("sig_first"))
-        first = (F.col("ord") == F.col("sig_first")) & (F.col("ord") == F.coalesce("url_first", "ord"))
-        met = stage(left.join(by_url, ["qid", "url"], "left").join(by_sig, ["qid", "sig"]).select("qid", "ord", "url", "sig", first.alias("kept")), "dedup-round")
+        first = (F.col("ord") == F.col("sig_first")) & (F.col("ord") == F.col("url_first"))
+        met = stage(left.join(by_url, ["qid", "url"]).join(by_sig, ["qid", "sig"]).select("qid", "ord", "url", "sig", first.alias("kept")), "dedup-round")
         kept = met.where("kept")
         kept.select(F.col("qid").cast("bigint").alias("qid"), "ord").write.parquet(f"{at}/round={rounds}")
-        rest = met.where("not kept").join(kept.where("url <> ''").select("qid", "url"), ["qid", "url"], "left_anti").join(kept.select("qid", "sig"), ["qid", "sig"], "left_anti")
+        rest = met.where("not kept").join(kept.select("qid", "url"), ["qid", "url"], "left_anti").join(kept.select("qid", "sig"), ["qid", "sig"], "left_anti")
         left = stage(rest.select("qid", "url", "sig", "ord"), "dedup-left", instead_of=left)
         rounds += 1
     if not rounds:
