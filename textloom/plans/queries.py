@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.functions.columns import safe_int, strip
 from textloom.functions.dates import cutoff, date_boost, extract_dates
-from textloom.operators import bm25, chunk, context, corpus, crawl, entities, fusion, lattice, multihop, term_rules, tokens, vectors
+from textloom.operators import bm25, chunk, context, corpus, crawl, entities, fusion, lattice, multihop, streams, term_rules, tokens, vectors
 from textloom.operators.rules import Boost, RuleSet, Trigger
 from textloom.plans import search_sql
 from textloom.plans import sql as S
@@ -185,12 +185,24 @@ def sentence_split(spark, d):
     return s.select("doc_id", F.size("s").cast("bigint").alias("n"), F.md5(F.array_join("s", "|")).alias("digest"))
 
 
-@query(f"SELECT doc_id, unnest(range(len(c))) AS chunk_index, md5(unnest(c)) AS digest FROM (SELECT doc_id, {S.chunks('t')} AS c FROM (SELECT doc_id, {S.collapse('text')} AS t FROM documents))")
+@query(f"SELECT doc_id, unnest(range(len(c))) AS chunk_index, md5(unnest(c)) AS digest FROM (SELECT doc_id, {S.chunks(S.units('t'))} AS c FROM (SELECT doc_id, {S.collapse('text')} AS t FROM documents))")
 def greedy_pack(spark, d):
     c = documents(spark, d).select("doc_id", F.posexplode(chunk.chunk_text("text")).alias("i", "c"))
     return c.select("doc_id", F.col("i").cast("bigint").alias("chunk_index"), F.md5("c").alias("digest"))
 
 
+@query(
+    f"""
+WITH listed AS (SELECT source, flatten(list({S.units('t')} ORDER BY doc_id)) AS us FROM (SELECT source, doc_id, {S.collapse('text')} AS t FROM documents) GROUP BY source)
+SELECT source, unnest(range(len(c))) AS chunk_index, md5(unnest(c)) AS digest FROM (SELECT source, {S.chunks('us')} AS c FROM listed)"""
+)
+def pack_sources(spark, d):
+    """The documents of each source as one stream, in the order of their ids."""
+    units = documents(spark, d).select(F.col("source").alias("stream"), "doc_id", F.posexplode(chunk.units_of("text")).alias("i", "unit"))
+    packed = streams.pack_streams(units, ["doc_id", "i"], overlap=120)
+    return packed.select(F.col("stream").alias("source"), "chunk_index", F.md5("text").alias("digest"))
+
+
 @query(f"SELECT doc_id, chunk_index, md5(text) AS digest FROM ({CHUNKED})")
 def window_chunks(spark, d):
     return chunked(spark, d).select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.md5("text").alias("digest"))
@@ -221,7 +233,7 @@ def docs_left_chunks(spark, d):
 CLEANED = f"SELECT doc_id, {S.clean_lines('s')} AS t FROM (SELECT doc_id, {S.strip_html('text')} AS s FROM documents)"
 
 
-@query(f"SELECT doc_id AS document_id, unnest(range(len(c))) AS chunk_index, length(unnest(c)) AS char_count, md5(unnest(c)) AS digest FROM (SELECT doc_id, list_transform({S.chunks('t')}, lambda z: {S.strip('z')}) AS c FROM ({CLEANED}) WHERE t <> '')")
+@query(f"SELECT doc_id AS document_id, unnest(range(len(c))) AS chunk_index, length(unnest(c)) AS char_count, md5(unnest(c)) AS digest FROM (SELECT doc_id, list_transform({S.chunks(S.units('t'))}, lambda z: {S.strip('z')}) AS c FROM ({CLEANED}) WHERE t <> '')")
 def preprocess_corpus(spark, d):
     docs = documents(spark, d)
     stored = docs.select(F.col("doc_id").alias("id"), F.lit("").alias("url"), F.lit("").alias("title"), F.lit(None).cast("string").alias("text_path"))

@@ -51,10 +51,14 @@ def sentences(x: str) -> str:
     return f"list_filter(list_transform(string_split({marked}, chr(1)), lambda s: {strip('s')}), lambda s: s <> '')"
 
 
-def chunks(x: str, max_chars: int = 900, overlap: int = 120) -> str:
+def units(x: str, max_chars: int = 900) -> str:
     """Of a collapsed text."""
     paragraphs = rf"list_filter(list_transform(string_split_regex({x}, '\n{{2,}}'), lambda p: {strip('p')}), lambda p: p <> '')"
-    units = f"flatten(list_transform({paragraphs}, lambda p: CASE WHEN length(p) <= {max_chars} THEN [p] ELSE {sentences('p')} END))"
+    return f"flatten(list_transform({paragraphs}, lambda p: CASE WHEN length(p) <= {max_chars} THEN [p] ELSE {sentences('p')} END))"
+
+
+def chunks(units: str, max_chars: int = 900, overlap: int = 120) -> str:
+    """Of a list of units."""
     start = "{'done': CAST([] AS VARCHAR[]), 'open': ''}"
     step = (
         "CASE WHEN acc.open = '' THEN {'done': acc.done, 'open': u.open} "
