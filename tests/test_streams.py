@@ -22,7 +22,7 @@ def by_fold(spark, rows, max_chars, overlap):
 
 def packed(spark, rows, max_chars, overlap, cell):
     df = spark.createDataFrame(rows, SCHEMA).repartition(7)
-    out = streams.pack_streams(df, ["i"], max_chars, overlap, cell).collect()
+    out = streams.pack_streams(df, ["i"], F.array("unit"), max_chars, overlap, cell).collect()
     got = {(r["stream"], r["chunk_index"]): r["text"] for r in out}
     assert len(got) == len(out)
     return got
@@ -48,10 +48,16 @@ def test_equal_rows_and_streams_without_units(spark):
     assert packed(spark, [], 10, 0, 48) == {}
 
 
+def test_rows_of_several_units(spark):
+    df = spark.createDataFrame([(1, 0, ["a", None, "b"]), (1, 1, None), (1, 2, []), (1, 3, ["", "ccc"]), (2, 0, None)], "stream long, i int, us array<string>")
+    got = streams.pack_streams(df, ["i"], F.col("us"), 4, 0, 24).orderBy("chunk_index").collect()
+    assert [tuple(r) for r in got] == [(1, 0, 2, "a\n\nb"), (1, 1, 1, "ccc")]
+
+
 def test_a_stream_of_a_million_units(spark):
     """A chunk's text shows its first unit; units of 9 characters and the gap fit 82 times into 900."""
     units = spark.range(10**6, numPartitions=8).select(F.lit("s").alias("stream"), F.col("id").alias("i"), F.lpad(F.col("id").cast("string"), 9, "0").alias("unit"))
-    out = streams.pack_streams(units, ["i"])
+    out = streams.pack_streams(units, ["i"], F.array("unit"))
     row = out.agg(F.count("*").alias("n"), F.max("chunk_index").alias("last"), F.sum("n_units").alias("units"), F.count_if(F.substring("text", 1, 9).cast("long") == F.col("chunk_index") * 82).alias("right")).first()
     chunks = -(-(10**6) // 82)
     assert row.asDict() == {"n": chunks, "last": chunks - 1, "units": 10**6, "right": chunks}
@@ -67,7 +73,7 @@ def test_running_sums(spark):
 @pytest.mark.parametrize("bad", [{"overlap": -1}, {"max_chars": 0}, {"cell": 900}])
 def test_limits_are_checked(spark, bad):
     with pytest.raises(ValueError, match="cell"):
-        streams.pack_streams(spark.createDataFrame([], SCHEMA), ["i"], **bad)
+        streams.pack_streams(spark.createDataFrame([], SCHEMA), ["i"], F.array("unit"), **bad)
 
 
 def test_the_fold_of_a_long_document(spark):

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
@@ -17,13 +17,17 @@ from textloom.staging import shared_path, stage
 CELL = 1 << 22  # characters of a stream that one task packs at a time
 
 
-def running_sums(df: DataFrame, key: str, order: list[str], value: str, name: str) -> DataFrame:
+def running_sums(df: DataFrame, key: str, order: list[str], value: str, name: str, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """df, staged, with the sum of a long over the rows of the same key that come before by `order`, which should be unique.
 
+    cut: what becomes of the sorted rows before they are summed, without a shuffle; rows may become several there. What it
+    costs is paid once, while df is read twice, as its ranges are found from a sample.
+
     A key may hold any share of all rows: rows lie in range partitions, each of which is summed as it is read. Only the key
     that a partition begins with may have rows before it, so the sums from other partitions are a row for each partition.
     """
-    schema = StructType(df.schema.fields).add("_own", LongType())
+    ranged = cut(df.repartitionByRange(key, *order).sortWithinPartitions(key, *order))
+    schema = StructType([*ranged.schema.fields]).add("_own", LongType())
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key, open_sum = None, 0
@@ -42,13 +46,12 @@ def running_sums(df: DataFrame, key: str, order: list[str], value: str, name: st
             open_key, open_sum = runs.values[-1], int(own[-1] + values[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], names=[*batch.schema.names, "_own"])
 
-    ranged = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order).mapInArrow(within, schema)
-    staged = stage(ranged.withColumn("_part", F.spark_partition_id()), "running")
+    staged = stage(ranged.mapInArrow(within, schema).withColumn("_part", F.spark_partition_id()), "running")
     earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     sums = staged.groupBy(key, "_part").agg(F.sum(value).alias("_sum")).withColumn("_before", F.sum("_sum").over(earlier))
     offsets = sums.where("_before is not null").select(F.col(key).alias("_key"), F.col("_part").alias("_at"), "_before")
     out = staged.join(F.broadcast(offsets), (F.col("_part") == F.col("_at")) & F.col(key).eqNullSafe(F.col("_key")), "left")
-    return out.withColumn(name, F.col("_own") + F.coalesce("_before", F.lit(0))).select(*df.columns, name)
+    return out.withColumn(name, F.col("_own") + F.coalesce("_before", F.lit(0))).select(*ranged.columns, name)
 
 
 def successors(starts: np.ndarray, ends: np.ndarray, own: int, max_chars: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,23 +106,28 @@ def _reached(links: DataFrame) -> DataFrame:
         jumps, rounds = following, rounds + 1
 
 
-def pack_streams(units: DataFrame, order: list[str], max_chars: int = 900, overlap: int = 0, cell: int = CELL) -> DataFrame:
-    """Chunks (stream, chunk_index, n_units, text) of the rows (stream, unit, and what orders a stream's rows), as
-    `greedy_pack` and `with_overlap` give them for a stream's units in one array.
+def pack_streams(rows: DataFrame, order: list[str], units: Column, max_chars: int = 900, overlap: int = 0, cell: int = CELL) -> DataFrame:
+    """Chunks (stream, chunk_index, n_units, text) of rows that have a stream, columns that order the stream's rows, and
+    what `units`, an array of texts, is made of; as `greedy_pack` and `with_overlap` give them for all of a stream's units.
 
     A unit's place is the running sum of the lengths before it, so the chunk that begins with a unit ends at a place found by
     binary search. Streams are cut into cells of `cell` characters, which tasks pack independently: a cell is entered at one
     of the few units near its begin, and for each of these its task finds where the next cell is entered. These links are
     followed by doubling. A stream of any length is so spread over tasks, and a short one is one cell and no link.
 
-    Cases: null and empty units are none. A unit that is too long stays whole. Rows without stream are a stream. `order` is
+    Cases: null and empty units are none, nor has a null array any. A unit that is too long stays whole. Rows without stream are a stream. `order` is
     unique within a stream; of equal rows each is a unit if it is. A stream without units has no chunk. Other columns go.
     """
     if overlap < 0 or max_chars < 1 or cell < 4 * (max_chars + len(GAP)):
         raise ValueError("max_chars is at least 1, overlap at least 0, and a cell at least four chunks")
     reach = max_chars + len(GAP)
-    full = units.where("unit <> ''").select("stream", *order, "unit", (F.length("unit") + len(GAP)).cast("bigint").alias("step"))
-    placed = running_sums(full, "stream", order, "step", "start").select("stream", "start", "step", "unit")
+
+    def cut(df: DataFrame) -> DataFrame:
+        # an outer one, as a plain one is guarded by a filter that computes the units too
+        full = df.select("stream", F.explode_outer(units).alias("unit")).where("unit <> ''")
+        return full.withColumn("step", (F.length("unit") + len(GAP)).cast("bigint"))
+
+    placed = running_sums(rows, "stream", order, "step", "start", cut)
     own = F.floor(F.col("start") / cell).cast("bigint")
     near = (own > 0) & (F.col("start") - own * cell < reach)  # what a chunk of the cell before may reach
     cells = placed.withColumn("cell", F.explode(F.when(near, F.array(own, own - 1)).otherwise(F.array(own))))
@@ -127,14 +135,14 @@ def pack_streams(units: DataFrame, order: list[str], max_chars: int = 900, overl
 
     def link(key: tuple, table: pa.Table) -> pa.Table:
         nth = key[1].as_py()
-        rows, starts, ends, n_own = _sorted(table, nth, cell)
+        sort, starts, ends, n_own = _sorted(table, nth, cell)
         exits, n = leave(*successors(starts, ends, n_own, max_chars))
         enter = 1 if nth == 0 else max(1, int(np.searchsorted(starts[:n_own], nth * cell + reach)))
         enter = min(enter, n_own)
-        return pa.table({"stream": table["stream"].take(rows[:enter]), "start": starts[:enter], "exit": exits[:enter], "n": n[:enter]})
+        return pa.table({"stream": table["stream"].take(sort[:enter]), "start": starts[:enter], "exit": exits[:enter], "n": n[:enter]})
 
     def pack(key: tuple, table: pa.Table, entered: pa.Table) -> pa.Table:
-        rows, starts, ends, n_own = _sorted(table, key[1].as_py(), cell) if table.num_rows else (np.array([], int),) * 3 + (0,)
+        sort, starts, ends, n_own = _sorted(table, key[1].as_py(), cell) if table.num_rows else (np.array([], int),) * 3 + (0,)
         begins: list[int] = []
         if entered.num_rows:
             _, follow = successors(starts, ends, n_own, max_chars)
@@ -143,12 +151,12 @@ def pack_streams(units: DataFrame, order: list[str], max_chars: int = 900, overl
                 begins.append(at)
                 at = int(follow[at])
             begins.append(at)
-        texts = table["unit"].take(rows[begins[0] : begins[-1]]).to_pylist() if begins else []
+        texts = table["unit"].take(sort[begins[0] : begins[-1]]).to_pylist() if begins else []
         zero, chunks = begins[0] if begins else 0, list(zip(begins, begins[1:], strict=False))
         first = entered["before"][0].as_py() if begins else 0
         return pa.table(
             {
-                "stream": table["stream"].take(rows[begins[:-1]]) if begins else table["stream"].slice(0, 0),
+                "stream": table["stream"].take(sort[begins[:-1]]) if begins else table["stream"].slice(0, 0),
                 "chunk_index": pa.array(range(first, first + len(chunks)), pa.int64()),
                 "n_units": pa.array([b - a for a, b in chunks], pa.int64()),
                 "text": pa.array([GAP.join(texts[a - zero : b - zero]) for a, b in chunks], pa.string()),

@@ -198,8 +198,8 @@ SELECT source, unnest(range(len(c))) AS chunk_index, md5(unnest(c)) AS digest FR
 )
 def pack_sources(spark, d):
     """The documents of each source as one stream, in the order of their ids."""
-    units = documents(spark, d).select(F.col("source").alias("stream"), "doc_id", F.posexplode(chunk.units_of("text")).alias("i", "unit"))
-    packed = streams.pack_streams(units, ["doc_id", "i"], overlap=120)
+    docs = table(spark, d, "documents").select(F.col("source").alias("stream"), "doc_id", "text")
+    packed = streams.pack_streams(docs, ["doc_id"], chunk.units_of("text"), overlap=120)
     return packed.select(F.col("stream").alias("source"), "chunk_index", F.md5("text").alias("digest"))
 
 
