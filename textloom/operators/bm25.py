@@ -25,7 +25,8 @@ BLOCK, PROBED, SLACK = 64, 4, 1e-9
 
 def postings(docs: DataFrame) -> DataFrame:
     """(term, doc_id, tf) of docs (doc_id, tokens)."""
-    return docs.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    # an outer one, as a plain one is guarded by a filter that computes the tokens too
+    return docs.select("doc_id", F.explode_outer("tokens").alias("term")).where("term is not null").groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
 def lengths(docs: DataFrame) -> DataFrame:
