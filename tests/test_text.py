@@ -108,3 +108,20 @@ def test_tokens_with_repeats(spark):
 
 def test_strip_takes_unicode_white_space(spark):
     assert one(spark, strip("a"), " \x1f\n a b \x85　") == "a b"
+
+
+def test_white_space_goes_without_patterns_where_none_is_needed(spark):
+    import re
+
+    from textloom.functions import columns
+    from textloom.functions import text as T
+
+    blanks = [chr(c) for c in range(0x3001) if re.fullmatch(r"\s", chr(c))]
+    assert sorted(columns.BLANKS) == blanks
+    texts = [*(b + "a" + b + "b" + b + b for b in blanks), "", "a", " ​ ", "a\r\nb\rc\r", "a \t b\tc", "a\n\n\n\nb", "a\n \n\n\nb", "plain text\n\nhere", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", columns.strip("t").alias("s"), T.collapse_whitespace("t").alias("c"))
+    assert "regexp" not in df.select("s")._jdf.queryExecution().executedPlan().toString()
+    for r in df.collect():
+        t = texts[r["i"]]
+        assert r["s"] == (None if t is None else t.strip())
+        assert r["c"] == re.sub("\n{3,}", "\n\n", re.sub("[ \t\f\x0b]+", " ", re.sub("\r\n?", "\n", t or "").replace("\xa0", " "))).strip()
