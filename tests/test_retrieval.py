@@ -416,3 +416,30 @@ def test_streaming_ingest_adds_each_url_once(spark, tmp_path):
             (folder / name).write_text(text, encoding="utf-8")
         ingest(read_crawl(spark, str(folder)), str(tmp_path / "store"), str(tmp_path / "check")).awaitTermination(120)
     assert sorted(r["url"] for r in spark.read.parquet(str(tmp_path / "store")).collect()) == ["u1", "u3"]
+
+
+def test_texts_stay_behind_while_candidates_are_ranked(spark, retriever, monkeypatch):
+    from textloom.plans import search
+    from textloom.staging import stage
+
+    staged = {}
+    monkeypatch.setattr(search, "stage", lambda df, name, **kw: staged.setdefault(name, df.columns) and stage(df, name, **kw))
+    asked = spark.createDataFrame([(1, f"{SiteProfile().university}的官网是什么"), (2, "hello words")], "qid long, q string")
+    got = sorted(map(tuple, retriever.search(asked, 3).collect()))
+    assert "pool" in staged and not {"text", "title", "haystack"} & {*staged["pool"], *staged["ranked"]}
+    monkeypatch.setattr(search, "DEPTH", 2)  # it goes on where a question is short, with the same result
+    assert sorted(map(tuple, retriever.search(asked, 3).collect())) == got
+
+
+def test_numbered_rows_move_once(spark, monkeypatch):
+    from textloom.plans import queries
+
+    plans = []
+    monkeypatch.setattr(corpus, "stage", lambda df, name, keep=corpus.stage: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, name))
+    chunks = queries.document_chunks(queries.documents(spark, "/root/testdata/sf0.001"))
+    assert "row_number" not in chunks._jdf.queryExecution().executedPlan().toString()
+    assert plans[0].index("Generate") < plans[0].index("rangepartitioning")  # chunks are made after the exchange and its sampling
+    rows = sorted(map(tuple, chunks.select("idx", "chunk_id").collect()))
+    assert [i for i, _ in rows] == list(range(len(rows)))
+    places = [tuple(map(int, c.split("-"))) for _, c in rows]
+    assert places == sorted(places)
