@@ -53,3 +53,17 @@ def test_spaces_are_found_again(spark):
     assert len(rows) == 200
     near = [abs(r["n_found"] - r["n_words"]) <= 0.3 * r["n_words"] for r in rows if r["n_words"] > 20]
     assert sum(near) > 0.7 * len(near)  # most words of so small a corpus occur once
+
+
+def test_a_batch_is_segmented_in_slices(spark, monkeypatch):
+    import pandas as pd
+
+    texts = pd.Series(["x" * n for n in (5, 5, 300_000, 1)] + [None, "y"])
+    parts = list(lattice.slices(texts))
+    assert [len(p) for p in parts] == [3, 3] and pd.concat(parts).tolist() == texts.tolist() and not list(lattice.slices(texts[:0]))
+    known = lattice.Lattice({"ab": 3, "abcde": 2, "q": 2})
+    assert {w for w, c in known.cost.items() if c is None} == {"a", "abc", "abcd"}  # one table for words and beginnings
+    df = spark.createDataFrame([(i, "ab" * (i % 3)) for i in range(50)], "i int, t string").coalesce(1)
+    monkeypatch.setattr(lattice, "SLICE", 7)
+    cut = df.select("i", known.segmenter(r"\w+", search=False)(F.col("t")).alias("x")).collect()
+    assert [(r["i"], r["x"]) for r in cut] == [(i, ["ab"] * (i % 3)) for i in range(50)]

@@ -24,17 +24,26 @@ from textloom.operators.tokens import CJK_SPAN, Segmenter
 
 #: Words of a vocabulary, at most, and letters of one; what a letter counts that is no word; inner words that a search wants.
 WORDS, LONGEST, UNSEEN, INNER = 200_000, 24, 0.5, (2, 3)
+#: Characters of the texts that a task holds the words of at a time, about.
+SLICE = 1 << 18
 
 
 class Lattice:
-    """Words with their costs."""
+    """Words with their costs. Beginnings of words that are none themselves are in the same table, with the cost None."""
 
     def __init__(self, counts: dict[str, int]):
         self.counts = counts
         total = math.log(max(sum(counts.values()), 1))
-        self.cost = {w: total - math.log(n) for w, n in counts.items()}
+        self.cost: dict[str, float | None] = {w: total - math.log(n) for w, n in counts.items()}
         self.unseen = total - math.log(UNSEEN)
-        self.beginnings = {w[:i] for w in counts for i in range(1, len(w))}
+        for w in counts:
+            for i in range(len(w) - 1, 0, -1):
+                if w[:i] in self.cost:  # a word's or a beginning's own beginnings come by it
+                    if w[:i] not in counts:
+                        break
+                else:
+                    self.cost[w[:i]] = None
+        self.longest = max(map(len, counts), default=1)
 
     def __reduce__(self):
         return Lattice, (self.counts,)
@@ -47,14 +56,15 @@ class Lattice:
 
     def path(self, run: str) -> list[str]:
         """The words of the cheapest path."""
-        n = len(run)
+        n, cost = len(run), self.cost
         best, step = [0.0] * (n + 1), [1] * n
         for i in range(n - 1, -1, -1):
-            found, size = self.cost.get(run[i], self.unseen) + best[i + 1], 1
-            j = i + 1
-            while j < n and run[i:j] in self.beginnings:
-                j += 1
-                own = self.cost.get(run[i:j])
+            own = cost.get(run[i])
+            found, size = (self.unseen if own is None else own) + best[i + 1], 1
+            for j in range(i + 2, min(n, i + self.longest) + 1):
+                own = cost.get(run[i:j], False)
+                if own is False:  # nothing begins so
+                    break
                 if own is not None and own + best[j] <= found:
                     found, size = own + best[j], j - i
             best[i], step[i] = found, size
@@ -66,7 +76,7 @@ class Lattice:
 
     def inner(self, word: str) -> list[str]:
         """The known short words inside a word, by length and place, then the word."""
-        return [word[i : i + k] for k in INNER if len(word) > k for i in range(len(word) - k + 1) if word[i : i + k] in self.cost] + [word]
+        return [word[i : i + k] for k in INNER if len(word) > k for i in range(len(word) - k + 1) if self.cost.get(word[i : i + k]) is not None] + [word]
 
     def segments(self, text: str | None, span: re.Pattern, search: bool) -> list[str]:
         words = (w for run in span.findall(text or "") for w in self.path(run))
@@ -77,11 +87,22 @@ class Lattice:
         @F.pandas_udf("array<string>")
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for texts in batches:
-                yield texts.map(lambda t: self.segments(t, re.compile(span), search))
+                for part in slices(texts):  # a text's words take many times its own memory
+                    yield part.map(lambda t: self.segments(t, re.compile(span), search))
 
         return lambda x: run(x)
 
 
+def slices(texts: pd.Series) -> Iterator[pd.Series]:
+    """Parts of a batch that end when they have SLICE characters."""
+    start = held = 0
+    for i, t in enumerate(texts, 1):
+        held += len(t or "")
+        if held >= SLICE or i == len(texts):
+            yield texts.iloc[start:i]
+            start, held = i, 0
+
+
 def unspaced(text: Column) -> Column:
     """A text's letters in lower case, without anything between them."""
     return F.lower(F.regexp_replace(text, r"[^\p{L}\p{M}]+", ""))
