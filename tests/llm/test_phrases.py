@@ -75,3 +75,29 @@ def test_scores_beyond_64_bits(spark):
 
 def test_no_documents(spark):
     assert mined(spark, []) == [] and mined(spark, [(None, None)]) == []
+
+
+def test_rows_do_not_grow_with_blocks(spark, monkeypatch):
+    """What is joined, staged and summed up is phrases, not the words and pairs of each block."""
+    made = {}
+
+    def counted(df, name, **how):
+        out = staged(df, name, **how)
+        made[name] = out.count()
+        return out
+
+    staged = phrases.stage
+    monkeypatch.setattr(phrases, "stage", counted)
+    monkeypatch.setattr(phrases, "BLOCK", 300)
+    text = "p q r s t u v w x y. " * 20
+    few = mined(spark, [(text, "en")] * 40, least=100)
+    blocks, rows = made.pop("words"), sum(made.values())
+    many = mined(spark, [(text, "en")] * 320, least=100)
+    assert made.pop("words") > 6 * blocks > 100
+    assert sum(made.values()) == rows and [x[2] for x in many] == [x[2] for x in few]
+
+
+def test_blocks_of_many_words(spark):
+    """A block with more distinct words than two bytes count."""
+    rows = [(" ".join(f"w{i}" for i in range(70_000)) + ". " + "w69998 w69999 " * 30, "en")]
+    assert mined(spark, rows, least=20) == by_hand(rows, least=20)

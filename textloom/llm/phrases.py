@@ -1,16 +1,18 @@
-"""Phrase collocations by hierarchical pair naming.
+"""Phrase collocations by hashed counters and exact counts of what may be frequent.
 
-Texts of one language are put together to blocks of about BLOCK bytes: a sequence of places, each with a word or a break. A
-frequent word gets an id; then, for k = 2 up to the longest phrase, a place where a frequent (k-1)-gram begins and the next
-place make a pair of ids, and each pair that is frequent over all blocks gets an id as a k-gram. The two ids of a pair are its
-parents, the phrase without its last and without its first word: along them a k-gram gathers the counts of all its first and
-last parts, which are the cuts, and by them a phrase finds those one word longer that contain it.
+Texts of one language are put together to blocks of about BLOCK bytes: a sequence of places, each with a word or a break. For
+k = 1 up to the longest phrase, each task adds up its k-grams' hashes in counters of one byte (which stop at the limit); these
+are summed over tasks, and a k-gram whose counter stays below the limit can't reach it. Only k-grams are counted whose first
+and last k-1 words may be frequent by the counters before. The counters' bits are the only thing that all tasks get.
 
-Pairs meet other blocks' as one row for each block and distinct pair, and only where the pair may be frequent: each task adds
-up its pairs in BUCKETS counters (which stop at the limit, so that a byte holds one), these are summed over tasks, and a pair
-whose counter stays below the limit can't reach it. The counters' bits are the only thing that all tasks get, and of fixed
-size; on a corpus so large that all counters fill, nothing is filtered and the result is the same. Sequences travel to the ids
-of their block once for each k, at the places that are left.
+Then one more pass takes all k-grams that may be frequent out of the blocks, as phrases: a task's rows are summed up where they
+lie and once more over all tasks, by the phrase itself, so that hashes only choose what is counted and never what is equal.
+Sequences stay where they are, and no row of a block joins anything. Frequent phrases join those that are one word shorter (the
+phrase without its last and without its first word): along them a phrase gathers the counts of all its first and last parts,
+which are the cuts, and by them a phrase finds those one word longer that contain it.
+
+There are BUCKETS counters, more on larger inputs (one for PER_COUNTER words), MOST of them at most; if they all fill, nothing
+is filtered and the result is the same.
 
 Cases: a null text is empty; a null language is `und`; repeated rows count each; other columns are ignored, whatever their
 names; an empty table gives no rows. A language's places are numbered by score and count (both descending), then by phrase in
@@ -21,11 +23,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import small_batches, stage, text_or_empty, text_slices
@@ -36,8 +40,12 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 BLOCK, OPEN = 2 << 20, 8 << 20
 #: Blocks and texts that go to a task at a time.
 AT_ONCE, TEXTS = 4, 256
-#: Counters that tell which pairs may be frequent (a power of two), and parts that they are summed in.
-BUCKETS, CHUNKS = 1 << 22, 256
+#: Counters that tell what may be frequent (a power of two), at least and at most; words for each; parts that they are summed in.
+BUCKETS, MOST, PER_COUNTER, CHUNKS = 1 << 22, 1 << 27, 32, 256
+#: Bytes of staged blocks that a task counts, where all cores are busy: what it sums up is sent once, not for each few blocks.
+SPLIT = 128 << 20
+#: Bytes of counted phrases that a task holds before it sums them up, and rows that it hands on at a time.
+HELD, ROWS = 32 << 20, 20_000
 #: Parts that a language is ranked in before its best are ranked together.
 SALTS = 64
 UNKNOWN = "und"
@@ -51,9 +59,17 @@ class _Numbers(dict):
         return found
 
 
-def _list(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else [], kind))
+@contextmanager
+def _few_tasks(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside read blocks in splits of SPLIT bytes, or less where cores would be idle, and a few at a time."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(SPLIT))
+    try:
+        with small_batches(spark, AT_ONCE):
+            yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def _pieces(data: bytes, size: int) -> Iterator[bytes]:
@@ -69,18 +85,22 @@ def _pieces(data: bytes, size: int) -> Iterator[bytes]:
     yield data[at:]
 
 
+def _kind(words) -> type:
+    """The numbers that count a block's distinct words."""
+    return np.uint16 if len(words) < 1 << 16 else np.int32
+
+
 def _block(lang: str, parts: list[bytes], number: int) -> pa.RecordBatch:
-    """A block's row: its distinct words, how often each occurs, its words' buckets, and its sequence of them (-1: a break)."""
+    """A block's row: its distinct words, their hashes, and its sequence of them (from 1; 0: a break)."""
     words = b".".join(parts).replace(b".", b" . ").split()
     numbers = _Numbers({b".": 0})
-    at = np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=len(words)) - 1
+    at = np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=len(words))
     own = list(numbers)[1:]
-    n = np.bincount(at[at >= 0], minlength=len(own)).astype(np.int64)
     salt = zlib.crc32(lang.encode())
-    buckets = np.fromiter((zlib.crc32(w, salt) for w in own), dtype=np.uint32, count=len(own)) & np.uint32(BUCKETS - 1)
+    hashes = np.fromiter((zlib.crc32(w, salt) for w in own), dtype=np.uint32, count=len(own))
     return pa.RecordBatch.from_arrays(
-        [pa.array([number]), pa.array([lang]), pa.array([int(n.sum())]), pa.array([own], pa.list_(pa.string())), _list([n], pa.int64()), pa.array([buckets.tobytes()], pa.binary()), pa.array([at.tobytes()], pa.binary())],
-        names=["block", "lang", "total", "words", "n", "buckets", "places"],
+        [pa.array([number]), pa.array([lang]), pa.array([len(words) - words.count(b".")]), pa.array([own], pa.list_(pa.string())), pa.array([hashes.tobytes()], pa.binary()), pa.array([at.astype(_kind(own)).tobytes()], pa.binary())],
+        names=["block", "lang", "total", "words", "hashes", "places"],
     )
 
 
@@ -110,145 +130,147 @@ def word_blocks(documents: DataFrame) -> DataFrame:
 
     some = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), text_or_empty().alias("text"))
     with small_batches(some.sparkSession, TEXTS):
-        return stage(some.mapInArrow(build, "block long, lang string, total long, words array<string>, n array<long>, buckets binary, places binary"), "words")
+        return stage(some.mapInArrow(build, "block long, lang string, total long, words array<string>, hashes binary, places binary"), "words")
 
 
 def possible(counted: DataFrame, least: int) -> np.ndarray:
-    """Whether each counter reaches `least`. counted: (chunk int, counters binary), counters stopped at `least`."""
+    """Whether each counter reaches `least` (below 256). counted: (chunk int, counters binary), counters stopped at `least`."""
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counters in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.frombuffer(counters.as_buffer(), dtype=np.uint16)
-                sums[chunk] = np.minimum(sums.get(chunk, 0) + own, least).astype(np.uint16)  # stopped: least is below 2^15
+                own = np.frombuffer(counters.as_buffer(), dtype=np.uint8).astype(np.uint16)
+                sums[chunk] = np.minimum(sums.get(chunk, 0) + own, least).astype(np.uint8)
         for chunk, own in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.packbits(own >= least).tobytes()], pa.binary())], names=["chunk", "bits"])
 
-    out = np.zeros((CHUNKS, BUCKETS // CHUNKS), dtype=bool)
     with small_batches(counted.sparkSession, AT_ONCE):
         found = counted.repartition(CHUNKS // 4, "chunk").mapInArrow(total, "chunk int, bits binary").collect()  # a bit for each counter
+    size = len(found[0]["bits"]) * 8 if found else BUCKETS // CHUNKS
+    out = np.zeros((CHUNKS, size), dtype=bool)
     for r in found:
         out[r["chunk"]] = np.unpackbits(np.frombuffer(bytes(r["bits"]), dtype=np.uint8))
     return out.ravel()
 
 
-def _counters(blocks: Iterator[tuple[np.ndarray, np.ndarray]], least: int) -> Iterator[pa.RecordBatch]:
-    """The rows of one task for possible(), of its blocks' buckets and counts."""
-    own = np.zeros(BUCKETS, dtype=np.uint16)
-    for buckets, n in blocks:
-        used, at = np.unique(buckets, return_inverse=True)
-        own[used] = np.minimum(own[used] + np.minimum(np.bincount(at, n, minlength=len(used)), least), least).astype(np.uint16)
-    own = own.reshape(CHUNKS, -1)
-    used = np.flatnonzero(own.any(1))
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([own[i].tobytes() for i in used], pa.binary())], names=["chunk", "counters"])
-
-
-def _pairs(place: np.ndarray, at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block's places, what begins at each (positions in ids), its neighbours: the pairs' places, each one's number, the
-    distinct pairs' two ids, and how often each occurs."""
-    next_ = np.flatnonzero(place[1:] == place[:-1] + 1)
-    wide = np.int64(max(len(ids), 1))
-    pair, number, n = np.unique(at[next_] * wide + at[next_ + 1], return_inverse=True, return_counts=True)
-    return place[next_], number, ids[pair // wide], ids[pair % wide], n
+def _hashes(word: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the k words from each place on."""
+    size = len(word) - k + 1
+    out = word[:size]
+    for j in range(1, k):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + word[j : size + j]
+    out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32))
 
 
-def _pair_buckets(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    h = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (right.astype(np.uint64) + np.uint64(0x7F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(40)).astype(np.uint32) & np.uint32(BUCKETS - 1)
+def _may(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the counters of these hashes have reached the limit, by all counters' bits (eight to a byte, the lowest first)."""
+    at = hashes & np.uint64(len(bits) * 8 - 1)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).view(bool)
 
 
-def _read(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(block, places, at, ids) of each row."""
-    for block, place, at, ids in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("block", "place", "at", "ids")), strict=True):
-        yield block.as_py(), np.frombuffer(place.as_buffer(), dtype=np.int32), np.frombuffer(at.as_buffer(), dtype=np.int32).astype(np.int64), ids.values.to_numpy(zero_copy_only=False)
+def _grams(at: np.ndarray, word: np.ndarray, k: int, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The places of a block where k-grams begin whose first and last k-1 words may be frequent, and their hashes."""
+    size = len(at) - k + 1
+    if size <= 0:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    here = at[:size] >= 0
+    for j in range(1, k):
+        here &= at[j : size + j] >= 0
+    if before is not None:
+        part = _may(before, _hashes(word, k - 1))
+        here &= part[:-1] & part[1:]
+    place = np.flatnonzero(here)
+    return place, _hashes(word, k)[place]
 
 
-def _named(blocks: DataFrame, found: DataFrame, key: list[str], name: str, old: DataFrame) -> DataFrame:
-    """blocks (block, place, at, and what `at` counts in: rows of (block, i, *key)) with the ids of what is frequent, staged.
-
-    A block's ids come to it as one list, never longer than the block's own; only places whose n-gram is frequent stay.
-    """
-    rows, sequences = blocks
-    ids = rows.join(found.select(*key, "id"), key).groupBy("block").agg(F.collect_list(F.struct("i", "id")).alias("known"))
-    both = sequences.join(ids, "block").select("block", "place", "at", F.col("known.i").alias("i"), F.col("known.id").alias("id"))
-
-    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, place, at, i, id_ in zip(*batch.columns, strict=True):
-                i, id_ = i.values.to_numpy(), id_.values.to_numpy()
-                own = np.frombuffer(at.as_buffer(), dtype=np.int32)
-                size = max(int(own.max(initial=0)), int(i.max(initial=0))) + 1
-                new = np.full(size + 1, -1, dtype=np.int32)  # the last place is for breaks
-                new[i] = np.arange(len(i), dtype=np.int32)
-                got = new[own]
-                keep = np.flatnonzero(got >= 0).astype(np.int32)
-                places = np.frombuffer(place.as_buffer(), dtype=np.int32)[keep] if place.is_valid else keep
-                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()]), pa.array([places.tobytes()], pa.binary()), pa.array([got[keep].tobytes()], pa.binary()), _list([id_], pa.int64())], names=["block", "place", "at", "ids"])
-
-    with small_batches(both.sparkSession, AT_ONCE):
-        return stage(both.mapInArrow(rename, "block long, place binary, at binary, ids array<long>"), name, instead_of=old)
+def _sequence(places: pa.Scalar, hashes: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """A block's sequence of words (-1: a break), and of their hashes."""
+    own = np.frombuffer(hashes.as_buffer(), dtype=np.uint32)
+    at = np.frombuffer(places.as_buffer(), dtype=_kind(own)).astype(np.int32) - 1
+    return at, np.append(own, np.uint32(0)).astype(np.uint64)[at]  # the last is for breaks
 
 
-def frequent_words(blocks: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(id, lang, phrase, f, firsts, lasts) of frequent words, staged; and the blocks with their ids."""
+def possible_grams(blocks: DataFrame, k: int, least: int, buckets: int, before: np.ndarray | None) -> np.ndarray:
+    """The bits of the counters of k-grams (see _may), by those of (k-1)-grams."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _counters(((np.frombuffer(b.as_buffer(), dtype=np.uint32), n.values.to_numpy()) for batch in batches for b, n in zip(*batch.columns, strict=True)), least)
-
-    may = np.packbits(possible(blocks.select("buckets", "n").mapInArrow(count, "chunk int, counters binary"), least))
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(may).view(bool)
+        own = np.zeros(buckets, dtype=np.uint8)
         for batch in batches:
-            for block, lang, words, n, buckets in zip(*batch.columns, strict=True):
-                i = np.flatnonzero(bits[np.frombuffer(buckets.as_buffer(), dtype=np.uint32)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), block.as_py())), pa.array([lang.as_py()] * len(i), pa.string()), pa.array(i.astype(np.int32)), words.values.take(pa.array(i)), n.values.take(pa.array(i))], names=["block", "lang", "i", "phrase", "n"])
-
-    with small_batches(blocks.sparkSession, AT_ONCE):
-        rows = stage(blocks.select("block", "lang", "words", "n", "buckets").mapInArrow(choose, "block long, lang string, i int, phrase string, n long"), "word-rows")
-    found = rows.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    found = stage(found.withColumns({"id": F.monotonically_increasing_id(), "firsts": F.array("f"), "lasts": F.array("f")}), "frequent-1")
-    places = blocks.select("block", F.lit(None).cast("binary").alias("place"), F.col("places").alias("at"))
-    return found, _named((rows, places), found, ["lang", "phrase"], "named-1", rows)
-
-
-def frequent_pairs(blocks: DataFrame, shorter: DataFrame, k: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """The frequent k-grams of blocks with the ids of frequent (k-1)-grams, as frequent_words() gives words, with the ids of
-    their parents (left, right); and the blocks with their ids."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = (_pairs(*row) for batch in batches for _, *row in _read(batch))
-        yield from _counters(((_pair_buckets(left, right), n) for _, _, left, right, n in pairs), least)
+            for places, hashes in zip(*batch.columns, strict=True):
+                _, found = _grams(*_sequence(places, hashes), k, before)
+                used, n = np.unique((found & np.uint64(buckets - 1)).astype(np.uint32), return_counts=True)
+                own[used] = np.minimum(own[used] + n, least)
+        own = own.reshape(CHUNKS, -1)
+        for i in np.flatnonzero(own.any(1)):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([own[i].tobytes()], pa.binary())], names=["chunk", "counters"])
+
+    with _few_tasks(blocks.sparkSession):
+        return np.packbits(possible(blocks.select("places", "hashes").mapInArrow(count, "chunk int, counters binary"), least), bitorder="little")
+
+
+def _phrases(words: pa.Array, at: np.ndarray, place: np.ndarray, hashes: np.ndarray, k: int) -> tuple[pa.Array, np.ndarray]:
+    """The k-grams at some places of a block, and how often each occurs (a gram may come twice where hashes are equal)."""
+    place = place[np.argsort(hashes)]
+    columns = [at[place + j] for j in range(k)]
+    first = np.ones(len(place), dtype=bool)
+    if len(place):
+        first[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    starts = np.flatnonzero(first)
+    parts = [words.take(pa.array(c[starts])) for c in columns]
+    return (pa.compute.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]), np.diff(starts, append=len(place))
+
+
+def frequent_phrases(blocks: DataFrame, longest: int, least: int) -> DataFrame:
+    """(lang, k, phrase, f) of all phrases of 1 to `longest` words with `least` occurrences or more, staged."""
+    total = blocks.agg(F.sum("total")).first()[0] or 0
+    buckets = min(MOST, max(BUCKETS, 1 << (total // PER_COUNTER).bit_length()))
+    enough, levels = min(least, 255), []
+    for k in range(1, longest + 1):
+        levels.append(possible_grams(blocks, k, enough, buckets, levels[-1] if levels else None))
+        if not levels[-1].any():
+            levels.pop()
+            break
 
-    may = np.packbits(possible(blocks.mapInArrow(count, "chunk int, counters binary"), least))
+    def summed(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by(["lang", "k", "phrase"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["lang", "k", "phrase", "n"])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(may).view(bool)
+        held, size = [], 0
         for batch in batches:
-            for block, *row in _read(batch):
-                place, number, left, right, n = _pairs(*row)
-                some = np.flatnonzero(bits[_pair_buckets(left, right)])
-                new = np.full(len(n), -1, dtype=np.int32)
-                new[some] = np.arange(len(some), dtype=np.int32)
-                at = new[number]
-                keep = at >= 0
-                columns = [pa.array([block]), pa.array([place[keep].tobytes()], pa.binary()), pa.array([at[keep].tobytes()], pa.binary()), *(_list([x[some]], pa.int64()) for x in (left, right, n))]
-                yield pa.RecordBatch.from_arrays(columns, names=["block", "place", "at", "left", "right", "n"])
-
-    with small_batches(blocks.sparkSession, AT_ONCE):
-        chosen = stage(blocks.mapInArrow(choose, "block long, place binary, at binary, left array<long>, right array<long>, n array<long>"), f"pairs-{k}", instead_of=blocks)
-    rows = chosen.select("block", F.posexplode(F.arrays_zip("left", "right", "n")).alias("i", "x")).select("block", "i", "x.*")
-    pairs = rows.groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    head = shorter.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("start"), F.col("firsts").alias("before"))
-    tail = shorter.select(F.col("id").alias("right"), F.substring_index("phrase", " ", -1).alias("word"), F.col("lasts").alias("behind"))
-    found = pairs.join(head, "left").join(tail, "right").select(
-        F.monotonically_increasing_id().alias("id"), "lang", F.concat_ws(" ", "start", "word").alias("phrase"), "f",
-        F.concat("before", F.array("f")).alias("firsts"), F.concat("behind", F.array("f")).alias("lasts"), "left", "right",
+            for lang, words, hashes, places in zip(*batch.columns, strict=True):
+                at, word = _sequence(places, hashes)
+                for k, bits in enumerate(levels, 1):
+                    place, found = _grams(at, word, k, levels[k - 2] if k > 1 else None)
+                    keep = _may(bits, found)
+                    phrase, n = _phrases(words.values, at, place[keep], found[keep], k)
+                    some = pa.table({"lang": pa.array([lang.as_py()] * len(n), pa.string()), "k": pa.array(np.full(len(n), k, dtype=np.int32)), "phrase": phrase, "n": pa.array(n, pa.int64())})
+                    held.append(some)
+                    size += some.nbytes
+                if size >= HELD:
+                    held = [summed(held)]
+                    size = held[0].nbytes
+                    if size >= HELD // 2:
+                        yield from held[0].to_batches(max_chunksize=ROWS)
+                        held, size = [], 0
+        if held:
+            yield from summed(held).to_batches(max_chunksize=ROWS)
+
+    with _few_tasks(blocks.sparkSession):
+        rows = blocks.select("lang", "words", "hashes", "places").mapInArrow(choose, "lang string, k int, phrase string, n long")
+        return stage(rows.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "frequent")
+
+
+def with_parts(own: DataFrame, shorter: DataFrame, k: int) -> DataFrame:
+    """Frequent k-grams (lang, phrase, f) with the phrases without their last and first word (start, end), and the counts of all
+    their first and last parts, by those of (k-1)-grams."""
+    own = own.select("lang", "phrase", "f", F.substring_index("phrase", " ", k - 1).alias("start"), F.substring_index("phrase", " ", 1 - k).alias("end"))
+    head = shorter.select("lang", F.col("phrase").alias("start"), F.col("firsts").alias("before"))
+    tail = shorter.select("lang", F.col("phrase").alias("end"), F.col("lasts").alias("behind"))
+    return own.join(head, ["lang", "start"]).join(tail, ["lang", "end"]).select(
+        "lang", "phrase", "f", "start", "end", F.concat("before", F.array("f")).alias("firsts"), F.concat("behind", F.array("f")).alias("lasts")
     )
-    found = stage(found, f"frequent-{k}")
-    return found, _named((rows.select("block", "i", "left", "right"), chosen.select("block", "place", "at")), found, ["left", "right"], f"named-{k}", chosen)
 
 
 def best_cut(k: int) -> Column:
@@ -266,18 +288,17 @@ def collocations(documents: DataFrame, longest: int = LONGEST, least: int = LEAS
     or more that no phrase one word longer explains whole."""
     blocks = word_blocks(documents)
     totals = blocks.groupBy("lang").agg(F.sum("total").alias("n"))
-    found, blocks = frequent_words(blocks, least)
-    levels = [found]
+    found = frequent_phrases(blocks, longest, least)
+    levels = [found.where("k = 1").select("lang", "phrase", F.array("f").alias("firsts"), F.array("f").alias("lasts"))]
     for k in range(2, longest + 1):
-        found, blocks = frequent_pairs(blocks, levels[-1], k, least)
-        levels.append(found)
+        levels.append(stage(with_parts(found.where(F.col("k") == k), levels[-1], k), f"frequent-{k}"))
     scored = None
     for k in range(2, longest + 1):
         own = levels[k - 1]
         if k < longest:
             # an occurrence of a longer phrase is one of each of its parts: what explains a phrase has one word more
-            longer = levels[k].select(F.explode(F.array("left", "right")).alias("id"), "f").groupBy("id").agg(F.max("f").alias("longer"))
-            own = own.join(longer, "id", "left").where("longer is null or 100 * longer < 100 * f")
+            longer = levels[k].select("lang", F.explode(F.array("start", "end")).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
+            own = own.join(longer, ["lang", "phrase"], "left").where("longer is null or 100 * longer < 100 * f")
         own = own.join(totals, "lang").withColumn("best", best_cut(k)).select("lang", "phrase", F.col("f").alias("a"), "best.l", "best.r", "n", "best.score")
         scored = own if scored is None else scored.unionByName(own)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
