@@ -443,3 +443,21 @@ def test_numbered_rows_move_once(spark, monkeypatch):
     assert [i for i, _ in rows] == list(range(len(rows)))
     places = [tuple(map(int, c.split("-"))) for _, c in rows]
     assert places == sorted(places)
+
+
+def test_blocks_of_vectors_lie_in_small_row_groups(spark, monkeypatch, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    x = np.random.default_rng(3).integers(-9, 9, (120_000, 64)).astype(np.float32)
+    pq.write_table(pa.table({"idx": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float32()))}), tmp_path / "x.parquet")
+    staged = {}
+    monkeypatch.setattr(vectors, "stage", lambda df, name, *a, _stage=vectors.stage, **kw: staged.setdefault(name, _stage(df, name, *a, **kw)))
+    rows = spark.read.parquet(str(tmp_path / "x.parquet")).coalesce(1)
+    got = vectors.search(rows, rows.where("idx < 3").withColumnRenamed("idx", "qid"), 5).collect()
+    want = {(q, int(i)) for q in range(3) for i in np.lexsort((np.arange(len(x)), -(x @ x[q].astype(np.float64))))[:5]}
+    assert {(r["qid"], r["idx"]) for r in got} == want
+    # a task holds a row group as a whole, when it writes and when it reads
+    groups = [g for f in staged["vector-blocks"].inputFiles() for m in [pq.ParquetFile(f.removeprefix("file://")).metadata] for g in map(m.row_group, range(m.num_row_groups))]
+    assert max(g.total_byte_size for g in groups) < 24 << 20
+    assert sum(g.total_byte_size for g in groups) < 1.1 * (x.nbytes + 8 * len(x))  # floats are packed as floats
