@@ -67,3 +67,25 @@ def test_a_batch_is_segmented_in_slices(spark, monkeypatch):
     monkeypatch.setattr(lattice, "SLICE", 7)
     cut = df.select("i", known.segmenter(r"\w+", search=False)(F.col("t")).alias("x")).collect()
     assert [(r["i"], r["x"]) for r in cut] == [(i, ["ab"] * (i % 3)) for i in range(50)]
+
+
+def test_runs_side_by_side_have_the_paths_of_each(spark, monkeypatch):
+    rng = random.Random(5)
+    words = {"".join(rng.choices("abcé中", k=rng.choice([1, 2, 3, 5, 9]))): rng.choice([1, 2, 2, 7, 400]) for _ in range(60)} | {"a\0b": 9}
+    runs = ["".join(rng.choices("abcé中x\0", k=n)) for n in [0, 1, 1, 2, 3, 700, 650, 30] + [rng.randrange(60) for _ in range(40)]] + ["", "ab" * 900]
+    walked = []
+    monkeypatch.setattr(lattice.Lattice, "_walk", lambda self, run, tail, _walk=lattice.Lattice._walk: (walked.append(len(run) - len(tail) + 1), _walk(self, run, tail))[1])
+    for counts in (words, {}, {"zz": 3}):
+        known = lattice.Lattice(counts)
+        want = [known.path(r) for r in runs]
+        for cells in (1, 500, 1 << 20):
+            monkeypatch.setattr(lattice, "CELLS", cells)
+            walked.clear()
+            assert [lattice.cut_at(r, s.tolist()) for r, s in zip(runs, known.paths(runs), strict=True)] == want
+            assert sum(walked) < sum(map(len, runs)) and len(walked) < lattice.NARROW  # letter by letter only what few runs are left with
+    assert known.paths([]) == [] and [s.tolist() for s in known.paths(["zzz"])] == [known._walk("zzz", [0.0])]
+    monkeypatch.setattr(lattice, "GROUP", 300)
+    df = spark.createDataFrame([(i, r.replace("\0", " ")) for i, r in enumerate(runs)] + [(99, None)], "i int, t string").coalesce(1)
+    known = lattice.Lattice({w: n for w, n in words.items() if "\0" not in w})
+    got = {r["i"]: r["x"] for r in df.select("i", known.segmenter(r"\w+", search=False)(F.col("t")).alias("x")).collect()}
+    assert got == {i: [w for part in r.split("\0") for w in known.path(part)] for i, r in enumerate(runs)} | {99: []}
